@@ -7,14 +7,20 @@ import unicodedata
 from collections.abc import Iterable
 from functools import cache
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from casewatch import presets
 
 # Whitespace as Python's ``str.strip`` sees it; Java's ``\s`` is ASCII only.
+BLANKS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+    "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE = (
     r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 )
+# Whitespace that is not already one plain blank.
+UNEVEN_SPACE = f"{SPACE}{{2,}}|(?! ){SPACE}"
 # Blocks whose compatibility folds are built into the tables below: Latin,
 # Greek, Cyrillic and symbols, the Latin ligatures, and full-width ASCII.
 FOLD_BLOCKS = ((0x80, 0x24FF), (0xFB00, 0xFB06), (0xFF01, 0xFF5E))
@@ -69,29 +75,29 @@ def col(value: str | Column) -> Column:
 def fold_accents(value: str | Column) -> Column:
     """NFKD-fold and drop combining marks, without a Python UDF.
 
-    Pure ASCII rows skip the work. Characters that unfold to several (``ﬁ``,
-    ``½``) are rare, so only rows that hold one pay for replacing them.
+    Rows of plain ASCII, recognised by their byte length, skip the work. The
+    few characters that unfold to several (``\ufb01``, ``\u00bd``) are replaced
+    one by one where a row holds any.
     """
     text = col(value)
     source, target, longer = fold_tables()
-    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
-    longer_class = _char_class(longer)
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({longer_class})"), 1))
-    unfolded = F.when(
-        text.rlike(longer_class),
-        F.aggregate(found, text, lambda acc, c: F.replace(acc, c, F.element_at(table, c))),
-    ).otherwise(text)
+    pairs = "\x02".join(f"{char}\x01{folded}" for char, folded in longer.items())
+    table = F.str_to_map(F.lit(pairs), F.lit("\x02"), F.lit("\x01"))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({_char_class(longer)})"), 1))
+    unfolded = F.aggregate(
+        found, text, lambda acc, c: F.replace(acc, c, F.element_at(table, c))
+    )
     folded = F.regexp_replace(F.translate(unfolded, source, target), combining_class(), "")
-    return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
 
 
 def strip(value: str | Column) -> Column:
-    return F.regexp_replace(col(value), f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(col(value), F.lit(BLANKS))
 
 
 def squeeze(value: str | Column) -> Column:
     """Collapse whitespace runs to one blank and trim."""
-    return F.trim(F.regexp_replace(col(value), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(col(value), UNEVEN_SPACE, " "))
 
 
 def missing_to_null(
@@ -107,6 +113,19 @@ def normalize_text(value: str | Column) -> Column:
     return missing_to_null(F.upper(squeeze(fold_accents(raw))))
 
 
+def normalize_text_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """``normalize_text`` on many columns, in place.
+
+    The steps are separate projections: each intermediate text is read several
+    times, and the optimizer keeps it computed once instead of repeating it.
+    """
+    columns = list(columns)
+    steps = [strip, missing_to_null, fold_accents, lambda c: F.upper(squeeze(c)), missing_to_null]
+    for step in steps:
+        df = df.withColumns({c: step(c) for c in columns})
+    return df
+
+
 def normalize_name(value: str | Column, default: str = presets.NO_DATA) -> Column:
     """Place-name key: as text, but null and blank become a sentinel."""
     text = strip(value)

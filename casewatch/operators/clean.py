@@ -28,11 +28,9 @@ def _as_timestamp(df: DataFrame, name: str) -> Column:
 def clean_cases(df: DataFrame) -> DataFrame:
     """Clean aligned case rows: types, codes, text, ranges, derived columns.
 
-    Two projections without a shuffle, so it stays in one stage with the scan.
+    Projections only, no shuffle: it stays in one stage with the scan.
     """
-    typed: dict[str, Column] = {}
-    for name in df.columns:
-        typed[name] = F.col(name)
+    typed: dict[str, Column] = {name: F.col(name) for name in df.columns}
     for name in presets.DATE_COLUMNS:
         typed[name] = _as_timestamp(df, name)
     for name in presets.INTEGER_COLUMNS + ["estrato"]:
@@ -40,12 +38,17 @@ def clean_cases(df: DataFrame) -> DataFrame:
     for name, width in presets.CODE_WIDTHS.items():
         typed[name] = text.normalize_code(F.col(name).cast("string"), width)
     for name in presets.TEXT_COLUMNS:
-        typed[name] = text.normalize_text(F.col(name).cast("string"))
-    typed["SEXO"] = epi.recode_sex(typed["SEXO"])
-    typed["estrato"] = numbers.within(typed["estrato"], presets.STRATUM_RANGE)
-    typed["SEMANA"] = numbers.within(typed["SEMANA"], presets.WEEK_RANGE)
-    typed["ANO"] = numbers.within(typed["ANO"], presets.YEAR_RANGE)
-    base = df.select(*[value.alias(name) for name, value in typed.items()])
+        typed[name] = F.col(name).cast("string")
+    named = text.normalize_text_columns(
+        df.select(*[value.alias(name) for name, value in typed.items()]),
+        presets.TEXT_COLUMNS,
+    )
+    base = named.withColumns({
+        "SEXO": epi.recode_sex("SEXO"),
+        "estrato": numbers.within("estrato", presets.STRATUM_RANGE),
+        "SEMANA": numbers.within("SEMANA", presets.WEEK_RANGE),
+        "ANO": numbers.within("ANO", presets.YEAR_RANGE),
+    })
 
     derived = {
         "confirmados": epi.confirmed_flag("confirmados", "nom_est_f_caso", "TIP_CAS"),

@@ -91,17 +91,17 @@ def target_bins(
     """Quantile bin of ``log1p(target)``; equal cut points merge.
 
     The bin number counts the inner cut points below the value, which makes
-    the bins right-closed.
+    the bins right-closed. The cut points, at most ``bins`` numbers, are
+    computed first and enter the plan as literals.
     """
-    points = [i / bins for i in range(bins)]
-    logged = df.select(F.log1p(F.col(target).cast("double")).alias("y"))
-    # At most ``bins`` values; the smallest is the minimum and cuts nothing.
-    edges = exact_quantiles(logged, ["y"], points).agg(
-        F.array_sort(F.collect_set("value")).alias("edges")
-    ).select(F.slice("edges", 2, bins)).scalar()
     y = F.log1p(F.col(target).cast("double"))
-    below = F.filter("_edges", lambda edge: edge < y)
-    return df.withColumn("_edges", edges).withColumn("bin", F.size(below)).drop("_edges")
+    points = [i / bins for i in range(bins)]
+    found = exact_quantiles(df.select(y.alias("y")), ["y"], points).select("value").collect()
+    edges = sorted({row["value"] for row in found})[1:]  # the minimum cuts nothing
+    number = F.lit(0)
+    for edge in edges:
+        number = number + (y > edge).cast("int")
+    return df.withColumn("bin", number)
 
 
 def stratified_split(
@@ -123,13 +123,11 @@ def stratified_split(
     """
     binned = target_bins(df, target, bins)
     hashed = binned.withColumn("_hash", F.xxhash64(*key, F.lit(seed)))
-    too_small = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.min("n") < 2
-    ).scalar()
-    celled = hashed.withColumns({
-        "bin": F.when(too_small, 0).otherwise(F.col("bin")),
-        "_cell": F.pmod(F.shiftright("_hash", 20), F.lit(cells)),
-    })
+    # One row per bin.
+    smallest = binned.groupBy("bin").count().agg(F.min("count")).head()[0]
+    celled = hashed.withColumn("_cell", F.pmod(F.shiftright("_hash", 20), F.lit(cells)))
+    if smallest is None or smallest < 2:
+        celled = celled.withColumn("bin", F.lit(0))
     sizes = celled.groupBy("bin", "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("bin").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("bin")

@@ -65,7 +65,10 @@ def stage_cases(cases: DataFrame, path: str, order_by: list[str] | None = None)
     deduped = dedupe_cases(cases, order_by=order_by, copies=COPIES)
     flagged = flag_rejected(deduped)
     flagged.write.mode("overwrite").partitionBy("is_rejected").parquet(path)
-    return cases.sparkSession.read.parquet(path)
+    # Partition values come back as text.
+    return cases.sparkSession.read.parquet(path).withColumn(
+        "is_rejected", F.col("is_rejected").cast("boolean")
+    )
 
 
 def derive(staged: DataFrame) -> EtlResult:

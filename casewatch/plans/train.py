@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field, replace
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -182,12 +184,13 @@ def train_one(
     train, test = split_panel(panel, rows)
     priors = Priors(materialize(Priors.fit(train).base))
     # The forest reads its input many times; the prior joins run once.
-    train_rows, test_rows = materialize(prepared(train, priors)), prepared(test, priors)
+    train_rows = materialize(prepared(train, priors), spread_by=KEY)
+    test_rows = materialize(prepared(test, priors))
     best = select_best(score_candidates(train_rows, test_rows, candidates))
     candidate: Candidate = best["candidate"]
 
     final_priors = Priors(materialize(Priors.fit(panel).base))
-    full = materialize(prepared(panel, final_priors))
+    full = materialize(prepared(panel, final_priors), spread_by=KEY)
     pipeline = fit_forest(full, candidate)
     scored = predict_raw(full, pipeline, candidate.transform)
     mixed = scored.withColumn(
@@ -206,19 +209,29 @@ def train_bundle(
     candidates: list[Candidate] = CANDIDATES,
     per_disease: bool = True,
     min_rows: int = presets.MIN_DISEASE_ROWS,
+    parallelism: int = 4,
 ) -> Bundle:
-    """Global model and one per disease with at least ``min_rows`` rows."""
+    """Global model and one per disease with at least ``min_rows`` rows.
+
+    ``parallelism`` models are trained at a time, so that the short jobs of
+    small diseases do not leave the cluster idle.
+    """
     require_columns(panel, [*KEY, presets.TARGET])
     if panel.isEmpty():
         raise ValueError("no valid rows to build the training panel")
     overall = train_one(panel, presets.GLOBAL_MODEL, candidates)
-    by_disease = {}
+    by_disease: dict[str, TrainedModel] = {}
     if per_disease:
         # One row per disease.
         counts = panel.groupBy("disease").count().filter(F.col("count") >= min_rows)
-        for row in counts.orderBy("disease").collect():
-            of_disease = panel.filter(F.col("disease") == row["disease"])
-            by_disease[row["disease"]] = train_one(of_disease, row["disease"], candidates)
+        names = [row["disease"] for row in counts.orderBy("disease").collect()]
+
+        @inheritable_thread_target(panel.sparkSession)
+        def fit_one(name: str) -> TrainedModel:
+            return train_one(panel.filter(F.col("disease") == name), name, candidates)
+
+        with ThreadPool(parallelism) as pool:
+            by_disease = dict(zip(names, pool.map(fit_one, names), strict=True))
     return Bundle(overall, by_disease)
 
 

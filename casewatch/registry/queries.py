@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,7 +16,7 @@ from casewatch.plans import etl, score, train
 from casewatch.registry.cases import (
     aligned_cases, case_view, decoded_cases, panel, table,
 )
-from casewatch.session import materialize, shared_folder
+from casewatch.session import materialize, scratch_path
 from casewatch.sources import catalog, files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,11 +28,6 @@ LATEST = alerts.AlertRule(keep=1.2, medium=1.5, high=2.0, last_weeks=1, title_ca
 FEW_TREES = [c.scaled(0.02, 6) for c in train.CANDIDATES[:2]]
 
 
-def scratch(spark: SparkSession) -> str:
-    """New folder for one run, in the folder the cluster shares."""
-    return f"{shared_folder(spark)}/casewatch-{uuid.uuid4().hex}"
-
-
 def weekly(spark: SparkSession, folder: str) -> DataFrame:
     known = clean.known_places(decoded_cases(spark, folder), "Departamento_ocurrencia")
     return agg.weekly_aggregate(known, low=5, medium=10)
@@ -68,7 +62,7 @@ def alerts_by_year(spark, folder):
 def alert_severity_rollup(spark, folder):
     found = alerts_recent_weeks(spark, folder)
     every = alerts.alert_rollup(found).withColumn("scope", F.lit("all"))
-    one = alerts.alert_rollup(found, "china").withColumn("scope", F.lit("china"))
+    one = alerts.alert_rollup(found, "nation_12").withColumn("scope", F.lit("nation_12"))
     return every.unionByName(one)
 
 
@@ -184,10 +178,11 @@ def clean_cases(spark, folder):
 
 
 def text_normalize(spark, folder):
-    return table(spark, folder, "documents").select(
-        "doc_id", text.normalize_text("text").alias("normal"),
+    documents = table(spark, folder, "documents").select(
+        "doc_id", F.col("text").alias("normal"),
         text.normalize_name("source").alias("source_key"),
     )
+    return text.normalize_text_columns(documents, ["normal"])
 
 
 def title_case(spark, folder):
@@ -343,7 +338,7 @@ def file_validation(spark, folder):
 
 
 def round_trip_sinks(spark, folder):
-    out = scratch(spark)
+    out = scratch_path(spark)
     sinks.load_table(weekly(spark, folder), f"{out}/weekly.parquet")
     return files.read_processed(spark, out, "weekly")
 
@@ -358,7 +353,7 @@ def prediction_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def upsert_predictions(spark, folder):
-    out = scratch(spark)
+    out = scratch_path(spark)
     rows = prediction_rows(spark, folder)
     sinks.write_table(rows.filter("month <= 8"), f"{out}/v1")
     update = rows.filter("month >= 5").withColumn(
@@ -370,7 +365,7 @@ def upsert_predictions(spark, folder):
 
 
 def load_audit(spark, folder):
-    out = scratch(spark)
+    out = scratch_path(spark)
     sinks.write_table(case_view(spark, folder).select("enfermedad", "SEMANA"), f"{out}/clean.parquet")
     sinks.write_table(weekly(spark, folder), f"{out}/weekly.parquet")
     sinks.load_dashboard(spark, out, f"{out}/serving", f"{out}/audit")
@@ -379,7 +374,7 @@ def load_audit(spark, folder):
 
 def full_etl(spark, folder):
     """Aliased CSV per disease, through the whole job, to its report."""
-    out = scratch(spark)
+    out = scratch_path(spark)
     renamed = case_view(spark, folder).withColumnsRenamed({
         "CONSECUTIVE": "Código caso", "FEC_NOT": "Fecha de notificación",
         "Departamento_ocurrencia": "DEPARTAMENTO", MUNICIPALITY: "municipio",
@@ -506,7 +501,7 @@ def outbreak_scalars(spark, folder):
 
 def prediction_lookup(spark, folder):
     return clean.find_prediction(
-        prediction_rows(spark, folder), DISEASE, 3, " asia", "China"
+        prediction_rows(spark, folder), DISEASE, 3, " asia", "Nation_2 "
     )
 
 
@@ -526,7 +521,7 @@ def blend_select(spark, folder):
 
 
 def stratified_split(spark, folder):
-    split = metrics.stratified_split(monthly_panel(spark, folder), train.KEY)
+    split = metrics.stratified_split(materialize(monthly_panel(spark, folder)), train.KEY)
     return split.groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("n_test"),
         F.max("total_cases").alias("max_cases"),
@@ -537,7 +532,7 @@ def forest_train_score(spark, folder):
     """Few trees; trains, stores, reloads, scores and publishes."""
     cases = case_view(spark, folder)
     bundle = train.train_bundle(panel(spark, folder), FEW_TREES, per_disease=False)
-    out = scratch(spark)
+    out = scratch_path(spark)
     train.save_bundle(spark, bundle, f"{out}/model")
     return score.publish(
         cases, train.load_bundle(spark, f"{out}/model"), f"{out}/predictions", f"{out}/audit"

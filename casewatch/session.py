@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,13 +48,22 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="casewatch-")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage with a reliable checkpoint.
+def scratch_path(spark: SparkSession) -> str:
+    """Path of a new folder inside the shared one."""
+    return f"{shared_folder(spark)}/casewatch-{uuid.uuid4().hex}"
 
-    For a frame that several later jobs read. The files live in the shared
-    folder, so losing an executor does not lose them.
+
+def materialize(df: DataFrame, spread_by: list[str] | None = None) -> DataFrame:
+    """Compute once into a table of the shared folder and read that.
+
+    For a frame several later jobs read. The lineage ends at the files, which
+    outlive any executor. Unlike a checkpoint they are columnar and carry
+    sizes, so later plans prune columns and choose joins by size.
+    ``spread_by`` balances a small frame over all cores for iterative use.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = scratch_path(spark)
+    if spread_by:
+        df = df.repartition(spark.sparkContext.defaultParallelism, *spread_by)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
