@@ -16,8 +16,10 @@ BLANKS = (
     " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
     "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+# The outer range is tested first and settles nearly every character.
 SPACE = (
-    r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    r"[\x00-\x20\x85-\u3000&&"
+    r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
 )
 # Whitespace that is not already one plain blank.
 UNEVEN_SPACE = f"{SPACE}{{2,}}|(?! ){SPACE}"
@@ -51,21 +53,28 @@ def fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), longer
 
 
-@cache
-def combining_class() -> str:
-    """Regex class of the BMP characters with a non-zero combining class."""
-    points = [p for p in range(0x300, 0x10000) if unicodedata.combining(chr(p))]
+def _ranges(points: Iterable[int]) -> str:
+    """Body of a regex class, neighbours joined to ranges."""
     spans: list[list[int]] = []
-    for point in points:
+    for point in sorted(points):
         if spans and point == spans[-1][1] + 1:
             spans[-1][1] = point
         else:
             spans.append([point, point])
-    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans) + "]"
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans)
 
 
-def _char_class(chars: Iterable[str]) -> str:
-    return "[" + "".join(f"\\u{ord(c):04x}" for c in chars) + "]"
+@cache
+def combining_class() -> str:
+    """Regex class of the BMP characters with a non-zero combining class."""
+    points = [p for p in range(0x300, 0x10000) if unicodedata.combining(chr(p))]
+    return f"[\\p{{M}}&&[{_ranges(points)}]]"
+
+
+@cache
+def longer_class() -> str:
+    """Regex class of the characters that unfold to several."""
+    return f"[{_ranges(ord(c) for c in fold_tables()[2])}]"
 
 
 def col(value: str | Column) -> Column:
@@ -83,7 +92,7 @@ def fold_accents(value: str | Column) -> Column:
     source, target, longer = fold_tables()
     pairs = "\x02".join(f"{char}\x01{folded}" for char, folded in longer.items())
     table = F.str_to_map(F.lit(pairs), F.lit("\x02"), F.lit("\x01"))
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({_char_class(longer)})"), 1))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({longer_class()})"), 1))
     unfolded = F.aggregate(
         found, text, lambda acc, c: F.replace(acc, c, F.element_at(table, c))
     )
@@ -103,34 +112,39 @@ def squeeze(value: str | Column) -> Column:
 def missing_to_null(
     value: str | Column, tokens: list[str] = presets.MISSING_TOKENS
 ) -> Column:
+    """Null for a missing token; the text must be in upper case."""
     text = col(value)
-    return F.when(~F.upper(text).isin(tokens), text)
+    return F.when(~text.isin(tokens), text)
+
+
+def upper_plain(value: str | Column) -> Column:
+    """Upper-case, accent-free, single-spaced text."""
+    return F.upper(squeeze(fold_accents(value)))
 
 
 def normalize_text(value: str | Column) -> Column:
-    """Upper-case, accent-free, single-spaced text; missing tokens become null."""
-    raw = missing_to_null(strip(value))
-    return missing_to_null(F.upper(squeeze(fold_accents(raw))))
+    """Upper-case, accent-free, single-spaced text; missing tokens become null.
+
+    Checking the tokens once, at the end, also finds every spelling that was
+    missing at the start.
+    """
+    return missing_to_null(upper_plain(value))
 
 
 def normalize_text_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """``normalize_text`` on many columns, in place.
 
-    The steps are separate projections: each intermediate text is read several
-    times, and the optimizer keeps it computed once instead of repeating it.
+    Two projections: the second reads each text twice, and the optimizer keeps
+    the first one computed once instead of repeating it.
     """
     columns = list(columns)
-    steps = [strip, missing_to_null, fold_accents, lambda c: F.upper(squeeze(c)), missing_to_null]
-    for step in steps:
-        df = df.withColumns({c: step(c) for c in columns})
-    return df
+    plain = df.withColumns({c: upper_plain(c) for c in columns})
+    return plain.withColumns({c: missing_to_null(c) for c in columns})
 
 
 def normalize_name(value: str | Column, default: str = presets.NO_DATA) -> Column:
     """Place-name key: as text, but null and blank become a sentinel."""
-    text = strip(value)
-    name = squeeze(F.upper(fold_accents(text)))
-    return F.when(text.isNull() | (text == ""), F.lit(default)).otherwise(name)
+    return F.coalesce(F.nullif(upper_plain(value), F.lit("")), F.lit(default))
 
 
 def normalize_key(value: str | Column) -> Column:
@@ -172,23 +186,29 @@ def label_disease(value: str | Column) -> Column:
 
 
 def lookup(key: Column, table: dict) -> Column:
-    """Literal code list as a ``CASE`` expression; unmapped keys are null."""
-    result = None
-    for code, label in table.items():
-        matches = key == F.lit(code)
-        result = (
-            F.when(matches, F.lit(label)) if result is None
-            else result.when(matches, F.lit(label))
-        )
-    return result
+    """Value of a short literal code list; unmapped keys are null.
+
+    A map evaluates ``key`` once, a chain of comparisons once per code.
+    """
+    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.try_element_at(pairs, key)
+
+
+def code_digits(value: str | Column) -> Column:
+    """Digits of a code without a trailing ``.0``; no missing token has any."""
+    whole = F.regexp_replace(F.trim(squeeze(value)), r"\.0$", "")
+    return F.regexp_replace(whole, "[^0-9]", "")
+
+
+def pad_code(digits: str | Column, width: int) -> Column:
+    """Zero-padded to ``width`` and never truncated; empty becomes null."""
+    text = col(digits)
+    size = F.greatest(F.length(text), F.lit(width))
+    return F.when(text != "", F.lpad(text, size, F.lit("0")))
 
 
 def normalize_code(value: str | Column, width: int) -> Column:
-    """Digits of a place code, zero-padded to ``width`` and never truncated."""
-    text = missing_to_null(strip(value))
-    digits = F.regexp_replace(F.regexp_replace(text, r"\.0$", ""), r"[^0-9]", "")
-    padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
-    return F.when(digits != "", padded)
+    return pad_code(code_digits(value), width)
 
 
 def same_text(value: str | Column, wanted: str) -> Column:

@@ -35,8 +35,8 @@ def clean_cases(df: DataFrame) -> DataFrame:
         typed[name] = _as_timestamp(df, name)
     for name in presets.INTEGER_COLUMNS + ["estrato"]:
         typed[name] = _as_int(df, name)
-    for name, width in presets.CODE_WIDTHS.items():
-        typed[name] = text.normalize_code(F.col(name).cast("string"), width)
+    for name in presets.CODE_WIDTHS:
+        typed[name] = text.code_digits(F.col(name).cast("string"))
     for name in presets.TEXT_COLUMNS:
         typed[name] = F.col(name).cast("string")
     named = text.normalize_text_columns(
@@ -44,6 +44,7 @@ def clean_cases(df: DataFrame) -> DataFrame:
         presets.TEXT_COLUMNS,
     )
     base = named.withColumns({
+        **{name: text.pad_code(name, width) for name, width in presets.CODE_WIDTHS.items()},
         "SEXO": epi.recode_sex("SEXO"),
         "estrato": numbers.within("estrato", presets.STRATUM_RANGE),
         "SEMANA": numbers.within("SEMANA", presets.WEEK_RANGE),

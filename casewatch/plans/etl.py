@@ -49,10 +49,9 @@ def read_sources(spark: SparkSession, sources: list[Source]) -> DataFrame:
             raw, source.disease, source.event_code, source.year, source.source,
             filename, keep=[files.ROW_ORDER],
         )
-        frames.append(
-            clean_cases(aligned).withColumn(files.SOURCE_ORDER, F.lit(ordinal))
-        )
-    return union_sources(frames)
+        frames.append(aligned.withColumn(files.SOURCE_ORDER, F.lit(ordinal)))
+    # Cleaning is row by row, so one pass after the union does for all sources.
+    return clean_cases(union_sources(frames))
 
 
 def stage_cases(cases: DataFrame, path: str, order_by: list[str] | None = None) -> DataFrame:

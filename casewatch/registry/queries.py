@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,9 +15,9 @@ from casewatch.operators import (
 )
 from casewatch.plans import etl, score, train
 from casewatch.registry.cases import (
-    aligned_cases, case_view, decoded_cases, panel, table,
+    aligned_cases, case_view, decoded_cases, panel, spread, table,
 )
-from casewatch.session import materialize, scratch_path
+from casewatch.session import configure, materialize, scratch_path
 from casewatch.sources import catalog, files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,7 +179,7 @@ def clean_cases(spark, folder):
 
 
 def text_normalize(spark, folder):
-    documents = table(spark, folder, "documents").select(
+    documents = spread(table(spark, folder, "documents")).select(
         "doc_id", F.col("text").alias("normal"),
         text.normalize_name("source").alias("source_key"),
     )
@@ -631,5 +632,13 @@ QUERIES: list[Query] = [
 ]
 
 
+def configured(query: Query) -> Query:
+    @functools.wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return query(configure(spark), folder)
+
+    return run
+
+
 def all_queries() -> dict[str, Query]:
-    return {query.__name__: query for query in QUERIES}
+    return {query.__name__: configured(query) for query in QUERIES}
