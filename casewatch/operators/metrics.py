@@ -66,15 +66,16 @@ def blend(
 def blend_scores(
     df: DataFrame, truth: str, model: str, blends: dict[str, dict] = presets.BLENDS
 ) -> DataFrame:
-    """Metrics and selection score of every blend; all come from one aggregate."""
-    structs = []
-    for order, (name, weights) in enumerate(blends.items()):
-        metrics = regression_metrics(truth, blend(model, weights, df.columns))
-        structs.append(F.struct(
+    """Metrics and selection score of every blend, in one grouped aggregate."""
+    guesses = F.array(*[
+        F.struct(
             F.lit(order).alias("blend_order"), F.lit(name).alias("blend"),
-            *[v.alias(k) for k, v in metrics.items()],
-        ))
-    scored = df.agg(F.array(*structs).alias("_all")).select(F.inline("_all"))
+            blend(model, weights, df.columns).alias("_guess"),
+        )
+        for order, (name, weights) in enumerate(blends.items())
+    ])
+    each = df.select(F.col(truth).alias("_truth"), F.inline(guesses))
+    scored = evaluate(each, "_truth", "_guess", "blend_order", "blend")
     return scored.withColumn("score", selection_score())
 
 

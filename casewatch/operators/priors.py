@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from casewatch import presets
 from casewatch.functions.numbers import safe_ratio
 from casewatch.operators.windows import ENTITY
+from casewatch.session import materialize
 
 MONTHS = range(1, 13)
 # Coarser grains than the entity itself, each a subset of its keys.
@@ -62,6 +63,14 @@ class Priors:
         counts = [F.count_if(F.col("month") == m).alias(f"n{m}") for m in MONTHS]
         return Priors(panel.groupBy(*ENTITY).agg(*sums, *counts))
 
+    def stored(self) -> Priors:
+        """The same priors over a written base table.
+
+        The base is small and read once per grain, so its computation should
+        not be part of every plan that applies it.
+        """
+        return Priors(materialize(self.base))
+
     def grain(self, keys: list[str], prefix: str) -> DataFrame:
         return _roll_up(self.base, keys, prefix)
 

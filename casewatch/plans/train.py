@@ -182,14 +182,14 @@ def train_one(
     if rows < presets.MIN_TRAINING_ROWS:
         raise ValueError(f"not enough rows to train model {name}: {rows}")
     train, test = split_panel(panel, rows)
-    priors = Priors(materialize(Priors.fit(train).base))
+    priors = Priors.fit(train).stored()
     # The forest reads its input many times; the prior joins run once.
     train_rows = materialize(prepared(train, priors), spread_by=KEY)
     test_rows = materialize(prepared(test, priors))
     best = select_best(score_candidates(train_rows, test_rows, candidates))
     candidate: Candidate = best["candidate"]
 
-    final_priors = Priors(materialize(Priors.fit(panel).base))
+    final_priors = Priors.fit(panel).stored()
     full = materialize(prepared(panel, final_priors), spread_by=KEY)
     pipeline = fit_forest(full, candidate)
     scored = predict_raw(full, pipeline, candidate.transform)

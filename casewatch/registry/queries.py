@@ -454,12 +454,12 @@ def seen(df: DataFrame) -> DataFrame:
 
 def prior_features(spark, folder):
     rows = materialize(monthly_panel(spark, folder))
-    return pri.apply_priors(rows, pri.Priors.fit(seen(rows)))
+    return pri.apply_priors(rows, pri.Priors.fit(seen(rows)).stored())
 
 
 def scored_lags(spark: SparkSession, folder: str, compat: bool) -> DataFrame:
     cases = case_view(spark, folder)
-    fitted = pri.Priors.fit(seen(pan.monthly_panel(cases)))
+    fitted = pri.Priors.fit(seen(pan.monthly_panel(cases))).stored()
     features = pri.scoring_features(pan.scoring_scaffold(cases), fitted, compat)
     keep = [
         "disease", "department", "municipality", "month", "cases_previous_month",
@@ -515,7 +515,7 @@ def regression_metrics(spark, folder):
 
 def blend_select(spark, folder):
     rows = materialize(windows.temporal_features(monthly_panel(spark, folder)))
-    features = pri.apply_priors(rows, pri.Priors.fit(seen(rows)))
+    features = pri.apply_priors(rows, pri.Priors.fit(seen(rows)).stored())
     return rounded(
         metrics.blend_scores(features, "total_cases", "cases_previous_month"), "score"
     )
