@@ -42,10 +42,14 @@ def page(df: DataFrame, order_by: list[str], size: int, start: int = 0) -> DataF
 def with_share(grouped: DataFrame, count: str, name: str, digits: int) -> DataFrame:
     """Percentage of the grand total of already grouped rows.
 
-    The total is a scalar subquery over the same groups, so Spark reuses their
-    shuffle; a window without keys would gather all groups in one task.
+    The total is a scalar subquery over the same groups; a window without keys
+    would gather all groups in one task. The subquery mentions every column,
+    so that its groups equal the query's and Spark reuses their shuffle
+    instead of scanning the cases again.
     """
-    total = grouped.agg(F.sum(count)).scalar()
+    others = [F.max(c).alias(c) for c in grouped.columns if c != count]
+    totals = grouped.agg(F.struct(F.sum(count).alias("_total"), *others)).scalar()
+    total = totals.getField("_total")
     return grouped.withColumn(name, round_up(safe_ratio(F.col(count) * 100, total), digits))
 
 
@@ -53,7 +57,7 @@ def with_share(grouped: DataFrame, count: str, name: str, digits: int) -> DataFr
 
 def weekly_aggregate(
     cases: DataFrame,
-    order_by: list[str] | None = None,
+    order_by: str | None = None,
     low: int = presets.RISK_LABELS[0][0],
     medium: int = presets.RISK_LABELS[1][0],
 ) -> DataFrame:
@@ -62,10 +66,10 @@ def weekly_aggregate(
     Two steps. The first also groups by department code and keeps only
     fixed-width sums, so it stays a hash aggregate with map-side combine. The
     second merges the few rows per group and picks the first non-null code by
-    ``order_by`` (without it: the smallest code).
+    ``order_by``, a number (without it: the smallest code).
     """
     keys = ["enfermedad", "ANO", "SEMANA", DEPARTMENT]
-    order = F.struct(*order_by) if order_by else F.col("COD_DPTO_O")
+    first_at = [F.min(order_by).alias("first_at")] if order_by else []
     partial = cases.groupBy(*keys, "COD_DPTO_O").agg(
         n_rows().alias("n"),
         F.sum("confirmados").alias("confirmados"),
@@ -74,11 +78,10 @@ def weekly_aggregate(
         F.sum(F.rint(F.col("edad_anos") * 100).cast("long")).alias("age_sum"),
         F.count("edad_anos").alias("age_n"),
         n_women().alias("women"),
-        F.min(order).alias("first_at"),
-    )
-    first_code = F.min_by(
-        "COD_DPTO_O", F.when(F.col("COD_DPTO_O").isNotNull(), F.col("first_at"))
+        *first_at,
     )
+    order = F.col("first_at" if order_by else "COD_DPTO_O")
+    first_code = F.min_by("COD_DPTO_O", F.when(F.col("COD_DPTO_O").isNotNull(), order))
     grouped = partial.groupBy(*keys).agg(
         F.sum("n").alias("total_casos"),
         F.coalesce(F.sum("confirmados"), F.lit(0)).alias("confirmados"),

@@ -60,9 +60,11 @@ def outbreak_alerts(
         index = F.floor(F.datediff(iso_week_monday(year, week), F.lit("1970-01-05")) / 7)
     else:
         index = F.col(week)
-    last = weekly.agg(F.max(index)).scalar()
     mean = F.avg("casos_semana").over(W.partitionBy(place))
     cases, usual = F.col("casos_semana"), F.col("_mean")
+    # Reading the count keeps the grouping in this subquery, so that it reuses
+    # the weekly shuffle; a bare maximum would scan the cases a second time.
+    last = weekly.agg(F.max(F.when(cases > 0, index))).scalar()
     alerts = (
         weekly.withColumns({"_mean": mean, "_index": index})
         .filter((F.col("_index") >= last - (rule.last_weeks - 1)) & (cases >= usual * rule.keep))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,7 +15,7 @@ from casewatch.operators.dedupe import dedupe_cases
 from casewatch.operators.quality import quality_report
 from casewatch.sources import files, sinks
 
-ORDER = [files.SOURCE_ORDER, files.ROW_ORDER]
+ORDER = "row_ordinal"
 COPIES = "_copies"
 
 
@@ -49,7 +50,11 @@ def read_sources(spark: SparkSession, sources: list[Source]) -> DataFrame:
             raw, source.disease, source.event_code, source.year, source.source,
             filename, keep=[files.ROW_ORDER],
         )
-        frames.append(aligned.withColumn(files.SOURCE_ORDER, F.lit(ordinal)))
+        # One number for source and row: a fixed-width value that aggregates
+        # can compare without sorting.
+        first = F.lit(Decimal(ordinal * 10**20)).cast("decimal(38,0)")
+        place = (first + F.col(files.ROW_ORDER)).cast("decimal(38,0)")
+        frames.append(aligned.withColumn(ORDER, place).drop(files.ROW_ORDER))
     # Cleaning is row by row, so one pass after the union does for all sources.
     return clean_cases(union_sources(frames))
 
@@ -75,9 +80,8 @@ def derive(staged: DataFrame) -> EtlResult:
     columns = [
         *presets.CANONICAL_COLUMNS, *presets.LINEAGE_COLUMNS, *presets.DERIVED_COLUMNS
     ]
-    order = [c for c in ORDER if c in staged.columns]
     valid = staged.filter(~F.col("is_rejected"))
-    weekly = weekly_aggregate(valid, order_by=order or None)
+    weekly = weekly_aggregate(valid, order_by=ORDER if ORDER in staged.columns else None)
     return EtlResult(
         clean=valid.select(*columns),
         rejected=staged.filter("is_rejected").select(*columns, "reject_reason"),
@@ -91,7 +95,7 @@ def run_etl(
 ) -> EtlResult:
     """Whole job from raw files to the written artefacts and the serving load."""
     cases = read_sources(spark, sources)
-    staged = stage_cases(cases, f"{folder}/stage.parquet", order_by=ORDER)
+    staged = stage_cases(cases, f"{folder}/stage.parquet", order_by=[ORDER])
     result = derive(staged)
     sinks.write_outputs(
         result.clean, result.weekly, result.rejected, result.quality, folder, csv_copies

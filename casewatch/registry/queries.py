@@ -287,7 +287,8 @@ def reject_split(spark, folder):
 
 def quality_report(spark, folder):
     cases = case_view(spark, folder)
-    flagged = clean.flag_rejected(dedupe.dedupe_cases(cases, copies="copies"))
+    # Report and weekly rows both read the deduplicated table.
+    flagged = materialize(clean.flag_rejected(dedupe.dedupe_cases(cases, copies="copies")))
     aggregate = flagged.filter("not is_rejected").select(
         "enfermedad", "ANO", "SEMANA", "Departamento_ocurrencia"
     ).distinct()

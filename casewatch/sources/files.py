@@ -11,7 +11,7 @@ from casewatch import presets
 
 DELIMITERS = [",", ";", "\t", "|"]
 CORRUPT = "_malformed"
-SOURCE_ORDER, ROW_ORDER = "source_ordinal", "row_order"
+ROW_ORDER = "row_order"
 
 
 def _first_line(spark: SparkSession, path: str, encoding: str) -> str:
@@ -40,8 +40,8 @@ def read_csv(
     """All-string scan: long lines dropped, short ones padded, NA texts null.
 
     The header is read once on the driver and becomes an explicit schema, so
-    nothing is inferred. ``row_order`` (file, block, position) is the order of
-    the rows in the source; it survives any later shuffle.
+    nothing is inferred. ``row_order`` numbers the rows in source order and
+    keeps that order through any later shuffle.
     """
     encoding = encoding or detect_encoding(spark, path)
     line = _first_line(spark, path, "UTF-8") if encoding == "UTF-8" else (
@@ -56,10 +56,7 @@ def read_csv(
         header=True, enforceSchema=True, sep=delimiter, encoding=encoding, escape='"',
         mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, multiLine=multi_line,
         nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    ).withColumn(ROW_ORDER, F.struct(
-        "_metadata.file_path", "_metadata.file_block_start",
-        F.monotonically_increasing_id().alias("position"),
-    ))
+    ).withColumn(ROW_ORDER, F.monotonically_increasing_id())
     # A malformed line is short or long; only delimiters outside quotes count.
     unquoted = F.regexp_replace(F.col(CORRUPT), '"([^"]|"")*"', "")
     surplus = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(delimiter), F.lit("")))

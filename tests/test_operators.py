@@ -7,7 +7,7 @@ from casewatch import presets
 from casewatch.operators import (
     aggregates, alerts, align, clean, dedupe, metrics, panel, priors, profile, quality, windows,
 )
-from casewatch.registry.cases import case_view
+from casewatch.registry.cases import case_view, decoded_cases
 
 
 def rows(df, *order):
@@ -88,6 +88,27 @@ def test_dedupe_plan_has_one_shuffle(spark, folder):
     assert plan.count("Exchange") == 1 and "Window" not in plan
 
 
+def test_shares_and_alerts_scan_cases_once(spark, folder):
+    cases = decoded_cases(spark, folder)
+    for df in (
+        aggregates.department_ranking(cases, "BUILDING"),
+        alerts.outbreak_alerts(cases, "BUILDING"),
+    ):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("Initial Plan")[0]
+        assert "ReusedExchange" in plan and final
+
+
+def test_weekly_counts_stay_hash_aggregates(spark, folder):
+    cases = decoded_cases(spark, folder).withColumn(
+        "o", F.monotonically_increasing_id().cast("decimal(38,0)")
+    )
+    plan = aggregates.weekly_aggregate(cases, order_by="o")._jdf.queryExecution().executedPlan()
+    # Only the merge of the few codes per group sorts.
+    assert plan.toString().count("SortAggregate") == 2
+
+
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([("d", 1, 5), ("d", None, 6)], "k string, m int, v int")
     new = spark.createDataFrame([("d", None, 7), ("e", 1, 8)], "k string, m int, v int")
@@ -158,7 +179,7 @@ def test_weekly_first_code_and_null_groups(spark):
         "enfermedad string, ANO int, SEMANA int, Departamento_ocurrencia string, COD_DPTO_O string,"
         " confirmados int, edad_anos double, SEXO string, o int",
     ).withColumns({"hospitalizado": F.lit("Hospitalizado"), "condicion_final": F.lit("Vivo")})
-    row = aggregates.weekly_aggregate(df, order_by=["o"]).head()
+    row = aggregates.weekly_aggregate(df, order_by="o").head()
     assert row["cod_dpto"] == "05" and row["total_casos"] == 3 and row["confirmados"] == 2
     assert row["edad_promedio"] == 3.5 and row["pct_femenino"] == 66.67
     assert row["hospitalizados"] == 3 and row["month"] == 1 and row["risk_label"] == "bajo"
