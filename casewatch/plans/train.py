@@ -92,22 +92,19 @@ def feature_stages(
     ]
 
 
-def fill_modes(df: DataFrame, columns: list[str] = presets.CATEGORICAL_FEATURES) -> DataFrame:
-    """Most frequent value for missing categories.
-
-    The counts are one grouped aggregate; only the winners, one per column,
-    reach the query as a scalar.
-    """
+def category_modes(
+    df: DataFrame, columns: list[str] = presets.CATEGORICAL_FEATURES
+) -> dict[str, str]:
+    """Most frequent value per category (ties: smallest), from one grouped count."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
     counted = df.select(F.inline(pairs)).filter("value is not null").groupBy(
         "column", "value"
     ).agg(F.count(F.lit(1)).alias("n"))
-    modes = counted.groupBy("column").agg(
+    best = counted.groupBy("column").agg(
         F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("_best")
-    ).agg(F.map_from_entries(F.collect_list(F.struct("column", "_best.value")))).scalar()
-    return df.withColumns({
-        c: F.coalesce(F.col(c), F.element_at(modes, F.lit(c))) for c in columns
-    })
+    )
+    # One row per categorical feature.
+    return {row["column"]: row["_best"]["value"] for row in best.collect()}
 
 
 def numeric_as_double(df: DataFrame) -> DataFrame:
@@ -167,8 +164,9 @@ def split_panel(panel: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def prepared(panel: DataFrame, priors: Priors) -> DataFrame:
-    return numeric_as_double(fill_modes(apply_priors(panel, priors)))
+def prepared(panel: DataFrame, priors: Priors, modes: dict[str, str]) -> DataFrame:
+    """Model input: missing categories filled, priors added, numbers as double."""
+    return numeric_as_double(apply_priors(panel.na.fill(modes), priors))
 
 
 def train_one(
@@ -184,13 +182,16 @@ def train_one(
     train, test = split_panel(panel, rows)
     priors = Priors.fit(train).stored()
     # The forest reads its input many times; the prior joins run once.
-    train_rows = materialize(prepared(train, priors), spread_by=KEY)
-    test_rows = materialize(prepared(test, priors))
+    modes = category_modes(train)
+    train_rows = materialize(prepared(train, priors, modes), spread_by=KEY)
+    test_rows = materialize(prepared(test, priors, modes))
     best = select_best(score_candidates(train_rows, test_rows, candidates))
     candidate: Candidate = best["candidate"]
 
     final_priors = Priors.fit(panel).stored()
-    full = materialize(prepared(panel, final_priors), spread_by=KEY)
+    full = materialize(
+        prepared(panel, final_priors, category_modes(panel)), spread_by=KEY
+    )
     pipeline = fit_forest(full, candidate)
     scored = predict_raw(full, pipeline, candidate.transform)
     mixed = scored.withColumn(
