@@ -24,7 +24,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,27 +181,26 @@ def pack(
         raise ValueError("tiers are ascending powers of two")
     path, end = tokenizer or tokenizer_path(), np.asarray([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(path).text
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << 33)
         for batch in batches:
-            ids = batch["i"].astype(object).where(batch["i"].notna(), None)
-            texts = batch["t"].tolist()
-            for at in range(0, len(texts), window):
-                for one, words in zip(ids[at:at + window], texts[at:at + window], strict=True):
+            for at in range(0, len(batch), window):
+                part = batch[at:at + window].to_pydict()
+                for one, words in zip(part["i"], part["t"], strict=True):
                     packer.add(one, ids_of(words) + end)
                 yield frame(packer.flush(last=False))
         yield frame(packer.flush(last=True))
 
     narrow = common.only(docs, i=F.col(doc_id).cast("long"), t=F.coalesce(F.col(text), F.lit("")))
-    return narrow.mapInPandas(run, SCHEMA)
+    return narrow.mapInArrow(run, SCHEMA)
 
 
-def frame(rows: list[tuple]) -> pd.DataFrame:
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    out = pd.DataFrame(rows, columns=names)
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    return out
+def frame(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [c.split() for c in SCHEMA.split(", ")]
+    values = zip(*rows, strict=True) if rows else [[]] * len(columns)
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(values, columns, strict=True)], [n for n, _ in columns])
 
 
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
