@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from casewatch.llm import packing
+from casewatch.llm import packing, quality
 
-MODULES = [packing]
+MODULES = [quality, packing]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in getattr(m, "SQL", {}).items()}
