@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from casewatch.llm import mixing, packing, quality
+from casewatch.llm import exact, mixing, packing, quality
 
-MODULES = [quality, mixing, packing]
+MODULES = [exact, quality, mixing, packing]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in getattr(m, "SQL", {}).items()}
