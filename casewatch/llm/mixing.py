@@ -33,7 +33,7 @@ from casewatch.session import materialize
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-LEAF_ROWS, FAN_IN = 20_000, 64
+LEAF_ROWS, FAN_IN = 1000, 64
 WORD = r"[^\x20\x09-\x0D]+"
 TINY = 1e-12
 
