@@ -24,8 +24,11 @@ from pyspark.sql.types import StructType
 from casewatch.llm import common
 from casewatch.session import materialize, scratch_path
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without preallocated log files, of which every partition would hold 4 MB.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 Digest = Callable[[Column], Column]
 
 
@@ -42,8 +45,9 @@ def arrivals(rows: DataFrame) -> DataFrame:
 def stream_state(spark: SparkSession, path: str, schema: StructType, parts: Callable[[DataFrame], DataFrame], state_dir: str | None) -> DataFrame:
     """Run all files under ``path`` through the keyed state; then the state itself, one row per digest."""
     state_dir = state_dir or scratch_path(spark)
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE}
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
     try:
         # As a pattern, the path may be a folder or a single file.
         rows = parts(spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]"))
@@ -51,7 +55,8 @@ def stream_state(spark: SparkSession, path: str, schema: StructType, parts: Call
         query = keyed.writeStream.format("noop").outputMode("update").option("checkpointLocation", state_dir).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     held = spark.read.format("statestore").load(state_dir)
     return materialize(held.select("key.digest", F.col("value.max").alias("stays"), F.col("value.count").alias("n")))
 
