@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from casewatch.llm import exact, forest, license, mixing, packing, quality
+from casewatch.llm import exact, forest, html, license, mixing, packing, quality
 
-MODULES = [exact, forest, license, quality, mixing, packing]
+MODULES = [exact, forest, html, license, quality, mixing, packing]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in getattr(m, "SQL", {}).items()}
