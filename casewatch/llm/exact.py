@@ -69,7 +69,9 @@ def different_bytes(contents: DataFrame, state: DataFrame) -> DataFrame:
             "id <=> stays.id AND h1 = stays.h1 AND h2 = stays.h2").alias("holds"))
     )
     holders = met.filter("holds").groupBy("digest").agg(F.max("text").alias("held"))
-    return materialize(met.join(holders, "digest").filter(F.col("text") != F.col("held")).select("digest", "h1", "h2").distinct())
+    # Written before it is made distinct, so that the join may split a hot digest.
+    apart = materialize(met.join(holders, "digest").filter(F.col("text") != F.col("held")).select("digest", "h1", "h2"))
+    return apart.distinct()
 
 
 def resolve(rows: DataFrame, state: DataFrame, other: DataFrame) -> DataFrame:
