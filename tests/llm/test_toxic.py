@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -60,8 +61,16 @@ def test_held_out_documents(scored):
 
 
 def test_spans_point_at_words(spark):
-    texts = ["you are an idiot here", "a quiet day", "what a clown show", "a fine day"] * 30
-    model = toxic.fit(texts, np.array([1, 0, 1, 0] * 30), 0.3)
+    rng = random.Random(2)
+    plain = [f"word{i}" for i in range(50)] + ["an", "yes", "quiet", "a", "day"]
+    texts, labels = [], []
+    for i in range(300):
+        words = rng.choices(plain, k=20)
+        if i % 2:
+            words[rng.randrange(20)] = rng.choice(["idiot", "clown"])
+        texts.append(" ".join(words))
+        labels.append(i % 2)
+    model = toxic.fit(texts, np.array(labels), 0.3)
     rows = [(1, "An  IDIOT, yes", "x"), (2, None, "x"), (3, "", None), (None, "a quiet day", "x"), (4, "quiet " * 60_000 + "clown", "x"), (4, "idiot idiot", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
     got = toxic.score(docs, model).collect()
