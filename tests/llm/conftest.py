@@ -1,8 +1,13 @@
 """The session and folder come from the tests above; brute-force checks read the smallest tables."""
 
+import sys
+from pathlib import Path
+
 import pandas as pd
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parent))
+
 
 @pytest.fixture(scope="session")
 def documents(folder):
