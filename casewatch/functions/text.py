@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterable
 from functools import cache
@@ -23,9 +24,7 @@ SPACE = (
 )
 # Whitespace that is not already one plain blank.
 UNEVEN_SPACE = f"{SPACE}{{2,}}|(?! ){SPACE}"
-# Blocks whose compatibility folds are built into the tables below: Latin,
-# Greek, Cyrillic and symbols, the Latin ligatures, and full-width ASCII.
-FOLD_BLOCKS = ((0x80, 0x24FF), (0xFB00, 0xFB06), (0xFF01, 0xFF5E))
+SURROGATES = range(0xD800, 0xE000)  # no characters
 
 
 def _fold_char(char: str) -> str:
@@ -35,21 +34,23 @@ def _fold_char(char: str) -> str:
 
 @cache
 def fold_tables() -> tuple[str, str, dict[str, str]]:
-    """One-to-one fold (source and target strings) and the one-to-many folds."""
+    """One-to-one fold (source and target strings) and the one-to-many folds.
+
+    All code points whose compatibility decomposition differs, built once.
+    """
     source, target, longer = [], [], {}
-    for low, high in FOLD_BLOCKS:
-        for point in range(low, high + 1):
-            char = chr(point)
-            if unicodedata.combining(char):
-                continue
-            folded = _fold_char(char)
-            if folded == char:
-                continue
-            if len(folded) == 1:
-                source.append(char)
-                target.append(folded)
-            else:
-                longer[char] = folded
+    for point in range(0x80, sys.maxunicode + 1):
+        if point in SURROGATES:
+            continue
+        char = chr(point)
+        if unicodedata.combining(char):
+            continue
+        folded = _fold_char(char)
+        if len(folded) == 1 and folded != char:
+            source.append(char)
+            target.append(folded)
+        elif len(folded) != 1:
+            longer[char] = folded
     return "".join(source), "".join(target), longer
 
 
@@ -61,13 +62,13 @@ def _ranges(points: Iterable[int]) -> str:
             spans[-1][1] = point
         else:
             spans.append([point, point])
-    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans)
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans)
 
 
 @cache
 def combining_class() -> str:
-    """Regex class of the BMP characters with a non-zero combining class."""
-    points = [p for p in range(0x300, 0x10000) if unicodedata.combining(chr(p))]
+    """Regex class of the characters with a non-zero combining class."""
+    points = [p for p in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(p))]
     return f"[\\p{{M}}&&[{_ranges(points)}]]"
 
 
@@ -180,11 +181,6 @@ def normalize_disease(
     return F.when(col(value).isNotNull(), F.coalesce(known, title_words(strip(value))))
 
 
-def label_disease(value: str | Column) -> Column:
-    """Serving label: title case of the trimmed text."""
-    return title_blank_separated(value)
-
-
 def lookup(key: Column, table: dict) -> Column:
     """Value of a short literal code list; unmapped keys are null.
 
@@ -217,7 +213,9 @@ def same_text(value: str | Column, wanted: str) -> Column:
 
 
 def normalize_header(name: str) -> str:
-    """Header key used to match column aliases (driver side: names only)."""
-    text = unicodedata.normalize("NFKD", str(name).strip().replace("\ufeff", ""))
-    text = "".join(c for c in text if not unicodedata.combining(c)).upper()
-    return re.sub(r"[^A-Z0-9]+", "_", text).strip("_")
+    """Key by which a header finds its canonical column (names only, on the driver).
+
+    Plain capital letters and digits in runs, one underscore between two runs.
+    """
+    plain = "".join(map(_fold_char, name)).upper()
+    return "_".join(re.findall("[A-Z0-9]+", plain))

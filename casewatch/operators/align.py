@@ -120,8 +120,3 @@ def union_sources(frames: Iterable[DataFrame]) -> DataFrame:
     if not frames:
         raise FileNotFoundError("none of the configured sources exists")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-def serving_names(df: DataFrame) -> DataFrame:
-    """Column names of the serving aggregate."""
-    return df.withColumnsRenamed({"ANO": "año", "Departamento_ocurrencia": "departamento"})

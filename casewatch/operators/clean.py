@@ -122,12 +122,16 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
 def find_prediction(
     predictions: DataFrame, disease: str, month: int, department: str, city: str
 ) -> DataFrame:
-    """One published prediction by its key; names are matched accent-free."""
+    """One published prediction by its key, or ``NotFoundError``.
+
+    The disease is matched without case, names without accents.
+    """
     wanted = predictions.sparkSession.range(1).select(
         text.normalize_name(F.lit(department)).alias("department"),
         text.normalize_name(F.lit(city)).alias("city"),
     )
-    hit = predictions.filter((F.col("disease") == disease) & (F.col("month") == month))
-    return hit.join(F.broadcast(wanted), ["department", "city"], "left_semi").select(
+    hit = predictions.filter(text.same_text("disease", disease) & (F.col("month") == month))
+    found = hit.join(F.broadcast(wanted), ["department", "city"], "left_semi").select(
         *predictions.columns
     )
+    return require_rows(found, f"no prediction for {disease} in {city}, month {month}")

@@ -138,27 +138,44 @@ ORACLES: dict[str, str] = {}
 # --- alerts and dashboard ------------------------------------------------------------
 
 ORACLES["alerts_recent_weeks"] = RECENT
-ORACLES["alerts_latest_week"] = alerts_sql(
-    "WITH " + CASES, "Municipio_ocurrencia", BUILDING + " AND SEMANA <= 52", 1.2, 1.5, 2.0, 1,
-    show=title("place"), limit=None,
-)
-ORACLES["alerts_weekly_table"] = alerts_sql(
-    "WITH " + WEEKLY, "departamento", "weekly WHERE upper(enfermedad) = 'BUILDING'",
-    1.2, 1.5, 2.0, 5, count="sum(total_casos)",
-)
-ORACLES["alerts_by_year"] = f"""WITH {CASES},
-wk AS (SELECT Municipio_ocurrencia AS place, ANO, SEMANA, CAST(count(*) AS BIGINT) AS n,
-         date_diff('day', DATE '1970-01-05', CAST(date_trunc('week', make_date(ANO, 1, 4)) AS DATE)
+def yearly_alerts_sql(
+    source: str, place: str, where: str, keep: float, medium: float, high: float, last: int,
+    digits: int = 2, year: str = "ANO", count: str = "count(*)", show: str = "place",
+    limit: int | None = 20,
+) -> str:
+    """As ``alerts_sql`` with weeks of different years apart."""
+    scale = 10**digits
+    tail = f" ORDER BY ratio DESC, departamento, semana LIMIT {limit}" if limit else ""
+    return f"""{source},
+wk AS (SELECT {place} AS place, {year}, SEMANA, CAST({count} AS BIGINT) AS n,
+         date_diff('day', DATE '1970-01-05', CAST(date_trunc('week', make_date({year}, 1, 4)) AS DATE)
               + (SEMANA - 1) * 7) // 7 AS idx
-       FROM {BUILDING} GROUP BY ALL),
+       FROM {where} GROUP BY {place}, {year}, SEMANA),
 st AS (SELECT *, avg(n) OVER (PARTITION BY place) AS usual FROM wk)
-SELECT place AS departamento, ANO, SEMANA AS semana, n AS casos_semana,
-       floor(usual * 100 + 0.5) / 100 AS promedio_historico,
+SELECT {show} AS departamento, {year}, SEMANA AS semana, n AS casos_semana,
+       floor(usual * {scale} + 0.5) / {scale} AS promedio_historico,
        floor(n / usual * 100 + 0.5) / 100 AS ratio,
-       CASE WHEN n >= usual * 2 THEN 'ALTO' WHEN n >= usual * 1.5 THEN 'MEDIO'
+       CASE WHEN n >= usual * {high} THEN 'ALTO' WHEN n >= usual * {medium} THEN 'MEDIO'
             ELSE 'BAJO' END AS nivel_alerta
-FROM st WHERE n >= usual * 1.2 AND idx >= (SELECT max(idx) FROM wk) - 4
-ORDER BY ratio DESC, departamento, semana LIMIT 20"""
+FROM st WHERE n >= usual * {keep} AND idx >= (SELECT max(idx) FROM wk) - {last - 1}{tail}"""
+
+
+SECTOR = "concat(Municipio_ocurrencia, ' ', SEXO)"
+ORACLES["alerts_by_year"] = yearly_alerts_sql(
+    "WITH " + CASES, "Municipio_ocurrencia", BUILDING, 1.2, 1.5, 2.0, 5
+)
+ORACLES["alerts_latest_week"] = yearly_alerts_sql(
+    "WITH " + CASES, SECTOR, "cases WHERE upper(enfermedad) = 'AUTOMOBILE'", 1.2, 1.5, 2.0, 1,
+    show=title("place"), limit=None,
+)
+PUBLISHED = yearly_alerts_sql(
+    "WITH " + CASES, SECTOR, "cases WHERE upper(enfermedad) = 'HOUSEHOLD'", 2.0, 2.0, 3.0, 5, digits=1
+)
+ORACLES["alerts_published_recent"] = PUBLISHED
+ORACLES["alerts_weekly_table"] = yearly_alerts_sql(
+    "WITH " + WEEKLY, "departamento", "weekly WHERE upper(enfermedad) = 'AUTOMOBILE'",
+    1.2, 1.5, 2.0, 5, year='"año"', count="sum(total_casos)",
+)
 ORACLES["alert_severity_rollup"] = f"""WITH found AS ({RECENT}),
 ranked AS (SELECT *, list_position(['NINGUNO', 'BAJO', 'MEDIO', 'ALTO'], nivel_alerta) AS k
            FROM found)
@@ -167,7 +184,7 @@ SELECT ['NINGUNO', 'BAJO', 'MEDIO', 'ALTO'][coalesce(max(k), 1)] AS nivel_global
 UNION ALL
 SELECT ['NINGUNO', 'BAJO', 'MEDIO', 'ALTO'][coalesce(max(k), 1)],
        CAST(count(*) AS BIGINT), 'nation_12' FROM ranked WHERE upper(departamento) = 'NATION_12'"""
-ORACLES["departments_at_risk"] = f"""WITH found AS ({RECENT})
+ORACLES["departments_at_risk"] = f"""WITH found AS ({PUBLISHED})
 SELECT departamento, ratio FROM found WHERE nivel_alerta = 'ALTO'
 ORDER BY ratio DESC, departamento, semana LIMIT 5"""
 ORACLES["disease_summary"] = f"""WITH {DECODED}

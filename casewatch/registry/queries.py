@@ -15,7 +15,7 @@ from casewatch.operators import (
 )
 from casewatch.plans import etl, score, train
 from casewatch.registry.cases import (
-    aligned_cases, case_view, decoded_cases, panel, spread, table,
+    aligned_cases, case_view, decoded_cases, panel, table,
 )
 from casewatch.session import configure, materialize, scratch_path
 from casewatch.sources import catalog, files, sinks
@@ -24,8 +24,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 DISEASE, REGION = "BUILDING", "ASIA"
 MUNICIPALITY = "Municipio_ocurrencia"
 RULE = alerts.AlertRule(keep=1.2, medium=1.5, high=2.0, last_weeks=5, limit=20)
-# The view's last ISO week (53) exists in few years, so it is left out here.
-LATEST = alerts.AlertRule(keep=1.2, medium=1.5, high=2.0, last_weeks=1, title_case=True)
 FEW_TREES = [c.scaled(0.02, 6) for c in train.CANDIDATES[:2]]
 
 
@@ -42,15 +40,29 @@ def alerts_recent_weeks(spark, folder):
     )
 
 
+def sectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The view with a finer place: nation and sex, small cells with large ratios."""
+    return case_view(spark, folder).withColumn("sector", F.concat_ws(" ", MUNICIPALITY, "SEXO"))
+
+
 def alerts_latest_week(spark, folder):
-    cases = case_view(spark, folder).filter("SEMANA <= 52")
-    return alerts.outbreak_alerts(cases, DISEASE, LATEST, place=MUNICIPALITY)
+    """The published view's preset; its last week is that of the last year."""
+    return alerts.outbreak_alerts(
+        sectors(spark, folder), "AUTOMOBILE", alerts.LATEST_WEEK, place="sector", by_year=True
+    )
+
+
+def alerts_published_recent(spark, folder):
+    """The published service's preset."""
+    return alerts.outbreak_alerts(
+        sectors(spark, folder), "HOUSEHOLD", alerts.RECENT_WEEKS, place="sector", by_year=True
+    )
 
 
 def alerts_weekly_table(spark, folder):
     return alerts.outbreak_alerts(
-        weekly(spark, folder), DISEASE, RULE, place="departamento", count="total_casos",
-        year="año",
+        weekly(spark, folder), "AUTOMOBILE", RULE, place="departamento", count="total_casos",
+        year="año", by_year=True,
     )
 
 
@@ -68,7 +80,7 @@ def alert_severity_rollup(spark, folder):
 
 
 def departments_at_risk(spark, folder):
-    return alerts.departments_at_risk(alerts_recent_weeks(spark, folder))
+    return alerts.departments_at_risk(alerts_published_recent(spark, folder))
 
 
 def disease_summary(spark, folder):
@@ -179,7 +191,7 @@ def clean_cases(spark, folder):
 
 
 def text_normalize(spark, folder):
-    documents = spread(table(spark, folder, "documents")).select(
+    documents = table(spark, folder, "documents").select(
         "doc_id", F.col("text").alias("normal"),
         text.normalize_name("source").alias("source_key"),
     )
@@ -503,7 +515,7 @@ def outbreak_scalars(spark, folder):
 
 def prediction_lookup(spark, folder):
     return clean.find_prediction(
-        prediction_rows(spark, folder), DISEASE, 3, " asia", "Nation_2 "
+        prediction_rows(spark, folder), DISEASE.lower(), 3, " asia", "Nation_2 "
     )
 
 
@@ -613,7 +625,7 @@ def source_counts(spark, folder):
 
 
 QUERIES: list[Query] = [
-    alerts_recent_weeks, alerts_latest_week, alerts_weekly_table, alerts_by_year,
+    alerts_recent_weeks, alerts_latest_week, alerts_published_recent, alerts_weekly_table, alerts_by_year,
     alert_severity_rollup, departments_at_risk, disease_summary,
     disease_summary_truncated, peak_week, peak_week_by_year, weekly_series,
     weekly_by_place, sum_by_key, department_ranking, department_cases,

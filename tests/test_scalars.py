@@ -1,5 +1,6 @@
 """Hand-computed cases of the scalar functions."""
 
+import unicodedata
 from datetime import datetime
 
 import pytest
@@ -224,6 +225,14 @@ def test_lag_month(spark):
     assert wrapped[0] == (12, 11, 10, 9, 8, 7)
 
 
+def test_folds_all_compatibility_letters(spark):
+    raw = ["\U0001d400\U0001d41a", "\ufefb", "\u3392", "\U0001e944\U00011099", "각"]
+    want = ["".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)) for x in raw]
+    assert values(spark, raw, "x string", text.fold_accents("x")) == want
+
+
 def test_header_names():
+    assert text.normalize_header("") == text.normalize_header(" - ") == ""
+
     assert text.normalize_header("﻿ Fecha de notificación ") == "FECHA_DE_NOTIFICACION"
     assert text.normalize_header("AÑO") == "ANO"
