@@ -20,9 +20,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     low = ends.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     linked = ends.join(low, "u")
     if large:
-        pairs = linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        pairs = linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        # Repeats go with the next small star.
+        return linked.filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    pairs = linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
     return pairs.filter("u <> v").distinct()
 
 
