@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from casewatch import presets
 
@@ -23,15 +23,25 @@ def dedupe_cases(
 
     ``order_by`` decides which copy is first (default: all columns) and is not
     part of a row's content. ``copies`` adds the number of merged rows.
+
+    With one numeric ``order_by`` column, unique per row, the aggregate holds two
+    numbers per key and hashes; the rows it names are then fetched by a join.
     """
     order = order_by or df.columns
     content = [c for c in df.columns if c not in (order_by or [])]
     has_id = F.col(id_column).isNotNull() & (F.col(id_column) != presets.NO_DATA)
     whole_row = F.when(~has_id, F.struct(*content))
-    grouped = df.groupBy(
+    groups = df.groupBy(
         *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
         whole_row.alias("_content"),
-    ).agg(
+    )
+    if len(order) == 1 and isinstance(df.schema[order[0]].dataType, T.NumericType):
+        first = groups.agg(F.min(order[0]).alias("_place"), F.count(F.lit(1)).alias("_copies"))
+        # The named rows hash, so neither side is sorted.
+        named = first.select("_place", "_copies").hint("shuffle_hash")
+        rows = df.join(named, df[order[0]] == F.col("_place"))
+        return rows.select(*df.columns, *([F.col("_copies").alias(copies)] if copies else []))
+    grouped = groups.agg(
         F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_first"),
         F.count(F.lit(1)).alias("_copies"),
     )

@@ -13,6 +13,7 @@ from casewatch.operators.align import align_source, union_sources
 from casewatch.operators.clean import clean_cases, flag_rejected
 from casewatch.operators.dedupe import dedupe_cases
 from casewatch.operators.quality import quality_report
+from casewatch.session import materialize
 from casewatch.sources import files, sinks
 
 ORDER = "row_ordinal"
@@ -52,7 +53,7 @@ def read_sources(spark: SparkSession, sources: list[Source]) -> DataFrame:
         )
         # One number for source and row: a fixed-width value that aggregates
         # can compare without sorting.
-        first = F.lit(Decimal(ordinal * 10**20)).cast("decimal(38,0)")
+        first = F.lit(Decimal(ordinal * 10**35)).cast("decimal(38,0)")
         place = (first + F.col(files.ROW_ORDER)).cast("decimal(38,0)")
         frames.append(aligned.withColumn(ORDER, place).drop(files.ROW_ORDER))
     # Cleaning is row by row, so one pass after the union does for all sources.
@@ -75,18 +76,24 @@ def stage_cases(cases: DataFrame, path: str, order_by: list[str] | None = None)
     )
 
 
-def derive(staged: DataFrame) -> EtlResult:
-    """Clean and rejected rows, weekly aggregate and report of staged cases."""
+def derive(staged: DataFrame, weekly_path: str) -> EtlResult:
+    """Clean and rejected rows, weekly aggregate and report of staged cases.
+
+    The weekly table is written here and the report computed once, so that no later
+    reader of either goes back to the cases.
+    """
     columns = [
         *presets.CANONICAL_COLUMNS, *presets.LINEAGE_COLUMNS, *presets.DERIVED_COLUMNS
     ]
     valid = staged.filter(~F.col("is_rejected"))
-    weekly = weekly_aggregate(valid, order_by=ORDER if ORDER in staged.columns else None)
+    found = weekly_aggregate(valid, order_by=ORDER if ORDER in staged.columns else None)
+    sinks.write_table(found, weekly_path)
+    weekly = staged.sparkSession.read.parquet(weekly_path)
     return EtlResult(
         clean=valid.select(*columns),
         rejected=staged.filter("is_rejected").select(*columns, "reject_reason"),
         weekly=weekly,
-        quality=quality_report(staged, columns, copies=COPIES, weekly=weekly),
+        quality=materialize(quality_report(staged, columns, copies=COPIES, weekly=weekly)),
     )
 
 
@@ -96,7 +103,7 @@ def run_etl(
     """Whole job from raw files to the written artefacts and the serving load."""
     cases = read_sources(spark, sources)
     staged = stage_cases(cases, f"{folder}/stage.parquet", order_by=[ORDER])
-    result = derive(staged)
+    result = derive(staged, f"{folder}/weekly.parquet")
     sinks.write_outputs(
         result.clean, result.weekly, result.rejected, result.quality, folder, csv_copies
     )

@@ -15,8 +15,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def case_view(spark: SparkSession, folder: str) -> DataFrame:
-    """One case per order line. Join strategies are left to the optimizer."""
+def case_view(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    """One case per order line; ``more`` names further columns of the tables.
+
+    Join strategies are left to the optimizer.
+    """
     line = table(spark, folder, "lineitem")
     order = table(spark, folder, "orders")
     customer = table(spark, folder, "customer")
@@ -58,9 +61,31 @@ def case_view(spark: SparkSession, folder: str) -> DataFrame:
         col("n_nationkey").cast("string").alias("COD_MUN_O"),
         F.when(col("l_discount") > 0.085, "Confirmado por laboratorio")
         .otherwise("Descartado").alias("nom_est_f_caso"),
+        *more,
     )
 
 
+def ordered_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """The view with a number per row, as a source scan gives it."""
+    view = case_view(spark, folder, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    place = F.col("l_orderkey").cast("decimal(19,0)") * 8 + F.col("l_linenumber")
+    for part in ("l_partkey", "l_suppkey", "l_quantity"):
+        place = (place.cast("decimal(38,0)") * 1_000_000).cast("decimal(38,0)") + F.col(part).cast("decimal(19,0)")
+    return view.withColumn("row_place", place.cast("decimal(38,0)")).drop(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+def raw_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """The view as raw files hold it: unknown weeks, impossible years, rows sent twice."""
+    view = case_view(spark, folder, "l_partkey", "l_suppkey")
+    once = view.withColumns({
+        "CONSECUTIVE": F.concat("CONSECUTIVE", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey"),
+        "SEMANA": F.when(F.col("l_partkey") % 97 != 0, F.col("SEMANA")),
+        "ANO": F.when(F.col("l_suppkey") % 7 == 0, 1899).otherwise(F.col("ANO")),
+    })
+    return once.unionByName(once.filter("l_partkey % 10 = 0")).drop("l_partkey", "l_suppkey")
+
+
 def aligned_cases(spark: SparkSession, folder: str) -> DataFrame:
     """The view in the canonical columns with lineage, ready to clean."""
     aligned = align(case_view(spark, folder), keep=["enfermedad"])

@@ -359,8 +359,11 @@ COLUMNS = (
     "TIP_SS, TIP_CAS, PAC_HOS, CON_FIN, AREA, estrato, Departamento_ocurrencia, "
     "Municipio_ocurrencia, COD_DPTO_O, COD_MUN_O, nom_est_f_caso"
 )
-ORDERED = ", ".join(f"{c} NULLS FIRST" for c in COLUMNS.split(", "))
-DEDUPED = CASES + f""",
+PLACED = CASES.replace(
+    "AS nom_est_f_caso\n", "AS nom_est_f_caso, l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity\n", 1
+)
+ORDERED = "l_orderkey * 8 + l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT)"
+DEDUPED = PLACED + f""",
 with_id AS (
   SELECT {COLUMNS}, CAST(count(*) OVER (PARTITION BY enfermedad, CONSECUTIVE, COD_EVE) AS BIGINT)
            AS copies,
@@ -377,13 +380,78 @@ ORACLES["dedupe_cases"] = f"WITH {DEDUPED} SELECT * FROM deduped"
 ORACLES["dedupe_removed"] = f"""WITH {DEDUPED}
 SELECT CAST(sum(copies) AS BIGINT) AS rows_before, CAST(count(*) AS BIGINT) AS rows_after,
        CAST(sum(copies - 1) AS BIGINT) AS duplicates_removed FROM deduped"""
-ORACLES["full_etl"] = f"""WITH {DEDUPED}
-SELECT 'rows_after_dedupe' AS metric, CAST(count(*) AS BIGINT) AS value FROM deduped
-UNION ALL SELECT 'duplicates_removed', CAST(sum(copies - 1) AS BIGINT) FROM deduped"""
-ORACLES["reject_split"] = f"""WITH {CASES}
+KEYED = CASES.replace("AS nom_est_f_caso\n", "AS nom_est_f_caso, l.l_partkey, l.l_suppkey\n", 1)
+ORACLES["reject_split"] = f"""WITH {KEYED},
+v AS (SELECT * REPLACE (CASE WHEN l_partkey % 11 <> 0 THEN enfermedad END AS enfermedad,
+        CASE WHEN l_partkey % 13 <> 0 THEN SEMANA END AS SEMANA, CASE WHEN l_suppkey % 7 <> 0 THEN ANO END AS ANO)
+      FROM cases)
 SELECT enfermedad, ANO, SEMANA, Departamento_ocurrencia, Municipio_ocurrencia, {N} AS n,
-       CASE WHEN Departamento_ocurrencia = 'SIN_DATO' THEN 'department' ELSE '' END AS reason
-FROM cases GROUP BY ALL"""
+       concat_ws('|', CASE WHEN ANO IS NULL THEN 'year' END, CASE WHEN SEMANA IS NULL THEN 'week' END,
+         CASE WHEN enfermedad IS NULL THEN 'disease' END,
+         CASE WHEN Departamento_ocurrencia = 'SIN_DATO' THEN 'department' END) AS reason
+FROM v GROUP BY ALL"""
+RAW = KEYED.replace("cases AS (", "base AS (", 1) + """,
+once AS (
+  SELECT * EXCLUDE (l_partkey, l_suppkey) REPLACE (
+    CONSECUTIVE || '-' || l_partkey || '-' || l_suppkey AS CONSECUTIVE,
+    CASE WHEN l_partkey % 97 <> 0 THEN SEMANA END AS SEMANA,
+    CASE WHEN l_suppkey % 7 = 0 THEN 1899 ELSE ANO END AS ANO), l_partkey % 10 = 0 AS twice
+  FROM base
+),
+cases AS (SELECT * EXCLUDE (twice) FROM once UNION ALL SELECT * EXCLUDE (twice) FROM once WHERE twice)"""
+CLEANED = RAW + ORACLES["clean_cases"].removeprefix("WITH " + CASES).replace(
+    "\nSELECT CONSECUTIVE,", ",\ncleaned AS (SELECT CONSECUTIVE,", 1
+).replace("CAST(NULL AS VARCHAR) AS Nombre_evento", "enfermedad AS Nombre_evento", 1) + f"""),
+kept AS (
+  SELECT *, CASE WHEN CONSECUTIVE IS NULL THEN hash(cleaned) END AS content FROM cleaned
+  QUALIFY row_number() OVER (PARTITION BY enfermedad, CONSECUTIVE, COD_EVE, content) = 1
+),
+judged AS (
+  SELECT *, concat_ws('|', CASE WHEN ANO IS NULL THEN 'year' END, CASE WHEN SEMANA IS NULL THEN 'week' END,
+         CASE WHEN Departamento_ocurrencia = 'SIN_DATO' THEN 'department' END) AS reason FROM kept
+),
+valid AS (SELECT * FROM judged WHERE reason = '')"""
+ETL_WEEKLY = WEEKLY.split("weekly AS (")[1].replace(
+    "FROM decoded WHERE Departamento_ocurrencia <> 'SIN_DATO'", "FROM valid", 1
+).replace("<= 5 THEN", "<= 50 THEN", 1).replace("<= 10 THEN", "<= 200 THEN", 1)
+ORACLES["etl_weekly"] = f"WITH {CLEANED}, weekly AS ({ETL_WEEKLY} SELECT * FROM weekly"
+ETL_COLUMNS = [*presets.CANONICAL_COLUMNS, *presets.LINEAGE_COLUMNS, *presets.DERIVED_COLUMNS]
+ETL_NULLS = "\n".join(
+    f"UNION ALL SELECT 'nulls_{c}', CAST(count(*) FILTER ({c} IS NULL) AS BIGINT) FROM valid" for c in ETL_COLUMNS
+)
+ORACLES["full_etl"] = f"""WITH {CLEANED},
+report AS (
+  SELECT 'total_clean_rows' AS metric, {N} AS value FROM valid
+  UNION ALL SELECT 'total_rejected_rows', {N} FROM judged WHERE reason <> ''
+  UNION ALL SELECT 'duplicates_removed', CAST((SELECT count(*) FROM cleaned) - (SELECT count(*) FROM kept) AS BIGINT)
+  UNION ALL SELECT 'rows_disease_' || enfermedad, {N} FROM valid GROUP BY enfermedad
+  UNION ALL SELECT 'total_aggregated_rows', {N} FROM (
+    SELECT DISTINCT enfermedad, ANO, SEMANA, Departamento_ocurrencia FROM valid)
+  {ETL_NULLS}
+)
+SELECT 'quality.json' AS artefact, metric, value FROM report
+UNION ALL SELECT 'quality.csv', metric, value FROM report
+UNION ALL SELECT 'rejected.csv', reason, {N} FROM judged WHERE reason <> '' GROUP BY reason
+UNION ALL SELECT 'clean_by_disease', lower(enfermedad), {N} FROM valid GROUP BY enfermedad
+UNION ALL SELECT 'clean.parquet', enfermedad, {N} FROM valid GROUP BY enfermedad"""
+ORACLES["csv_scan"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
+  CASE WHEN o_orderkey % 7 <> 2 THEN CAST(o_custkey AS VARCHAR) END AS o_custkey,
+  CASE WHEN o_orderkey % 7 <> 2 THEN o_orderstatus END AS o_orderstatus,
+  CASE WHEN o_orderkey % 7 = 2 THEN o_orderpriority END AS o_orderpriority
+FROM orders"""
+SOURCE_FILES = ", ".join(f"({i}, '{row[0]}', '{row[5]}')" for i, row in enumerate(presets.SOURCES))
+ORACLES["ingest_manifest"] = f"""
+WITH s(kind, disease, filename) AS (VALUES {SOURCE_FILES}),
+p AS (SELECT page_id % 5 AS kind, CASE page_id % 5 WHEN 0 THEN repeat('a,b' || chr(10) || '1,2' || chr(10), 200)
+        WHEN 1 THEN 'PK' || html ELSE html END AS body FROM pages WHERE page_id % 5 < 4),
+f AS (SELECT kind, octet_length(encode(body)) AS size, CASE WHEN octet_length(encode(body)) < 100 THEN FALSE
+        WHEN kind IN (1, 3) THEN body LIKE 'PK%' ELSE NOT (lower(substr(body, 1, 500)) LIKE '%<html%'
+          OR lower(substr(body, 1, 500)) LIKE '%<!doctype html%') END AS ok FROM p)
+SELECT disease, filename, CASE WHEN size IS NULL THEN 'failed_request' WHEN size > 1000 THEN 'cached'
+    WHEN NOT ok THEN 'invalid_content' ELSE 'downloaded' END AS status,
+  {N} AS n, CAST(sum(coalesce(size, 0)) AS BIGINT) AS size_bytes
+FROM s LEFT JOIN f USING (kind) GROUP BY 1, 2, 3"""
 NULLS = "\n".join(
     f"UNION ALL SELECT 'nulls_{c}', CAST(count(*) FILTER ({c} IS NULL) AS BIGINT) FROM valid"
     for c in COLUMNS.split(", ")

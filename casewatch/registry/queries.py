@@ -15,7 +15,7 @@ from casewatch.operators import (
 )
 from casewatch.plans import etl, score, train
 from casewatch.registry.cases import (
-    aligned_cases, case_view, decoded_cases, panel, table,
+    aligned_cases, case_view, decoded_cases, ordered_cases, panel, raw_cases, table,
 )
 from casewatch.session import configure, materialize, scratch_path
 from casewatch.sources import catalog, files, sinks
@@ -280,7 +280,9 @@ def finite_values(spark, folder):
 
 
 def dedupe_cases(spark, folder):
-    return dedupe.dedupe_cases(case_view(spark, folder), copies="copies")
+    return dedupe.dedupe_cases(
+        ordered_cases(spark, folder), order_by=["row_place"], copies="copies"
+    ).drop("row_place")
 
 
 def dedupe_removed(spark, folder):
@@ -288,7 +290,12 @@ def dedupe_removed(spark, folder):
 
 
 def reject_split(spark, folder):
-    valid, rejected = clean.split_rejected(case_view(spark, folder))
+    cases = case_view(spark, folder, "l_partkey", "l_suppkey").withColumns({
+        "enfermedad": F.when(F.col("l_partkey") % 11 != 0, F.col("enfermedad")),
+        "SEMANA": F.when(F.col("l_partkey") % 13 != 0, F.col("SEMANA")),
+        "ANO": F.when(F.col("l_suppkey") % 7 != 0, F.col("ANO")),
+    }).drop("l_partkey", "l_suppkey")
+    valid, rejected = clean.split_rejected(cases)
     columns = ["enfermedad", "ANO", "SEMANA", "Departamento_ocurrencia", MUNICIPALITY]
     keep = valid.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
     drop = rejected.groupBy(*columns, F.array_join("reject_reason", "|").alias("reason")).agg(
@@ -300,7 +307,7 @@ def reject_split(spark, folder):
 def quality_report(spark, folder):
     cases = case_view(spark, folder)
     # Report and weekly rows both read the deduplicated table.
-    flagged = materialize(clean.flag_rejected(dedupe.dedupe_cases(cases, copies="copies")))
+    flagged = materialize(clean.flag_rejected(dedupe_cases(spark, folder)))
     aggregate = flagged.filter("not is_rejected").select(
         "enfermedad", "ANO", "SEMANA", "Departamento_ocurrencia"
     ).distinct()
@@ -382,31 +389,83 @@ def load_audit(spark, folder):
     out = scratch_path(spark)
     sinks.write_table(case_view(spark, folder).select("enfermedad", "SEMANA"), f"{out}/clean.parquet")
     sinks.write_table(weekly(spark, folder), f"{out}/weekly.parquet")
+    sinks.append_audit(sinks.audit_row(spark, "an earlier load", 1, 2), f"{out}/audit")
     sinks.load_dashboard(spark, out, f"{out}/serving", f"{out}/audit")
     return agg.latest_load(spark.read.parquet(f"{out}/audit")).drop("loaded_at")
 
 
-def full_etl(spark, folder):
-    """Aliased CSV per disease, through the whole job, to its report."""
+def etl_artefacts(spark: SparkSession, folder: str) -> str:
+    """Aliased CSV per disease, through the whole job; the folder of its artefacts."""
     out = scratch_path(spark)
-    renamed = case_view(spark, folder).withColumnsRenamed({
+    renamed = raw_cases(spark, folder).withColumnsRenamed({
         "CONSECUTIVE": "Código caso", "FEC_NOT": "Fecha de notificación",
         "Departamento_ocurrencia": "DEPARTAMENTO", MUNICIPALITY: "municipio",
     })
     sinks.write_per_disease(renamed, f"{out}/raw")
-    names = [r[0] for r in table(spark, folder, "customer").select("c_mktsegment").distinct().collect()]
+    # The configured sources; a disease without a file is skipped by the job.
     sources = [
-        etl.Source(n, 210, 2024, "star", f"{out}/raw/slug={n.lower().replace(' ', '_')}")
-        for n in sorted(names)
+        etl.Source(n, 210, 2024, "star", f"{out}/raw/slug={n.lower()}")
+        for n in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "ABSENT")
+    ]
+    etl.run_etl(spark, sources, f"{out}/processed", csv_copies=True)
+    return f"{out}/processed"
+
+
+def full_etl(spark, folder):
+    """What the job wrote, read back: the report twice, rejects, rows per disease file."""
+    out = etl_artefacts(spark, folder)
+
+    def counted(df: DataFrame, artefact: str, metric: Column) -> DataFrame:
+        return df.groupBy(metric.alias("metric")).agg(F.count(F.lit(1)).alias("value")).withColumn("artefact", F.lit(artefact))
+
+    report = spark.read.schema("metric string, value long").json(f"{out}/quality.json")
+    as_csv = spark.read.csv(f"{out}/quality.csv", header=True).select("metric", F.col("value").cast("long"))
+    return agg_union([
+        report.withColumn("artefact", F.lit("quality.json")), as_csv.withColumn("artefact", F.lit("quality.csv")),
+        counted(spark.read.csv(f"{out}/rejected.csv", header=True), "rejected.csv", F.col("reject_reason")),
+        counted(spark.read.csv(f"{out}/clean_by_disease", header=True), "clean_by_disease", F.col("slug")),
+        counted(files.read_processed(spark, out, "clean"), "clean.parquet", F.col("enfermedad")),
+    ])
+
+
+def agg_union(frames: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, frames)
+
+
+def etl_weekly(spark, folder):
+    """The weekly table the job wrote, with the published risk bounds."""
+    return spark.read.parquet(f"{etl_artefacts(spark, folder)}/weekly.parquet")
+
+
+def csv_scan(spark, folder):
+    """Files of different headers and sizes in one folder, by one scan."""
+    out = scratch_path(spark)
+    kind = F.col("o_orderkey") % 7
+    order = table(spark, folder, "orders")
+    parts = [
+        (~kind.isin(1, 2), ["o_orderkey", "o_custkey", "o_orderstatus"]),
+        (kind == 1, ["o_orderstatus", "o_orderkey", "o_custkey"]),
+        (kind == 2, ["o_orderpriority", "o_orderkey"]),
     ]
-    result = etl.run_etl(spark, sources, f"{out}/processed")
-    report = result.quality.filter(F.col("metric").isin(
-        "total_clean_rows", "total_rejected_rows", "duplicates_removed"
-    )).withColumn("is_removed", F.col("metric") == "duplicates_removed")
-    return report.groupBy(
-        F.when(F.col("is_removed"), "duplicates_removed").otherwise("rows_after_dedupe")
-        .alias("metric")
-    ).agg(F.sum("value").alias("value"))
+    for wanted, columns in parts:
+        order.filter(wanted).select(*columns).write.mode("append").csv(out, header=True)
+    return files.read_csv(spark, out).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+def ingest_manifest(spark, folder):
+    """Status of every configured source against files of which pages stand in for content."""
+    catalogue = catalog.source_catalog(spark)
+    # The last source has no file; its pages stand in for one that nobody asked for.
+    names = F.array(*[F.lit(row[5]) for row in presets.SOURCES[:-1]], F.lit("unlisted.csv"))
+    kind = F.col("page_id") % F.lit(len(presets.SOURCES))
+    content = F.when(kind == 0, F.repeat(F.lit("a,b\n1,2\n"), 200)).when(kind == 1, F.concat(F.lit("PK"), F.col("html"))).otherwise(F.col("html"))
+    body = F.encode(content, "UTF-8")
+    pages = table(spark, folder, "pages").select(
+        F.element_at(names, (kind + 1).cast("int")).alias("filename"), F.concat(F.lit("raw/"), F.col("page_id").cast("string")).alias("path"),
+        F.octet_length(body).cast("long").alias("size_bytes"),
+        catalog.is_valid_file(F.element_at(names, (kind + 1).cast("int")), body).alias("is_valid"))
+    found = catalog.ingest_manifest(catalogue, pages)
+    return found.groupBy("disease", "filename", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("size_bytes"))
 
 
 # --- panel and priors ---------------------------------------------------------------------
@@ -635,7 +694,8 @@ QUERIES: list[Query] = [
     title_case, disease_names, code_normalize, number_parse, date_parse_two_pass,
     week_calendar, finite_values, dedupe_cases, dedupe_removed, reject_split,
     quality_report, weekly_aggregate, schema_align, file_validation,
-    round_trip_sinks, upsert_predictions, load_audit, full_etl, monthly_panel,
+    round_trip_sinks, upsert_predictions, load_audit, full_etl, etl_weekly, csv_scan,
+    ingest_manifest, monthly_panel,
     climate_features, temporal_features, weekly_lags, prior_features,
     inference_lags, inference_lags_compat, scoring_inputs, outbreak_scalars,
     prediction_lookup, regression_metrics, blend_select, stratified_split,

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import csv
+from decimal import Decimal
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from casewatch import presets
 
@@ -14,11 +16,6 @@ CORRUPT = "_malformed"
 ROW_ORDER = "row_order"
 
 
-def _first_line(spark: SparkSession, path: str, encoding: str) -> str:
-    head = spark.read.text(path).select(F.decode(F.encode("value", "UTF-8"), encoding)).head()
-    return (head[0] if head else "").lstrip("\ufeff")
-
-
 def sniff_delimiter(line: str) -> str:
     return max(DELIMITERS, key=line.count)
 
@@ -30,6 +27,16 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
 
 
+def file_headers(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """First line of every file (``file``, ``header``); only first splits are read."""
+    lines = spark.read.csv(path, schema="line string", sep="\x01", quote="", encoding=encoding)
+    heads = lines.select(
+        F.col("_metadata.file_path").alias("file"), "line", F.monotonically_increasing_id().alias("id"),
+        F.col("_metadata.file_block_start").alias("block"),
+    ).filter("block = 0")
+    return heads.groupBy("file").agg(F.ltrim(F.min_by("line", "id"), F.lit("\ufeff")).alias("header"))
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -39,16 +46,53 @@ def read_csv(
 ) -> DataFrame:
     """All-string scan: long lines dropped, short ones padded, NA texts null.
 
-    The header is read once on the driver and becomes an explicit schema, so
-    nothing is inferred. ``row_order`` numbers the rows in source order and
-    keeps that order through any later shuffle.
+    ``path`` is a file or a folder of files. Every file is read by its own header,
+    which becomes an explicit schema, so nothing is inferred; files of one header
+    are one scan, and columns of different headers are matched by name.
+    ``row_order`` numbers the rows in source order, files by path, and keeps that
+    order through any later shuffle: see ``row_place``.
     """
     encoding = encoding or detect_encoding(spark, path)
-    line = _first_line(spark, path, "UTF-8") if encoding == "UTF-8" else (
-        spark.read.option("encoding", encoding).csv(path, sep="\x01").head()[0]
-    )
+    # Names of the files, as any scan holds them on the driver, and their headers.
+    found = sorted(file_headers(spark, path, encoding).collect(), key=lambda r: r["file"])
+    if not found:
+        return spark.createDataFrame([], T.StructType([T.StructField(ROW_ORDER, T.DecimalType(38, 0))]))
+    groups: dict[str, list[str]] = {}
+    for row in found:
+        groups.setdefault(row["header"], []).append(row["file"])
+    ranks = spark.createDataFrame([(r["file"], i) for i, r in enumerate(found)], "_file string, _rank int")
+    parts = []
+    for line, names in groups.items():
+        source = path if len(groups) == 1 else names
+        parts.append(_scan(spark, source, line or "", delimiter, encoding, multi_line))
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if len(found) == 1:
+        placed = whole.withColumn("_rank", F.lit(0))
+    else:
+        placed = whole.join(ranks, "_file")
+    columns = [c for c in whole.columns if c not in ("_file", "_block", "_line")]
+    return placed.select(*[F.col(f"`{c}`") for c in columns], row_place("_rank", "_block", "_line").alias(ROW_ORDER))
+
+
+def row_place(rank: str, block: str, line: str) -> Column:
+    """Fixed-width place of a row: file, split inside the file, row inside the split.
+
+    Splits are planned by size, so a partition number says nothing of the order;
+    inside a split rows are numbered as they stand.
+    """
+    whole = "decimal(38,0)"
+    by_file = F.col(rank).cast(whole) * F.lit(Decimal(10**26)).cast("decimal(27,0)")
+    by_block = F.col(block).cast("decimal(17,0)") * F.lit(10**10).cast("decimal(11,0)")
+    inside = F.col(line).bitwiseAND(F.lit(2**33 - 1))
+    return (by_file.cast(whole) + by_block.cast(whole) + inside.cast(whole)).cast(whole)
+
+
+def _scan(
+    spark: SparkSession, path: str | list[str], line: str, delimiter: str | None, encoding: str, multi_line: bool
+) -> DataFrame:
+    """Files of one header: its columns, and where each row stands."""
     delimiter = delimiter or sniff_delimiter(line)
-    header = next(csv.reader([line], delimiter=delimiter))
+    header = next(csv.reader([line], delimiter=delimiter), [])
     width = len(header)
     fields = [T.StructField(f"_{i}", T.StringType()) for i in range(width)]
     raw = spark.read.csv(
@@ -56,7 +100,10 @@ def read_csv(
         header=True, enforceSchema=True, sep=delimiter, encoding=encoding, escape='"',
         mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, multiLine=multi_line,
         nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    ).withColumn(ROW_ORDER, F.monotonically_increasing_id())
+    ).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
     # A malformed line is short or long; only delimiters outside quotes count.
     unquoted = F.regexp_replace(F.col(CORRUPT), '"([^"]|"")*"', "")
     surplus = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(delimiter), F.lit("")))
@@ -66,7 +113,7 @@ def read_csv(
             F.when(~F.col(f"_{i}").isin(presets.CSV_NULLS), F.col(f"_{i}")).alias(name)
             for i, name in enumerate(header)
         ],
-        ROW_ORDER,
+        "_file", "_block", "_line",
     )
 
 

@@ -48,9 +48,11 @@ def write_outputs(
     clean: DataFrame, weekly: DataFrame, rejected: DataFrame, quality: DataFrame,
     folder: str, csv_copies: bool = True,
 ) -> None:
-    """All ETL artefacts: Parquet and CSV of both tables, rejects, report."""
+    """All ETL artefacts: Parquet and CSV of both tables, rejects, report.
+
+    ``weekly`` is read from ``weekly.parquet`` of the folder already.
+    """
     write_table(clean, f"{folder}/clean.parquet", partition_by=PARTITIONS)
-    write_table(weekly, f"{folder}/weekly.parquet")
     flat = rejected.withColumn("reject_reason", F.array_join("reject_reason", "|")) if (
         "reject_reason" in rejected.columns
     ) else rejected

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewatch import presets
+from casewatch.operators.dedupe import dedupe_cases
 from casewatch.plans import etl
 from casewatch.sources import catalog, files, sinks
 
@@ -43,6 +44,29 @@ def test_csv_keeps_row_order(spark, tmp_path):
     assert [int(r["a"]) for r in ordered.collect()] == list(range(500))
 
 
+def test_csv_folder_order_and_headers(spark, tmp_path):
+    """Files by path whatever their sizes; columns by name whatever their order."""
+    write(tmp_path / "a.csv", "id,v\na0,0\na1,1\nshared,first\n")
+    write(tmp_path / "b.csv", "id,v\n" + "\n".join(f"b{i},{i}" for i in range(200)) + "\nshared,second\n")
+    write(tmp_path / "c.csv", "v;id;w\n7;c;x\n")
+    df = files.read_csv(spark, str(tmp_path)).orderBy(files.ROW_ORDER)
+    got = [(r["id"], r["v"], r["w"]) for r in df.collect()]
+    assert got == [
+        ("a0", "0", None), ("a1", "1", None), ("shared", "first", None),
+        *[(f"b{i}", str(i), None) for i in range(200)], ("shared", "second", None), ("c", "7", "x"),
+    ]
+    cases = df.withColumns({"CONSECUTIVE": F.col("id"), "enfermedad": F.lit("D"), "COD_EVE": F.lit(1)})
+    first = dedupe_cases(cases, order_by=[files.ROW_ORDER], copies="n").filter("id = 'shared'").collect()
+    assert [(r["v"], r["n"]) for r in first] == [("first", 2)]
+
+
+def test_ordered_dedupe_sorts_no_rows(spark):
+    df = spark.range(100).selectExpr(
+        "id % 9 CONSECUTIVE", "'D' enfermedad", "1 COD_EVE", "cast(id as decimal(38,0)) place", "cast(id as string) v")
+    plan = dedupe_cases(df, order_by=["place"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Sort [" not in plan
+
+
 def test_file_validation(spark):
     rows = [
         ("a.csv", b"x" * 99), ("a.csv", b"x" * 100), ("a.XLSX", b"PK" + b"x" * 100),
