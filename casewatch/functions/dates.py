@@ -15,45 +15,45 @@ _COMPACT = rf"^([0-9]{{4}})([0-9]{{2}})([0-9]{{2}}){_TIME}$"
 _NAMED_FORMATS = ("d MMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy")
 
 
-def _parts(text: Column, pattern: str) -> list[Column]:
-    groups = [F.regexp_extract(text, pattern, i) for i in range(1, 7)]
-    return [F.when(g != "", g) for g in groups]
-
-
 def _timestamp(year: Column, first: Column, second: Column, parts: list[Column]) -> Column:
     """Month-first reading; the two swap when the first cannot be a month."""
     a, b = first.cast("int"), second.cast("int")
     month, day = F.when(a <= 12, a).otherwise(b), F.when(a <= 12, b).otherwise(a)
-    hour, minute, second_ = parts[3], parts[4], parts[5]
+    hour, minute, second_ = parts
     return F.try_make_timestamp_ntz(
         year.cast("int"), month, day,
         F.coalesce(hour.cast("int"), F.lit(0)),
         F.coalesce(minute.cast("int"), F.lit(0)),
-        F.coalesce(second_, F.lit("0")).cast("decimal(16,6)"),
+        F.coalesce(F.nullif(second_, F.lit("")), F.lit("0")).cast("decimal(16,6)"),
     )
 
 
 def parse_date(value: str | Column) -> Column:
     """Two-pass date reading: month first, then day first for what is left.
 
-    The numeric layouts are split by pattern and assembled with
-    ``try_make_timestamp_ntz``, which costs no parser exception per bad row.
+    The numeric layouts are told apart by pattern, split once and assembled
+    with ``try_make_timestamp_ntz``, which costs no parser exception per bad row.
     A date whose first number exceeds 12 can only be day first, so the second
     pass is the swap in ``_timestamp``.
     """
     text = strip(col(value).cast("string"))
-    ymd, dmy, compact = (_parts(text, p) for p in (_YEAR_FIRST, _YEAR_LAST, _COMPACT))
-    short = dmy[2].cast("int")
-    full_year = F.when(F.length(dmy[2]) == 4, short).when(
+    # One split serves all layouts: date numbers, then hour, minute, second, fraction.
+    pieces = F.split(text, "[-/.T :Z]+")
+    part = [F.nullif(F.get(pieces, i), F.lit("")) for i in range(7)]
+    clock = [part[3], part[4], F.concat_ws(".", part[5], part[6])]
+    compact_clock = [part[1], part[2], F.concat_ws(".", part[3], part[4])]
+    short = part[2].cast("int")
+    full_year = F.when(F.length(part[2]) == 4, short).when(
         short < 69, short + 2000
     ).otherwise(short + 1900)
+    compact = [F.substring(part[0], at, n) for at, n in ((1, 4), (5, 2), (7, 2))]
     named = F.coalesce(*[
         F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in _NAMED_FORMATS
     ])
     return (
-        F.when(text.rlike(_YEAR_FIRST), _timestamp(ymd[0], ymd[1], ymd[2], ymd))
-        .when(text.rlike(_YEAR_LAST), _timestamp(full_year, dmy[0], dmy[1], dmy))
-        .when(text.rlike(_COMPACT), _timestamp(compact[0], compact[1], compact[2], compact))
+        F.when(text.rlike(_YEAR_FIRST), _timestamp(*part[:3], clock))
+        .when(text.rlike(_YEAR_LAST), _timestamp(full_year, *part[:2], clock))
+        .when(text.rlike(_COMPACT), _timestamp(*compact, compact_clock))
         .when(text.rlike("[A-Za-z]{3}"), named)
     )
 

@@ -9,7 +9,7 @@ from casewatch.functions.numbers import round_even, safe_ratio
 from casewatch.operators.profile import exact_quantiles
 
 METRICS = ["mae", "rmse", "r2", "mape_non_zero_pct", "wape_pct", "smape_pct"]
-RANK_CELLS = 4096
+CELL_ROWS = 1000
 
 
 def regression_metrics(truth: str | Column, prediction: str | Column) -> dict[str, Column]:
@@ -112,20 +112,21 @@ def stratified_split(
     test_share: float = presets.TEST_SHARE,
     bins: int = presets.TARGET_BINS,
     seed: int = presets.SEED,
-    cells: int = RANK_CELLS,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Add ``is_test``: an exact share of every target bin, by seeded key hash.
 
     The hash orders the rows. Ranking a whole bin in one window would put a
-    fifth of all rows into one task, so the hash range is cut into ``cells``:
-    rows are ranked within (bin, cell), and the cells before it, a small
-    table of counts, supply the offset. When a bin holds a single row, bins
+    fifth of all rows into one task, so the hash range is cut into cells of about
+    ``cell_rows`` rows: rows are ranked within (bin, cell), and the counts of the
+    cells before it supply the offset. When a bin holds a single row, bins
     are given up and the split is plain, as in the reference.
     """
     binned = target_bins(df, target, bins)
     hashed = binned.withColumn("_hash", F.xxhash64(*key, F.lit(seed)))
     # One row per bin.
-    smallest = binned.groupBy("bin").count().agg(F.min("count")).head()[0]
+    smallest, rows = binned.groupBy("bin").count().agg(F.min("count"), F.sum("count")).head()
+    cells = max(1, (rows or 0) // cell_rows)
     celled = hashed.withColumn("_cell", F.pmod(F.shiftright("_hash", 20), F.lit(cells)))
     if smallest is None or smallest < 2:
         celled = celled.withColumn("bin", F.lit(0))
@@ -138,8 +139,7 @@ def stratified_split(
         F.sum("_n").over(whole).alias("_size"),
     )
     inside = F.row_number().over(W.partitionBy("bin", "_cell").orderBy("_hash", *key))
-    # At most bins times cells rows.
-    ranked = celled.withColumn("_inside", inside).join(F.broadcast(offsets), ["bin", "_cell"])
+    ranked = celled.withColumn("_inside", inside).join(offsets, ["bin", "_cell"])
     limit = F.rint(F.col("_size") * F.lit(test_share))
     return ranked.withColumn(
         "is_test", F.col("_before") + F.col("_inside") <= limit

@@ -13,6 +13,7 @@ from casewatch.operators import metrics
 from casewatch.operators.panel import climate_features, scoring_scaffold
 from casewatch.operators.priors import scoring_features
 from casewatch.plans.train import Bundle, TrainedModel, predict_raw
+from casewatch.session import materialize
 from casewatch.sources import sinks
 
 ECHOED_2 = [
@@ -73,7 +74,8 @@ def predict(
     Each row goes to its disease's model, else to the global one: one filter
     per model, and the parts are united.
     """
-    ready = scoring_inputs(inputs, reference_compat=reference_compat)
+    # Computed once: every model reads its share of it, not the cases again.
+    ready = materialize(scoring_inputs(inputs, reference_compat=reference_compat))
     own = list(bundle.by_disease)
     parts = [
         score_with(model, ready.filter(F.col("disease") == name), reference_compat)

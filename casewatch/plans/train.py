@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -35,12 +35,6 @@ class Candidate:
     feature_share: float
     row_share: float
 
-    def scaled(self, tree_share: float, max_depth: int) -> Candidate:
-        return replace(
-            self, trees=max(1, round(self.trees * tree_share)),
-            depth=min(self.depth, max_depth),
-        )
-
 
 CANDIDATES = [Candidate(*row) for row in presets.FOREST_CANDIDATES]
 
@@ -153,8 +147,11 @@ def select_best(results: list[dict]) -> dict:
     return min(results, key=lambda r: r["score"])
 
 
-def split_panel(panel: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    small = rows < presets.SMALL_PANEL_ROWS
+def split_panel(
+    panel: DataFrame, rows: int, small_rows: int = presets.SMALL_PANEL_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows; a panel under ``small_rows`` rows gives a larger test share."""
+    small = rows < small_rows
     share = presets.TEST_SHARE_SMALL if small else presets.TEST_SHARE
     marked = metrics.stratified_split(panel, KEY, test_share=share).drop("bin")
     marked = materialize(marked)
@@ -205,6 +202,13 @@ def train_one(
     )
 
 
+def model_names(panel: DataFrame, min_rows: int = presets.MIN_DISEASE_ROWS) -> DataFrame:
+    """Model of each disease: its own with at least ``min_rows`` rows, else the global one."""
+    counts = panel.groupBy("disease").agg(F.count(F.lit(1)).alias("training_rows"))
+    own = F.when(F.col("training_rows") >= min_rows, F.col("disease"))
+    return counts.withColumn("model_used", F.coalesce(own, F.lit(presets.GLOBAL_MODEL)))
+
+
 def train_bundle(
     panel: DataFrame,
     candidates: list[Candidate] = CANDIDATES,
@@ -224,8 +228,8 @@ def train_bundle(
     by_disease: dict[str, TrainedModel] = {}
     if per_disease:
         # One row per disease.
-        counts = panel.groupBy("disease").count().filter(F.col("count") >= min_rows)
-        names = [row["disease"] for row in counts.orderBy("disease").collect()]
+        own = model_names(panel, min_rows).filter("model_used = disease")
+        names = [row["disease"] for row in own.orderBy("disease").collect()]
 
         @inheritable_thread_target(panel.sparkSession)
         def fit_one(name: str) -> TrainedModel:

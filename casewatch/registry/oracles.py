@@ -734,20 +734,66 @@ def metric_columns(y: str, p: str) -> str:
 ORACLES["regression_metrics"] = f"""WITH {TEMPORAL}
 SELECT disease, {metric_columns('total_cases', 'cases_previous_month')}
 FROM lagged GROUP BY disease"""
-BLENDED = " UNION ALL ".join(
-    f"SELECT CAST({order} AS INT) AS blend_order, '{name}' AS blend, total_cases AS y, greatest("
-    + "("
-    + " + ".join(
-        f"{'cases_previous_month' if part == 'model' else part} * {weight}::DOUBLE"
-        for part, weight in weights.items()
+def blended_sql(model: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT CAST({order} AS INT) AS blend_order, '{name}' AS blend, total_cases AS y, greatest("
+        + "("
+        + " + ".join(
+            f"{model if part == 'model' else part} * {weight}::DOUBLE"
+            for part, weight in weights.items()
+        )
+        + f") / {sum(weights.values())}::DOUBLE, 0) AS p FROM priors"
+        for order, (name, weights) in enumerate(presets.BLENDS.items())
     )
-    + f") / {sum(weights.values())}::DOUBLE, 0) AS p FROM priors"
-    for order, (name, weights) in enumerate(presets.BLENDS.items())
-)
+
+
+BLENDED = blended_sql("cases_previous_month")
 ORACLES["blend_select"] = f"""WITH {TEMPORAL}{SEEN_GRAINS},{prior_select('lagged')},
 mixed AS ({BLENDED}),
 m AS (SELECT blend_order, blend, {metric_columns('y', 'p')} FROM mixed GROUP BY 1, 2)
 SELECT *, {six('wape_pct + 0.20 * smape_pct + 0.02 * rmse - 8 * r2')} AS score FROM m"""
+ALL_GRAINS = SEEN_GRAINS.replace(" WHERE disease <> 'Building' AND department <> 'ASIA'", "", 1)
+ORACLES["prior_features_all"] = f"WITH {PANEL}{ALL_GRAINS},{prior_select('panel')} SELECT * FROM priors"
+CANDIDATE_BLENDS = " UNION ALL ".join(
+    f"SELECT {i} AS turn, '{name}' AS candidate, * FROM ({blended_sql(name)})"
+    for i, name in enumerate(("cases_previous_month", "cases_previous_3_month_mean"))
+)
+ORACLES["model_selection"] = f"""WITH {TEMPORAL}{ALL_GRAINS},{prior_select('lagged')},
+mixed AS ({CANDIDATE_BLENDS}),
+m AS (SELECT turn, candidate, blend_order, blend, {metric_columns('y', 'p')} FROM mixed GROUP BY 1, 2, 3, 4)
+SELECT candidate, blend, mae, wape_pct, {six('wape_pct + 0.20 * smape_pct + 0.02 * rmse - 8 * r2')} AS score
+FROM m ORDER BY wape_pct + 0.20 * smape_pct + 0.02 * rmse - 8 * r2, turn, blend_order LIMIT 1"""
+ORACLES["model_routing"] = f"""WITH {PANEL}
+SELECT disease, {N} AS training_rows, CASE WHEN count(*) >= 1950 THEN disease ELSE 'GLOBAL' END AS model_used
+FROM panel WHERE total_cases > 1 GROUP BY disease"""
+ORACLES["category_index"] = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", {c} AS value, CAST(row_number() OVER (ORDER BY n DESC, {c}) - 1 AS INT) AS number,
+  CAST(row_number() OVER (ORDER BY n DESC, {c}) - 1 AS INT) AS hot, CAST(count(*) OVER () AS INT) AS width
+FROM (WITH {PANEL} SELECT {c}, count(*) AS n FROM panel GROUP BY {c})"""
+    for c in ("disease", "department", "municipality")
+)
+ORACLES["published_constant"] = f"""WITH {PANEL},
+scaffold AS (SELECT e.*, CAST(m.m AS INT) AS month, 2024 AS year
+  FROM (SELECT DISTINCT disease, department, municipality FROM counts) e
+  CROSS JOIN range(1, 13) AS m(m)),
+profiled AS ({with_climate('scaffold', False)}),
+ready AS (SELECT *, {SEASON} FROM profiled)
+SELECT disease, month, department, municipality AS city, 9 AS estimated_cases, 9 AS estimated_outbreak_proxy,
+  '{presets.OUTBREAK_LEVELS[1][1]}' AS outbreak_level, 'GLOBAL' AS model_used, thermal_floor,
+  avg_temp_c, precipitation_mm, humidity_pct, tropical_score, climate_risk_score, is_rainy_season,
+  is_vector_favorable, 9.0::DOUBLE AS cases_previous_month, 9.0::DOUBLE AS cases_previous_2_month_mean,
+  9.0::DOUBLE AS cases_previous_3_month_mean, 0.0::DOUBLE AS validation_mae, 0.0::DOUBLE AS validation_wape_pct
+FROM ready"""
+ORACLES["training_panel"] = f"""WITH {TEMPORAL},
+t AS (SELECT disease, year, department, municipality, month, total_cases, cases_previous_month,
+  cases_previous_2_month_mean, {six('cases_previous_3_month_mean')} AS cases_previous_3_month_mean,
+  {six('cases_previous_6_month_mean')} AS cases_previous_6_month_mean,
+  cases_previous_3_month_sum, cases_previous_6_month_sum,
+  cases_previous_month - p2 AS cases_trend_1m,
+  {six('cases_previous_3_month_mean - cases_previous_6_month_mean')} AS cases_trend_3m
+FROM lagged),
+profiled AS ({with_climate('t', False)})
+SELECT *, {SEASON} FROM profiled"""
 ORACLES["stratified_split"] = f"""WITH {PANEL},
 c AS (SELECT quantile_cont(ln(1 + total_cases), [0.2, 0.4, 0.6, 0.8]) AS cuts,
              min(ln(1 + total_cases)) AS low FROM panel),

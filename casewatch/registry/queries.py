@@ -24,7 +24,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 DISEASE, REGION = "BUILDING", "ASIA"
 MUNICIPALITY = "Municipio_ocurrencia"
 RULE = alerts.AlertRule(keep=1.2, medium=1.5, high=2.0, last_weeks=5, limit=20)
-FEW_TREES = [c.scaled(0.02, 6) for c in train.CANDIDATES[:2]]
+# Forests small enough to fit in a check. The published candidates are run, uncut,
+# by ``published_constant``, where trees are cheap.
+SMALL_FORESTS = [
+    train.Candidate("sqrt_7", "sqrt", 7, 6, 0.80, 0.98), train.Candidate("sqrt_10", "sqrt", 10, 6, 0.85, 1.0),
+]
 
 
 def weekly(spark: SparkSession, folder: str) -> DataFrame:
@@ -604,7 +608,7 @@ def stratified_split(spark, folder):
 def forest_train_score(spark, folder):
     """Few trees; trains, stores, reloads, scores and publishes."""
     cases = case_view(spark, folder)
-    bundle = train.train_bundle(panel(spark, folder), FEW_TREES, per_disease=False)
+    bundle = train.train_bundle(panel(spark, folder), SMALL_FORESTS, per_disease=False)
     out = scratch_path(spark)
     train.save_bundle(spark, bundle, f"{out}/model")
     return score.publish(
@@ -612,9 +616,81 @@ def forest_train_score(spark, folder):
     )
 
 
+CONSTANT = 9.0
+
+
+def published_constant(spark, folder):
+    """All candidates as published, on a target that never varies: train, store, load, publish.
+
+    Every forest, blend, lag and metric then has one right value, whatever the trees'
+    random draws; r2 is left out, as a constant has no variance to explain.
+    """
+    cases = case_view(spark, folder)
+    flat = pan.monthly_panel(cases).withColumn("total_cases", F.lit(CONSTANT))
+    rows = materialize(pan.climate_features(windows.temporal_features(flat)))
+    out = scratch_path(spark)
+    train.save_bundle(spark, train.train_bundle(rows, per_disease=False), f"{out}/model")
+    return score.publish(
+        cases, train.load_bundle(spark, f"{out}/model"), f"{out}/predictions", f"{out}/audit"
+    ).drop("validation_r2")
+
+
+def model_routing(spark, folder):
+    """Which model scores each disease, by its months with more than one case."""
+    return train.model_names(monthly_panel(spark, folder).filter("total_cases > 1"), 1950)
+
+
+def model_selection(spark, folder):
+    """The best of all candidates and blends; lags stand in for forests."""
+    rows = materialize(windows.temporal_features(monthly_panel(spark, folder)))
+    features = materialize(pri.apply_priors(rows, pri.Priors.fit(rows).stored()))
+    scored = []
+    for name in ("cases_previous_month", "cases_previous_3_month_mean", "cases_previous_month"):
+        found = metrics.blend_scores(features, "total_cases", name).orderBy("blend_order")
+        scored += [{"candidate": name, **r.asDict()} for r in found.collect()]  # four blends each
+    best = train.select_best(scored)
+    chosen = spark.createDataFrame([(best["candidate"], best["blend"])], "candidate string, blend string")
+    measured = metrics.blend_scores(features, "total_cases", best["candidate"])
+    return rounded(measured.join(chosen, "blend").select("candidate", "blend", "mae", "wape_pct", "score"), "score")
+
+
+def category_index(spark, folder):
+    """Indexed and one-hot encoded categories, as the forests see them."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    rows = monthly_panel(spark, folder).select("disease", "department", "municipality")
+    names = rows.columns
+    fitted = Pipeline(stages=train.feature_stages(names, [])[:2]).fit(rows)
+    seen_values = fitted.transform(rows.distinct())
+    hot = {c: vector_to_array(F.col(f"_hot_{c}")) for c in names}
+    pairs = F.array(*[
+        F.struct(
+            F.lit(c).alias("column"), F.col(c).alias("value"), F.col(f"_idx_{c}").cast("int").alias("number"),
+            (F.array_position(hot[c], F.lit(1.0)) - 1).cast("int").alias("hot"), F.size(hot[c]).alias("width"),
+        ) for c in names
+    ])
+    return seen_values.select(F.inline(pairs)).distinct()
+
+
+def prior_features_all(spark, folder):
+    """Priors fitted on every row they are applied to."""
+    rows = materialize(monthly_panel(spark, folder))
+    return pri.apply_priors(rows, pri.Priors.fit(rows).stored())
+
+
+def training_panel(spark, folder):
+    """The whole panel with all features that need no priors, through its sink."""
+    out = scratch_path(spark)
+    sinks.write_table(pan.training_panel(case_view(spark, folder)), out)
+    return rounded(
+        spark.read.parquet(out), "month_sin", "month_cos", "cases_previous_3_month_mean",
+        "cases_previous_6_month_mean", "cases_trend_3m")
+
+
 def forest_per_disease(spark, folder):
     """Metrics of the global and the per-disease models, one small forest each."""
-    bundle = train.train_bundle(panel(spark, folder), FEW_TREES[:1])
+    bundle = train.train_bundle(panel(spark, folder), SMALL_FORESTS[:1])
     return train.metrics_table(spark, bundle)
 
 
@@ -699,7 +775,8 @@ QUERIES: list[Query] = [
     climate_features, temporal_features, weekly_lags, prior_features,
     inference_lags, inference_lags_compat, scoring_inputs, outbreak_scalars,
     prediction_lookup, regression_metrics, blend_select, stratified_split,
-    forest_train_score, forest_per_disease, describe_table, null_profile,
+    forest_train_score, forest_per_disease, published_constant, model_routing, model_selection,
+    category_index, prior_features_all, training_panel, describe_table, null_profile,
     correlation_matrix, seasonality, national_series, risk_distribution,
     total_by_department, top_departments_semi, box_stats, source_counts,
 ]

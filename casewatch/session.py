@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,8 @@ DEFAULTS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+_made: list[str] = []
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the defaults that a running session accepts."""
@@ -56,12 +59,19 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
+    """One folder per process."""
     return tempfile.mkdtemp(prefix="casewatch-")
 
 
 def scratch_path(spark: SparkSession) -> str:
     """Path of a new folder inside the shared one."""
-    return f"{shared_folder(spark)}/casewatch-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/casewatch-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def materialize(df: DataFrame, spread_by: list[str] | None = None) -> DataFrame:
@@ -70,11 +80,22 @@ def materialize(df: DataFrame, spread_by: list[str] | None = None) -> DataFrame:
     For a frame several later jobs read. The lineage ends at the files, which
     outlive any executor. Unlike a checkpoint they are columnar and carry
     sizes, so later plans prune columns and choose joins by size.
-    ``spread_by`` balances a small frame over all cores for iterative use.
+    ``spread_by`` rebalances the rows, so that partitions follow their size. The
+    table stays until ``drop_scratch``.
     """
     spark = df.sparkSession
     path = scratch_path(spark)
-    if spread_by:
-        df = df.repartition(spark.sparkContext.defaultParallelism, *spread_by)
-    df.write.parquet(path)
+    (df.hint("rebalance", *spread_by) if spread_by else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the tables this process made in the shared folder; how many they were.
+
+    For the owner of the job, once nothing reads them any more.
+    """
+    count = len(_made)
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count

@@ -10,7 +10,7 @@ from casewatch.operators.windows import temporal_features
 from casewatch.plans import score, train
 from casewatch.session import materialize, scratch_path
 
-TINY = [c.scaled(0.008, 4) for c in train.CANDIDATES[1:3]]
+TINY = [train.Candidate("sqrt_4", "sqrt", 4, 4, 0.85, 1.0), train.Candidate("log_4", "log1p", 4, 4, 0.85, 1.0)]
 
 
 @pytest.fixture(scope="module")
