@@ -23,6 +23,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import chain as chained
 from typing import NamedTuple
 
 import numpy as np
@@ -59,29 +61,39 @@ class Features(dict):
     def __init__(self, limit: int = 400_000) -> None:
         super().__init__()
         self.limit = limit
+        self.slots, self.fresh = np.zeros((0, 5), np.int64), []
 
     def __missing__(self, raw: bytes) -> int:
         word = normal(raw)
         slot = [xxhash.xxh3_64_intdigest(x, seed) & (2**BITS - 1)
                 for seed, x in enumerate((word, word[:3], word[-3:], word, word))]
-        self[raw] = at = len(self.slots)
-        self.slots.append(slot)
+        self[raw] = at = len(self.slots) + len(self.fresh)
+        self.fresh.append(slot)
         return at
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct words' slots, the word number of every token, tokens per text."""
-        if len(self) > self.limit or not hasattr(self, "slots"):
+        if len(self) > self.limit:
             self.clear()
-            self.slots: list[list[int]] = []
+            self.slots, self.fresh = np.zeros((0, 5), np.int64), []
         words = [common.encoded(t).split() for t in texts]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ids = np.fromiter((self[w] for ws in words for w in ws), np.int64, int(sizes.sum()))
-        return np.array(self.slots, np.int64).reshape(-1, 5), ids, sizes
+        ids = np.fromiter(map(self.__getitem__, chained.from_iterable(words)), np.int64, int(sizes.sum()))
+        if self.fresh:
+            self.slots, self.fresh = np.concatenate([self.slots, np.array(self.fresh, np.int64)]), []
+        return self.slots, ids, sizes
+
+
+@cache
+def worker_features() -> Features:
+    """One per Python worker, kept for its later tasks: slots do not depend on a model."""
+    return Features()
 
 
 def emissions(model: Model, slots: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Log odds of toxic at every token, neighbours of the same text included."""
-    by_word = model.weights[slots]
+    met, ids = np.unique(ids, return_inverse=True)
+    by_word = model.weights[slots[met]]
     out = model.bias + by_word[:, :3].sum(axis=1)[ids]
     if len(ids) > 1:
         inner = ~first[1:]
@@ -90,7 +102,7 @@ def emissions(model: Model, slots: np.ndarray, ids: np.ndarray, first: np.ndarra
     return np.clip(out, -30, 30)
 
 
-def chain(odds: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def chain(odds: np.ndarray, first: np.ndarray, transitions: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
     """Marginal of toxic per token, and expected transitions (2 by 2, first tokens left out)."""
     n = len(odds)
     if not n:
@@ -135,6 +147,8 @@ def chain(odds: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> tuple
         v /= v.sum(axis=0)
     both = (alpha * beta).transpose(0, 2, 1).reshape(2, -1)[:, :n]
     marginal = both[1] / both.sum(axis=0)
+    if not pairs:
+        return marginal, None
     flat_a, flat_b = alpha.transpose(0, 2, 1).reshape(2, -1)[:, :n], beta.transpose(0, 2, 1).reshape(2, -1)[:, :n]
     pair = flat_a[:, None, :-1] * a[:, :, None] * np.array([np.ones(max(n - 1, 0)), x[1:n]])[None] * flat_b[None, :, 1:]
     pair = pair / pair.sum(axis=(0, 1)) * ~first[1:]
@@ -168,15 +182,15 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, ratio: float = RATIO,
     marked = lexicon(texts, toxic, ratio, support)
     features = Features(10**9)
     order = np.random.default_rng(11).permutation(len(texts))
+    batches = [(order[i:i + BATCH], *features.of([texts[j] for j in order[i:i + BATCH]])[1:]) for i in range(0, len(order), BATCH)]
+    slots = features.slots
+    is_marked = np.zeros(len(slots), bool)
+    is_marked[[i for w, i in features.items() if normal(w) in marked]] = True
     seen = [np.full_like(v, 1e-3) for v in (weights, bias, moves)]
     for _ in range(EPOCHS):
-        for at in range(0, len(order), BATCH):
-            chosen = order[at:at + BATCH]
-            slots, ids, sizes = features.of([texts[i] for i in chosen])
+        for chosen, ids, sizes in batches:
             if not len(ids):
                 continue
-            is_marked = np.zeros(len(slots), bool)
-            is_marked[[i for w, i in features.items() if normal(w) in marked]] = True
             first = firsts(sizes)
             label = is_marked[ids] & np.repeat(toxic[chosen] == 1, sizes)
             now = Model(weights, float(bias[0]), moves, model.curve)
@@ -216,7 +230,7 @@ def summaries(model: Model, features: Features, texts: list[str]) -> tuple[np.nd
     """Per text: log odds of its largest marginal and log of expected toxic tokens; marginals; sizes."""
     slots, ids, sizes = features.of(texts)
     first = firsts(sizes)
-    p, _ = chain(emissions(model, slots, ids, first), first, model.transitions)
+    p, _ = chain(emissions(model, slots, ids, first), first, model.transitions, pairs=False)
     out = np.zeros((len(texts), 2))
     out[:, 0] = -8.0
     some = sizes > 0
@@ -257,7 +271,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        features = worker_features()
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch[at:at + 1000]
