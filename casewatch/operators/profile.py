@@ -23,7 +23,14 @@ def _long_values(df: DataFrame, columns: list[str]) -> DataFrame:
 def exact_quantiles(
     df: DataFrame, columns: list[str], probabilities: list[float], cells: int = VALUE_CELLS
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles: (column, probability, value).
+    """Exact linear-interpolation quantiles of columns: (column, probability, value)."""
+    return counted_quantiles(_long_values(df, columns), probabilities, cells)
+
+
+def counted_quantiles(
+    counted: DataFrame, probabilities: list[float], cells: int = VALUE_CELLS
+) -> DataFrame:
+    """Exact quantiles of (column, value, n) rows; ``column`` may be any grouping key.
 
     ``percentile`` keeps every distinct value of a column in one task. Here
     equal values are counted first, so a frequent value is one row. A sketch
@@ -31,12 +38,10 @@ def exact_quantiles(
     are cumulated within a cell on top of the totals of the cells before it.
     The sketch only balances the cells; the ranks are exact.
     """
-    counted = _long_values(df, columns)
     cuts = counted.groupBy("column").agg(F.percentile_approx(
         "value", [i / cells for i in range(1, cells)], F.lit(cells * 20)
     ).alias("_cuts"))
-    # One row per column with a fixed number of cut points: bounded by the schema.
-    placed = counted.join(F.broadcast(cuts), "column").select(
+    placed = counted.join(cuts, "column").select(
         "column", "value", "n",
         F.size(F.filter("_cuts", lambda cut: cut < F.col("value"))).alias("_cell"),
     )
@@ -49,8 +54,7 @@ def exact_quantiles(
     )
     within = W.partitionBy("column", "_cell").orderBy("value")
     ranked = placed.withColumn("_up_to", F.sum("n").over(within)).join(
-        # At most ``cells`` rows per column.
-        F.broadcast(offsets), ["column", "_cell"]
+        offsets, ["column", "_cell"]
     )
     last = F.col("_before") + F.col("_up_to") - 1
     first = last - F.col("n") + 1
@@ -150,16 +154,18 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 def box_stats(df: DataFrame, group: str, measure: str) -> DataFrame:
     """Quartiles, whiskers (1.5 IQR, clipped to data) and outlier count per group.
 
-    ``measure`` holds weekly counts: ``percentile`` keeps value counts, whose
-    number is bounded by the weeks per group, and merges them map-side.
+    Equal values of a group are counted first and ranked in cells, so no group
+    meets in one task.
     """
-    quartiles = df.groupBy(group).agg(
-        F.count(measure).alias("n"),
-        F.percentile(measure, F.array(*[F.lit(p) for p in QUARTILES])).alias("_q"),
-    ).select(
-        group, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-        F.col("_q")[2].alias("q3"),
-    )
+    counted = df.filter(F.col(measure).isNotNull()).groupBy(
+        F.col(group).alias("column"), F.col(measure).cast("double").alias("value")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    points = counted_quantiles(counted, QUARTILES).groupBy("column").agg(*[
+        F.max(F.when(F.col("probability") == p, F.col("value"))).alias(name)
+        for p, name in zip(QUARTILES, ("q1", "median", "q3"), strict=True)
+    ])
+    sizes = counted.groupBy("column").agg(F.sum("n").alias("n"))
+    quartiles = sizes.join(points, "column").withColumnRenamed("column", group)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(measure).between(F.col("q1") - reach, F.col("q3") + reach)
     return df.join(quartiles, group).groupBy(group, "n", "q1", "median", "q3").agg(
