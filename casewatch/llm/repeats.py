@@ -330,10 +330,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whole = common.only(docs, doc_id=F.col(doc_id).cast("long"), k=common.text_key(F.col(doc_id), body), text=body)
     table = fragment_table(whole, length, gram)
     places = table.select("row", F.inline(F.arrays_zip("anchor", "frag", "low", "strings")))
-    met = table.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("met")).filter("met > 1").select("anchor")
+    # Tables, not aggregates, on one side of the joins: then a hot anchor can be split.
+    met = materialize(table.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("met")).filter("met > 1").select("anchor"))
     twice = materialize(places.join(met, "anchor"))
     kinds = materialize(twice.groupBy("anchor", "frag").agg(F.count("*").alias("n"), F.min(F.struct("row", "low", "strings")).alias("at")))
-    per_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles")).filter("kinds > 1 AND singles > 0")
+    per_anchor = materialize(
+        kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles")).filter("kinds > 1 AND singles > 0"))
     members = kinds.join(per_anchor, "anchor").select("anchor", "n", "kinds", "at.*")
     repeated = twice.join(kinds.filter("n > 1").select("anchor", "frag"), ["anchor", "frag"], "left_semi")
     marks = repeated.select("row", F.col("low").cast("long").alias("start"), (F.col("low") + F.col("strings") + (length - 1)).cast("long").alias("end"))
