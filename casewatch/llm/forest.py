@@ -145,7 +145,8 @@ def near_duplicates(
     texts = rows.groupBy("k.h1", "k.h2").agg(F.max("row").alias("node"), F.count("*").alias("n_copies"))
     nodes = rows.join(texts.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "k", "labels")
     met = nodes.select("node", F.posexplode("labels").alias("tree", "label"))
-    hubs = met.groupBy("tree", "label").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    # Tables, not aggregates, on one side of the joins: then a hot prefix or class can be split.
+    hubs = materialize(met.groupBy("tree", "label").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
     candidates = materialize(components(met.join(hubs, ["tree", "label"]).select(F.col("node").alias("u"), F.col("hub").alias("v"))))
     blocks = candidates.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = candidates.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -162,7 +163,7 @@ def near_duplicates(
     )
     every = materialize(rows.select("doc_id", "k").alias("r").join(per_text, F.expr("r.k.h1 = h1 AND r.k.h2 = h2")).select(
         "doc_id", "k", "class", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    of_class = every.groupBy("class").agg(F.max("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    of_class = materialize(every.groupBy("class").agg(F.max("doc_id").alias("class_id"), F.count("*").alias("class_size")))
     return every.join(of_class, "class").select("doc_id", "class_id", "class_size", "n_copies", "n_links", "k", "class")
 
 
