@@ -68,7 +68,7 @@ def different_bytes(contents: DataFrame, state: DataFrame) -> DataFrame:
         contents.join(hits, "digest").select("digest", "id", "h1", "h2", "text", F.expr(
             "id <=> stays.id AND h1 = stays.h1 AND h2 = stays.h2").alias("holds"))
     )
-    holders = met.filter("holds").groupBy("digest").agg(F.max("text").alias("held"))
+    holders = materialize(met.filter("holds").groupBy("digest").agg(F.max("text").alias("held")))
     # Written before it is made distinct, so that the join may split a hot digest.
     apart = materialize(met.join(holders, "digest").filter(F.col("text") != F.col("held")).select("digest", "h1", "h2"))
     return apart.distinct()
