@@ -184,7 +184,7 @@ SELECT ['NINGUNO', 'BAJO', 'MEDIO', 'ALTO'][coalesce(max(k), 1)] AS nivel_global
 UNION ALL
 SELECT ['NINGUNO', 'BAJO', 'MEDIO', 'ALTO'][coalesce(max(k), 1)],
        CAST(count(*) AS BIGINT), 'nation_12' FROM ranked WHERE upper(departamento) = 'NATION_12'"""
-ORACLES["departments_at_risk"] = f"""WITH found AS ({PUBLISHED})
+ORACLES["departments_at_risk"] = f"""WITH found AS ({ORACLES['alerts_latest_week']})
 SELECT departamento, ratio FROM found WHERE nivel_alerta = 'ALTO'
 ORDER BY ratio DESC, departamento, semana LIMIT 5"""
 ORACLES["disease_summary"] = f"""WITH {DECODED}

@@ -84,7 +84,7 @@ def alert_severity_rollup(spark, folder):
 
 
 def departments_at_risk(spark, folder):
-    return alerts.departments_at_risk(alerts_published_recent(spark, folder))
+    return alerts.departments_at_risk(alerts_latest_week(spark, folder))
 
 
 def disease_summary(spark, folder):
