@@ -24,10 +24,12 @@ from pyspark.sql.types import StructType
 from casewatch.llm import common
 from casewatch.session import materialize, scratch_path
 
-#: State on disk; without preallocated log files, of which every partition would hold 4 MB.
+#: State on disk, in bounded memory; without preallocated log files, 4 MB in every partition.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
 Digest = Callable[[Column], Column]
 

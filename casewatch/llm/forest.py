@@ -76,6 +76,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str, words: int, trees: int,
                 grams = shingles(t, words, hashes)
                 found.append(labels.of(grams).view(np.int64) if len(grams) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int64()))], ["doc_id", "k", "labels"])
+        hashes.clear()
+        common.give_back()
 
     body = F.coalesce(F.col(text), F.lit(""))
     narrow = common.only(docs, doc_id=F.col(doc_id).cast("long"), k=common.text_key(F.col(doc_id), body), text=body)

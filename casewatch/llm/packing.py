@@ -22,6 +22,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,14 +87,10 @@ class WordTokens(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_encoders: dict[str, WordTokens] = {}
-
-
+@cache
 def encoder(path: str) -> WordTokens:
-    """One per Python worker, reused by its tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordTokens(path)
-    return _encoders[path]
+    """One per Python worker; its tasks reuse the tokenizer and leave no words behind."""
+    return WordTokens(path)
 
 
 class Packer:
@@ -191,6 +188,8 @@ def pack(
                     packer.add(one, ids_of(words) + end)
                 yield frame(packer.flush(last=False))
         yield frame(packer.flush(last=True))
+        encoder(path).clear()
+        common.give_back()
 
     narrow = common.only(docs, i=F.col(doc_id).cast("long"), t=F.coalesce(F.col(text), F.lit("")))
     return narrow.mapInArrow(run, SCHEMA)

@@ -84,6 +84,8 @@ def features(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
             found = zip(*[measure(t, words_of) for t in batch["text"].to_pylist()], strict=True)
             made = [pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], [*batch.schema.names[:3], *MEASURES, "lines", "line_words"])
+        words_of.clear()
+        common.give_back()
 
     body = F.coalesce(F.col(text), F.lit(""))
     narrow = common.only(docs, doc_id=F.col(doc_id).cast("long"), host=F.col(host).cast("string"), k=common.text_key(F.col(doc_id), body), text=body)
