@@ -1,20 +1,23 @@
 """Hierarchical packing: documents go to tiers of context sizes, tiers are packed, gaps filled.
 
-Each task packs the documents it reads, so nothing is shuffled and no key can
+Each task packs the documents it reads, so no text is shuffled and no key can
 run hot. A task holds one window of documents at a time:
 
 1. A document longer than the largest tier is cut into full sequences of it; the
-   rest goes to the smallest tier that holds it.
-2. Sequences of the largest tier start with a rest of that tier. The gap is filled
-   best fit from the shorter tiers, longest piece that fits first.
+   rest goes to the smallest tier that holds it. Every tier has its own list.
+2. From the largest tier down, each rest of a tier starts a sequence of that tier's
+   size. The gap is filled best fit, longest piece that fits first, which only the
+   shorter tiers hold (and, in the smallest tier, the tier itself).
 3. A gap that no piece fits is filled by cutting the shortest piece left; the
    remainder goes back to the tier of its new length.
-4. Rests too short to fill a sequence wait for the next window. At the end of the
-   partition they fill sequences of the shorter tiers, cut so that at most one
-   sequence, of the smallest tier, is padded.
+4. A rest that it and all shorter pieces together cannot fill waits for the next
+   window. At the end of the partition what waits, less than one sequence of the
+   largest tier, is cut so that at most one sequence, of the smallest tier, is padded.
 
 Sequences of one tier are dealt to step groups of ``step_tokens`` tokens each, so
-every step of a tier costs the same.
+every step of a tier costs the same. Tasks number their sequences by tier; the
+counts of all tasks (one row a task and tier) make these numbers global, so that
+only the last group of a tier in the whole table is not full.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewatch.llm import common
+from casewatch.session import materialize
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 2**19
@@ -40,6 +44,8 @@ SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
     "offset long, tier int, padding int, step_group long"
 )
+MADE = SCHEMA + ", nth long"
+TASK_BITS = 33
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -99,7 +105,9 @@ class Packer:
     def __init__(self, tiers: tuple[int, ...], step_tokens: int, base: int) -> None:
         self.tiers, self.step_tokens, self.base = tiers, step_tokens, base
         self.top, self.next = tiers[-1], 0
-        self.rests: list[tuple[int, int, tuple, int, bytes]] = []  # sorted by length
+        # Per tier: rests sorted by length, and their tokens.
+        self.rests: dict[int, list[tuple[int, int, tuple, int, bytes]]] = {t: [] for t in tiers}
+        self.tokens = dict.fromkeys(tiers, 0)
         self.order = 0
         self.made = dict.fromkeys(tiers, 0)
         self.rows: list[tuple] = []
@@ -109,7 +117,26 @@ class Packer:
 
     def wait(self, doc: tuple, start: int, ids: bytes) -> None:
         self.order += 1
-        bisect.insort(self.rests, (len(ids) // 4, self.order, doc, start, ids))
+        n = len(ids) // 4
+        bisect.insort(self.rests[self.tier(n)], (n, self.order, doc, start, ids))
+        self.tokens[self.tier(n)] += n
+
+    def take(self, tier: int, at: int) -> tuple:
+        rest = self.rests[tier].pop(at)
+        self.tokens[tier] -= rest[0]
+        return rest
+
+    def fitting(self, gap: int) -> tuple | None:
+        """The longest rest that fits."""
+        for tier in reversed(self.tiers[:self.tiers.index(self.tier(gap)) + 1]):
+            at = bisect.bisect_left(self.rests[tier], (gap + 1,)) - 1
+            if at >= 0:
+                return self.take(tier, at)
+        return None
+
+    def waiting(self, size: int) -> int:
+        """Tokens in the lists of a tier and the shorter ones."""
+        return sum(n for tier, n in self.tokens.items() if tier <= size)
 
     def add(self, doc_id, ids: bytes) -> None:
         total, full = len(ids) // 4, 4 * self.top
@@ -121,25 +148,26 @@ class Packer:
 
     def sequence(self, size: int, pieces: list) -> None:
         per_step = max(1, self.step_tokens // size)
-        group = (self.made[size] // per_step) * len(self.tiers) + self.tiers.index(size)
+        nth = self.made[size]
+        group = (nth // per_step) * len(self.tiers) + self.tiers.index(size)
         self.made[size] += 1
         padding = size - sum(len(p[2]) for p in pieces) // 4
         at = 0
         for (doc_id, total), start, ids in pieces:
             n = len(ids) // 4
-            self.rows.append((doc_id, start, n, zlib.crc32(ids), total, self.base + self.next, at, size, padding, self.base + group))
+            self.rows.append((doc_id, start, n, zlib.crc32(ids), total, self.base + self.next, at, size, padding, self.base + group, nth))
             at += n
         self.next += 1
 
     def fill(self, size: int) -> None:
         """One sequence of ``size``: the longest rest that fits, again and again, then a cut."""
         gap, pieces = size, []
-        while gap and self.rests:
-            at = bisect.bisect_left(self.rests, (gap + 1,)) - 1
-            if at >= 0:
-                n, _, doc, start, ids = self.rests.pop(at)
+        while gap and self.waiting(self.top):
+            if rest := self.fitting(gap):
+                n, _, doc, start, ids = rest
             else:
-                n, _, doc, start, ids = self.rests.pop(0)
+                shortest = next(t for t in self.tiers if self.rests[t])
+                _, _, doc, start, ids = self.take(shortest, 0)
                 self.wait(doc, start + gap, ids[4 * gap:])
                 n, ids = gap, ids[:4 * gap]
             pieces.append((doc, start, ids))
@@ -147,18 +175,15 @@ class Packer:
         self.sequence(size, pieces)
 
     def flush(self, last: bool) -> list[tuple]:
-        waiting = sum(r[0] for r in self.rests)
-        while waiting >= self.top:
-            self.fill(self.top)
-            waiting -= self.top
+        for size in reversed(self.tiers):
+            while self.rests[size] and self.waiting(size) >= size:
+                self.fill(size)
         if last:
             for size in reversed(self.tiers):
-                if waiting >= size:
+                if self.waiting(self.top) >= size:
                     self.fill(size)
-                    waiting -= size
-            while waiting > 0:
+            while self.waiting(self.top):
                 self.fill(self.tiers[0])
-                waiting -= self.tiers[0]
         rows, self.rows = self.rows, []
         return rows
 
@@ -172,7 +197,7 @@ def pack(
     A null text is empty and packs as its end id alone; a very long text is cut into
     full sequences; rows that repeat a document are packed each; an empty table gives
     no rows; other columns are not read. ``sequence_id`` holds the partition in its
-    upper bits, so sequences of different tasks never meet.
+    upper bits, so sequences of different tasks never meet; step groups span tasks.
     """
     if list(tiers) != sorted(tiers) or any(t & (t - 1) for t in tiers):
         raise ValueError("tiers are ascending powers of two")
@@ -180,7 +205,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(path).text
-        packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << 33)
+        packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << TASK_BITS)
         for batch in batches:
             for at in range(0, len(batch), window):
                 part = batch[at:at + window].to_pydict()
@@ -192,11 +217,26 @@ def pack(
         common.give_back()
 
     narrow = common.only(docs, i=F.col(doc_id).cast("long"), t=F.coalesce(F.col(text), F.lit("")))
-    return narrow.mapInArrow(run, SCHEMA)
+    return in_steps(materialize(narrow.mapInArrow(run, MADE)), tiers, step_tokens)
+
+
+def in_steps(rows: DataFrame, tiers: tuple[int, ...], step_tokens: int) -> DataFrame:
+    """Step groups over all tasks: a sequence's number follows those of its tier in the tasks before."""
+    task = F.shiftright("sequence_id", TASK_BITS).alias("task")
+    counts = rows.groupBy(task, "tier").agg((F.max("nth") + 1).alias("n")).collect()
+    before, starts = dict.fromkeys(tiers, 0), []
+    for part, tier, n in sorted(counts):
+        starts.append((part, tier, before[tier], max(1, step_tokens // tier), tiers.index(tier)))
+        before[tier] += n
+    table = rows.sparkSession.createDataFrame(starts, "task long, of_tier int, before long, per_step int, place int")
+    on = (F.shiftright("sequence_id", TASK_BITS) == F.col("task")) & (F.col("tier") == F.col("of_tier"))
+    group = F.floor((F.col("before") + F.col("nth")) / F.col("per_step")) * len(tiers) + F.col("place")
+    joined = rows.drop("step_group").join(F.broadcast(table), on)
+    return joined.withColumn("step_group", group).select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def frame(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [c.split() for c in SCHEMA.split(", ")]
+    columns = [c.split() for c in MADE.split(", ")]
     values = zip(*rows, strict=True) if rows else [[]] * len(columns)
     kinds = {"long": pa.int64(), "int": pa.int32()}
     return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(values, columns, strict=True)], [n for n, _ in columns])

@@ -53,3 +53,29 @@ def test_step_groups_hold_equal_tokens():
         packer.add(i, bytes(4 * 8))
     rows = pd.DataFrame(packer.flush(True))
     assert rows.groupby(9)[2].sum().tolist() == [16] * 10
+
+
+def test_short_documents_give_sequences_of_every_tier_and_equal_steps(spark):
+    sizes = (8, 16, 32, 64)
+    texts = [(i, "a " * (1 + int(62 * (i * 37 % 1000 / 1000) ** 3))) for i in range(4000)]  # mostly short
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+    rows = packing.pack(docs, tiers=sizes, step_tokens=256).toPandas()
+    assert rows.length.sum() == sum(n.count("a") + 1 for _, n in texts)
+    sequences = rows.groupby("sequence_id").agg(tier=("tier", "first"), group=("step_group", "first"), padding=("padding", "first"))
+    assert (sequences.tier.value_counts().reindex(sizes) >= 100).all()
+    assert (sequences.groupby("group").tier.nunique() == 1).all()
+    for _, one in sequences.groupby("tier"):
+        tokens = one.groupby("group").tier.sum().sort_index()
+        assert (tokens.iloc[:-1] == 256).all() and tokens.iloc[-1] <= 256
+    assert sequences.padding.sum() < 7 * sizes[0]
+
+
+def test_every_sequence_starts_with_a_rest_of_its_tier():
+    packer = packing.Packer((4, 8, 16), 64, 0)
+    for i in range(600):
+        packer.add(i, bytes(4 * (1 + i % 16)))
+    rows = pd.DataFrame(packer.flush(False))
+    longest = rows.groupby(5).agg(tier=(7, "first"), piece=(2, "max"))
+    assert set(longest.tier) == {4, 8, 16}
+    assert (longest.piece > longest.tier // 2).mean() > 0.95
+    assert packer.waiting(16) < 16
