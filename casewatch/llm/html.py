@@ -4,7 +4,9 @@ Markup is stripped to lines, one per block element. Lines inside menus, footers,
 forms, adverts and the like keep their place but no text, so they are the valleys of
 the distribution. The lengths of ``span`` successive lines are summed. Text surges
 where a sum rises above the threshold and dives where the sums fall to zero; what
-lies between is kept, in page order. Inside an article element any text is a surge.
+lies between is kept, in page order. A line inside an article element weighs as much
+as a surge at least. What surges outside is dropped only where all of it is no more
+than what the article elements weigh together.
 """
 
 from __future__ import annotations
@@ -108,9 +110,8 @@ def extract(page: str, span: int = SPAN, surge: int = SURGE) -> tuple[str, int,
     lines, trusted = lines_of(page)
     inside = np.array(trusted)
     sizes = np.array([len(x) for x in lines])
-    if (sizes * inside).sum():
-        sizes, surge = sizes * inside, 1
-    ahead = np.convolve(sizes, np.ones(span, np.int64))[span - 1:]  # each line and the next ones
+    weights = np.where(inside & (sizes > 0), np.maximum(sizes, surge), sizes)
+    ahead = np.convolve(weights, np.ones(span, np.int64))[span - 1:]  # each line and the next ones
     # A run of lines between two valleys: no text in the line and in those after it.
     live = (ahead > 0) & ~((sizes == 0) & (np.r_[0, sizes[:-1]] == 0))
     edges = np.flatnonzero(np.diff(np.r_[0, live.astype(np.int8), 0]))
@@ -119,6 +120,8 @@ def extract(page: str, span: int = SPAN, surge: int = SURGE) -> tuple[str, int,
         if ahead[start:end].max() >= surge:
             kept[start:end] = True
     kept &= sizes > 0
+    if sizes[kept & ~inside].sum() <= weights[inside].sum():
+        kept &= inside
     places = np.flatnonzero(kept)
     if not len(places):
         return "", -1, -1

@@ -82,3 +82,12 @@ def test_nulls_repeats_empty(spark):
     rows = [(None, None, None, "z"), (1, "u", "<article>t</article>", None), (1, "u", "<article>t</article>", None)]
     got = html.main_text(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, "t", 1), (1, "t", 1)]
+
+
+def test_body_outside_small_articles_stays():
+    body, once = f"<div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>", LONG.strip()
+    assert text("<article>x</article>" + body) == "\n\n".join(["x", once, once, once])
+    cards = "<article><h3>Card</h3></article>"
+    assert text(body + "<ul><li>a</ul><div>short</div><div></div>" + cards * 2) == "\n\n".join([once] * 3 + ["Card"] * 2)
+    assert text(f"<p>{LONG}</p><main>{body}</main><p>{LONG}</p>") == "\n\n".join([once] * 3)
+    assert text(f"<article></article><p>{LONG}") == once
