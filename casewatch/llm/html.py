@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +31,14 @@ BLOCKS = set(
     "h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 DROPPED = set("nav footer aside form menu dialog select button".split())
 TRUSTED = set("article main".split())
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+# Elements whose end tag may be left out: the opening tags that end them, and the elements inside which such a tag ends nothing outside.
+CELLS, GROUPS = {"td", "th"}, {"tbody", "tfoot", "thead"}
+ENDED_BY = {
+    "p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "optgroup": {"optgroup"},
+    **dict.fromkeys(CELLS, CELLS | {"tr"} | GROUPS), "tr": {"tr"} | GROUPS, **dict.fromkeys(GROUPS, GROUPS),
+}
+SCOPES = dict.fromkeys(ENDED_BY, {"table"}) | {"p": set()} | dict.fromkeys(("li", "dt", "dd"), BLOCKS - VOID - {"address", "div", "p"})
 NAMES = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr "
     "masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related respond share sharing sidebar social "
@@ -58,10 +67,12 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
     """Text of every line, and whether it stands inside an article element.
 
     A dropped element ends where as many of its name were closed as opened; one that
-    is never closed ends at the next article element.
+    is never closed ends at the next article element. One whose end tag may be left
+    out ends at its next sibling or with its parent too.
     """
     lines, trusted, held = [], [], []
     inside, noise, depth, at = 0, "", 0, 0
+    opened, inner, within = Counter(), [], Counter()  # block elements that are open: outside noise, in it in order, and in it by name
 
     def end_line() -> None:
         text = " ".join(html.unescape("".join(held)).split())
@@ -79,6 +90,24 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
         if noise:
             if name in TRUSTED and not closing:
                 noise = ""
+            elif noise in ENDED_BY:
+                if closing and within[name]:
+                    while (gone := inner.pop()) != name:
+                        within[gone] -= 1
+                    within[name] -= 1
+                elif closing and name == noise:
+                    noise = ""
+                    end_line()
+                    continue
+                elif closing and name != "p" and opened[name] or not closing and name in ENDED_BY[noise] and not any(within[x] for x in SCOPES[noise]):
+                    noise = ""
+                elif not closing and name in BLOCKS and name not in VOID:
+                    inner.append(name)
+                    within[name] += 1
+                if noise:
+                    if name in BLOCKS:
+                        end_line()
+                    continue
             elif name == noise:
                 depth += -1 if closing else 1
                 if depth == 0:
@@ -90,11 +119,15 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
                     end_line()
                 continue
         attributes = tag[3] or tag[6] or ""
-        if not closing and not attributes.endswith("/") and (is_noise(name, attributes) or name == "header" and not inside):
+        if not closing and name not in VOID and not attributes.endswith("/") and (is_noise(name, attributes) or name == "header" and not inside):
             end_line()
             noise, depth = name, 1
+            inner.clear()
+            within.clear()
         elif name in BLOCKS:
             end_line()
+            if name not in VOID:
+                opened[name] = max(0, opened[name] + (-1 if closing else 1))
             if name in TRUSTED:
                 inside = max(0, inside + (-1 if closing else 1))
         elif name in ("br", "img", "input"):

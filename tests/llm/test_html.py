@@ -91,3 +91,21 @@ def test_body_outside_small_articles_stays():
     assert text(body + "<ul><li>a</ul><div>short</div><div></div>" + cards * 2) == "\n\n".join([once] * 3 + ["Card"] * 2)
     assert text(f"<p>{LONG}</p><main>{body}</main><p>{LONG}</p>") == "\n\n".join([once] * 3)
     assert text(f"<article></article><p>{LONG}") == once
+
+
+def test_void_elements_are_no_noise():
+    for tag in ("<img class='banner' src=x>", "<hr class=ad>", "<input type=hidden>", "<img alt='Hidden lake'>", "<br class=social>", "<source class=ad>"):
+        assert text(f"<article><p>a</p>{tag}<p>b</p></article>") == "a\n\nb", tag
+        assert text(f"<div>{tag}<p>{LONG}</p></div>") == LONG.strip(), tag
+
+
+def test_noise_without_an_end_tag_ends_at_its_sibling_or_with_its_parent():
+    for page in (
+        "<p class=notice>no<p>yes", "<p class=notice>no<div>yes</div>", "<div><p class=notice>no</div>yes", "<ul><li class=social>no<li>yes</ul>",
+        "<ul><li class=social>no<ul><li>no</ul>no</ul>yes", "<ul><li class=social>no<ul><li>no<li>no</ul>no</li><li>yes</ul>", "<dl><dt class=ad>no<dd>yes</dl>",
+        "<dl><dd class=ad>no<dt>yes</dl>", "<table><tr class=ad><td>no<tr><td>yes</table>", "<table><tr><td class=ad>no<td>yes</table>",
+        "<table><tr><td class=ad>no<table><tr><td>no<td>no</table>no<tr><td>yes</table>", "<table><tr><td class=ad>no</table>yes",
+        "<datalist><option class=ad>no<option>yes</datalist>", "<table><tr><td><p class=notice>no<td>yes</table>",
+    ):
+        assert text(f"<article>{page}</article>") == "yes", page
+        assert text(page.replace("yes", LONG)) == LONG.strip(), page
