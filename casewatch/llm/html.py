@@ -46,8 +46,7 @@ NAMES = set(
 ROLES = set("navigation banner contentinfo complementary search dialog alert form menu".split())
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|head|title|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?/][^>]*+>""")
-CUES = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-ROLE = re.compile(r"""\brole\s*=\s*["']?([a-z]+)|\b(hidden)\b(?!\s*=)|\baria-hidden\s*=\s*["']?(true)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
 
 
 def is_noise(name: str, attributes: str) -> bool:
@@ -56,11 +55,17 @@ def is_noise(name: str, attributes: str) -> bool:
         return True
     if not attributes or name in TRUSTED or name in ("body", "html"):
         return False
-    for found in CUES.findall(attributes):
-        if NAMES.intersection(re.split(r"[^a-z0-9]+", "".join(found).lower())):
+    for key, *quoted in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), "".join(quoted).lower()
+        if key in ("class", "id"):
+            found = not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value))
+        elif key == "role":
+            found = not ROLES.isdisjoint(value.split()[:1])
+        else:
+            found = key == "hidden" and value != "until-found" or key == "aria-hidden" and value.strip() == "true"
+        if found:
             return True
-    role = ROLE.search(attributes)
-    return bool(role) and (role[1] is None or role[1].lower() in ROLES)
+    return False
 
 
 def lines_of(page: str) -> tuple[list[str], list[bool]]:

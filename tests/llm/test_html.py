@@ -109,3 +109,15 @@ def test_noise_without_an_end_tag_ends_at_its_sibling_or_with_its_parent():
     ):
         assert text(f"<article>{page}</article>") == "yes", page
         assert text(page.replace("yes", LONG)) == LONG.strip(), page
+
+
+def test_only_attributes_by_name_hide():
+    for shown in (
+        'style="overflow:hidden"', 'class="overflow-hidden"', 'title="hidden costs"', 'data-x="is hidden"', "data-id=ad", 'title="role=menu"', """title='class="ad"'""",
+        'title="aria-hidden=true"', "aria-hidden=false", "data-hidden", "role=main", "hidden=until-found",
+    ):
+        assert text(f"<div {shown}><p>{LONG}</p></div>") == LONG.strip(), shown
+        assert text(f"<article><div {shown}>yes</div></article>") == "yes", shown
+    assert text("<article><p><a href='/hidden/x'>yes</a> <a href=/hidden>too</a></article>") == "yes too"
+    for gone in ("hidden", "HIDDEN", 'hidden=""', "hidden=hidden", 'aria-hidden="true"', "role=menu", "ROLE='navigation x'", "data-a=1 class='x ad'", 'style="a:b"hidden', "id = nav"):
+        assert text(f"<article>yes<div {gone}>no</div></article>") == "yes", gone
