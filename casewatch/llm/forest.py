@@ -1,9 +1,10 @@
-"""Near duplicates by n-gram Jaccard similarity: a MinHash LSH forest, then exact verification.
+"""Near duplicates by n-gram Jaccard similarity: MinHash banding, then exact verification.
 
-1. Signatures: every distinct text has one label per tree, a sequence of minimum
-   hashes. In the sorted trie of a tree, texts meet where they share a prefix.
-2. Prefixes start at the full label and are shortened until a pair at the threshold
-   meets in some tree with the target recall.
+1. Signatures: every distinct text has one label per tree (band), a hash of its first
+   minimum hashes. Texts meet where a label is equal. No trie is built or sorted.
+2. How many minimum hashes a label holds is fixed before the data are read: the most,
+   up to the full depth, with which a pair at the threshold meets in some tree with
+   the target recall. Dense labels are not refined.
 3. Texts that meet are linked to the first of their prefix; the connected components
    of these links are the candidate groups. Only their texts are shuffled, once.
 4. A group of more than ``block`` texts is dealt into blocks, and each pair of blocks
