@@ -36,7 +36,7 @@ from casewatch.session import materialize
 
 LENGTH, GRAM, HOT = 200, 32, 16_000
 SHARD_BYTES = 2**20
-CHUNK = 2**22
+CHUNK = 2**20
 
 
 def gram_hashes(data: bytes, gram: int) -> np.ndarray:
@@ -98,21 +98,24 @@ def fragment_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
     names = ["low", "strings", "anchor", "frag"]
     kinds = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
-    def chunks(texts: list[str]) -> Iterator[list[bytes]]:
-        held, size = [], 0
-        for t in texts:
-            held.append(common.encoded(t))
+    def chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+        """Texts of ``CHUNK`` bytes together (one more may end it), and where they begin in the batch."""
+        start, held, size = 0, [], 0
+        for i, t in enumerate(texts):
+            held.append(common.encoded(t.as_py()))
             size += len(held[-1])
             if size >= CHUNK:
-                yield held
-                held, size = [], 0
-        yield held
+                yield start, held
+                start, held, size = i + 1, [], 0
+        if held:
+            yield start, held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row for part in chunks(batch["text"].to_pylist()) for row in fragments(part, length, gram)]
-            made = [pa.array(v, k) for v, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["k"], *made], ["k", *names])
+            for start, part in chunks(batch["text"]):
+                made = [pa.array(v, k) for v, k in zip(zip(*fragments(part, length, gram), strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["k"].slice(start, len(part)), *made], ["k", *names])
+        common.give_back()
 
     schema = "k struct<id: long, h1: long, h2: long>, low array<int>, strings array<int>, anchor array<bigint>, frag array<bigint>"
     return materialize(docs.select("k", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
@@ -235,6 +238,8 @@ def mark_shard(length: int) -> Callable[[pa.Table], pa.Table]:
             if found:
                 rows.append(row)
                 marks.append(found)
+        del part, data, end_of, hit
+        common.give_back()
         return pa.table({"row": pa.array(rows, pa.int64()), "marks": pa.array(marks, MARK)})
 
     return run
@@ -274,8 +279,8 @@ def first_pass(length: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch[at:at + 500]
+            for at in range(0, len(batch), 100):
+                part = batch[at:at + 100]
                 results, texts, cut = [], [], []
                 for text, marks, members in zip(*(part[n].to_pylist() for n in ("text", "marks", "members")), strict=True):
                     raw = common.encoded(text)
@@ -287,16 +292,18 @@ def first_pass(length: int) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], part["row"], *made, pa.array(texts, pa.string()), part["marks"], pa.array(cut, frag)],
                     ["doc_id", "row", *[c.split()[0] for c in RESULT.split(", ")], "text", "marks", "members"])
+        common.give_back()
 
     return run
 
 
 def last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [digest(common.encoded(t), [*(a or []), *(m for part in b or [] for m in part)])
-                for t, a, b in zip(*(batch[n].to_pylist() for n in ("text", "marks", "more")), strict=True)]
+        rows = [digest(common.encoded(t.as_py()), [*(a.as_py() or []), *(m for part in b.as_py() or [] for m in part)])
+                for t, a, b in zip(*(batch[n] for n in ("text", "marks", "more")), strict=True)]
         made = [pa.array(v, k) for v, k in zip(zip(*rows, strict=True) if rows else [()] * 4, DIGEST_KINDS, strict=True)]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], *made], ["doc_id", *[c.split()[0] for c in RESULT.split(", ")]])
+    common.give_back()
 
 
 def hot_marks(members: DataFrame, length: int) -> DataFrame:
