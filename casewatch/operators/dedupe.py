@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from casewatch import presets
 
@@ -24,24 +26,28 @@ def dedupe_cases(
     ``order_by`` decides which copy is first (default: all columns) and is not
     part of a row's content. ``copies`` adds the number of merged rows.
 
-    With one numeric ``order_by`` column, unique per row, the aggregate holds two
-    numbers per key and hashes; the rows it names are then fetched by a join.
+    With one whole-number ``order_by`` column the aggregate holds numbers only and
+    hashes: the smallest place per key and the row hash there. The rows they name are
+    then fetched by a join. Numbers of up to 18 digits may repeat: a place holds the row
+    hash behind the number, so ties go to one of the rows that differ, the same in every
+    run. Wider numbers, places of rows in files, should be unique; of a tie any one stays.
+    A null number is the first.
     """
     order = order_by or df.columns
     content = [c for c in df.columns if c not in (order_by or [])]
-    has_id = F.col(id_column).isNotNull() & (F.col(id_column) != presets.NO_DATA)
+    has_id = F.col(id_column).isNotNull() & (F.col(id_column).cast("string") != presets.NO_DATA)
     whole_row = F.when(~has_id, F.struct(*content))
-    groups = df.groupBy(
-        *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
-        whole_row.alias("_content"),
-    )
-    if len(order) == 1 and isinstance(df.schema[order[0]].dataType, T.NumericType):
-        first = groups.agg(F.min(order[0]).alias("_place"), F.count(F.lit(1)).alias("_copies"))
-        # The named rows hash, so neither side is sorted.
-        named = first.select("_place", "_copies").hint("shuffle_hash")
-        rows = df.join(named, df[order[0]] == F.col("_place"))
-        return rows.select(*df.columns, *([F.col("_copies").alias(copies)] if copies else []))
-    grouped = groups.agg(
+    groups_by = [*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], whole_row.alias("_content")]
+    if len(order) == 1 and (place := row_place(df, order[0])) is not None:
+        own_hash = F.xxhash64(F.lit(1), *content)
+        first = df.select(*df.columns, place.alias("_place"), own_hash.alias("_row")).groupBy(*groups_by).agg(
+            F.min("_place").alias("_place"), F.min_by("_row", "_place").alias("_row"), F.count(F.lit(1)).alias("_copies"))
+        named = first.select("_place", "_row", "_copies")
+        rows = df.withColumns({"_place": place, "_row": own_hash}).join(named, ["_place", "_row"])
+        # Rows equal in every column are found together; they hash into one.
+        once = rows.select("_place", "_row", "_copies", *df.columns).distinct()
+        return once.select(*df.columns, *([F.col("_copies").alias(copies)] if copies else []))
+    grouped = df.groupBy(*groups_by).agg(
         F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_first"),
         F.count(F.lit(1)).alias("_copies"),
     )
@@ -49,6 +55,19 @@ def dedupe_cases(
     return kept
 
 
+def row_place(df: DataFrame, column: str) -> Column | None:
+    """Fixed-width place by a whole-number column, None for others; see ``dedupe_cases``."""
+    kind = df.schema[column].dataType
+    whole = isinstance(kind, T.IntegralType) or (isinstance(kind, T.DecimalType) and kind.scale == 0)
+    if not whole:
+        return None
+    if isinstance(kind, T.DecimalType) and kind.precision > 18:
+        return F.coalesce(F.col(column), F.lit(Decimal(1 - 10**kind.precision)).cast(kind))
+    number = F.coalesce(F.col(column).cast("decimal(19,0)"), F.lit(Decimal(-(2**63) - 1)).cast("decimal(19,0)"))
+    row = F.xxhash64(*df.columns).bitwiseAND(F.lit(2**62 - 1)).cast("decimal(19,0)")
+    return (number * F.lit(Decimal(2**62)).cast("decimal(19,0)") + row).cast("decimal(38,0)")
+
+
 def count_removed(deduped: DataFrame, copies: str) -> DataFrame:
     """Rows before, rows after and rows removed, from the copy counts."""
     return deduped.agg(

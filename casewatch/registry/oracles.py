@@ -438,8 +438,18 @@ ORACLES["csv_scan"] = """
 SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
   CASE WHEN o_orderkey % 7 <> 2 THEN CAST(o_custkey AS VARCHAR) END AS o_custkey,
   CASE WHEN o_orderkey % 7 <> 2 THEN o_orderstatus END AS o_orderstatus,
-  CASE WHEN o_orderkey % 7 = 2 THEN o_orderpriority END AS o_orderpriority
+  CASE WHEN o_orderkey % 7 = 2 THEN o_orderpriority END AS o_orderpriority,
+  CASE WHEN o_orderkey % 7 <> 2 THEN 'Bogotá ' || translate(o_orderpriority, 'EIOU', 'ÉÍÓÜ') END AS place
 FROM orders"""
+ORACLES["raw_file_check"] = """
+WITH p AS (SELECT page_id, page_id % 48 AS kind, CASE page_id % 4 WHEN 0 THEN 'PK' || html
+    WHEN 1 THEN repeat('a,b,c' || chr(10), 99) || html ELSE html END AS body FROM pages),
+f AS (SELECT kind, arg_min(body, page_id) || chr(10) AS first, CAST(sum(octet_length(encode(body)) + 1) AS BIGINT) AS size_bytes FROM p GROUP BY kind)
+SELECT kind || CASE kind % 3 WHEN 0 THEN '.xlsx' WHEN 1 THEN '.csv' ELSE '.json' END AS filename, size_bytes,
+  CASE WHEN size_bytes < 100 THEN FALSE WHEN kind % 3 = 0 THEN first LIKE 'PK%'
+    WHEN kind % 3 = 1 THEN NOT (lower(substr(first, 1, 500)) LIKE '%<html%' OR lower(substr(first, 1, 500)) LIKE '%<!doctype html%')
+    ELSE TRUE END AS is_valid
+FROM f"""
 SOURCE_FILES = ", ".join(f"({i}, '{row[0]}', '{row[5]}')" for i, row in enumerate(presets.SOURCES))
 ORACLES["ingest_manifest"] = f"""
 WITH s(kind, disease, filename) AS (VALUES {SOURCE_FILES}),

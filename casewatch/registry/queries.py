@@ -442,18 +442,33 @@ def etl_weekly(spark, folder):
 
 
 def csv_scan(spark, folder):
-    """Files of different headers and sizes in one folder, by one scan."""
+    """Files of different headers, sizes and encodings in one folder, each body read once."""
     out = scratch_path(spark)
     kind = F.col("o_orderkey") % 7
-    order = table(spark, folder, "orders")
+    order = table(spark, folder, "orders").withColumn(
+        "place", F.concat(F.lit("Bogotá "), F.translate("o_orderpriority", "EIOU", "ÉÍÓÜ")))
     parts = [
-        (~kind.isin(1, 2), ["o_orderkey", "o_custkey", "o_orderstatus"]),
-        (kind == 1, ["o_orderstatus", "o_orderkey", "o_custkey"]),
-        (kind == 2, ["o_orderpriority", "o_orderkey"]),
+        (~kind.isin(1, 2, 3), ["o_orderkey", "o_custkey", "o_orderstatus", "place"], "UTF-8"),
+        (kind == 1, ["o_orderstatus", "o_orderkey", "o_custkey", "place"], "ISO-8859-1"),
+        (kind == 2, ["o_orderpriority", "o_orderkey"], "UTF-8"),
+        (kind == 3, ["o_orderkey", "o_custkey", "o_orderstatus", "place"], "ISO-8859-1"),
     ]
-    for wanted, columns in parts:
-        order.filter(wanted).select(*columns).write.mode("append").csv(out, header=True)
-    return files.read_csv(spark, out).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    for wanted, columns, encoding in parts:
+        order.filter(wanted).select(*columns).write.mode("append").csv(out, header=True, encoding=encoding)
+    return files.read_csv(spark, out).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "place")
+
+
+def raw_file_check(spark, folder):
+    """Signatures of files that hold pages, a folder per file name; only their heads are read."""
+    out = scratch_path(spark)
+    kind = F.col("page_id") % 48
+    body = F.when(kind % 4 == 0, F.concat(F.lit("PK"), F.col("html"))).when(
+        kind % 4 == 1, F.concat(F.repeat(F.lit("a,b,c\n"), 99), F.col("html"))).otherwise(F.col("html"))
+    name = F.concat(kind.cast("string"), F.when(kind % 3 == 0, ".xlsx").when(kind % 3 == 1, ".csv").otherwise(".json"))
+    written = table(spark, folder, "pages").select("page_id", name.alias("name"), body.alias("body"))
+    ordered = written.repartition("name").sortWithinPartitions("name", "page_id").drop("page_id")
+    ordered.write.partitionBy("name").text(out)
+    return catalog.raw_files(spark, out, F.regexp_extract("path", "/name=([^/]+)/", 1)).drop("path")
 
 
 def ingest_manifest(spark, folder):
@@ -769,7 +784,7 @@ QUERIES: list[Query] = [
     picker_lists, paged_series, filtered_cases, clean_cases, text_normalize,
     title_case, disease_names, code_normalize, number_parse, date_parse_two_pass,
     week_calendar, finite_values, dedupe_cases, dedupe_removed, reject_split,
-    quality_report, weekly_aggregate, schema_align, file_validation,
+    quality_report, weekly_aggregate, schema_align, file_validation, raw_file_check,
     round_trip_sinks, upsert_predictions, load_audit, full_etl, etl_weekly, csv_scan,
     ingest_manifest, monthly_panel,
     climate_features, temporal_features, weekly_lags, prior_features,

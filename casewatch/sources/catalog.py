@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from casewatch import presets
+from casewatch.sources.heads import file_heads
 
 
 def source_catalog(spark: SparkSession, year: int | None = None) -> DataFrame:
@@ -20,30 +21,33 @@ def looks_like_html(head: Column) -> Column:
     return text.contains("<html") | text.contains("<!doctype html")
 
 
-def is_valid_file(filename: Column, content: Column) -> Column:
+def is_valid_file(filename: Column, content: Column, size: Column | None = None) -> Column:
     """Signature check of a raw file's bytes.
 
-    Only the leading bytes are looked at: that is what a signature is.
+    Only the leading bytes are looked at: that is what a signature is. ``content``
+    may be these alone when ``size`` gives the length of the file.
     """
+    size = F.octet_length(content) if size is None else size
     name = F.lower(filename)
     head = F.substring(content, 1, presets.SIGNATURE_BYTES)
     html = looks_like_html(F.decode(F.encode(F.decode(head, "ISO-8859-1"), "UTF-8"), "UTF-8"))
     return (
-        F.when(F.octet_length(content) < presets.MIN_FILE_BYTES, False)
+        F.when(size < presets.MIN_FILE_BYTES, False)
         .when(name.endswith(".xlsx"), F.substring(content, 1, 2) == F.encode(F.lit("PK"), "UTF-8"))
         .when(name.endswith(".csv"), ~html)
         .otherwise(True)
     )
 
 
-def raw_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Name, path, size and signature check of the files in a folder."""
-    files = spark.read.format("binaryFile").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(
-        name.alias("filename"), "path", F.col("length").alias("size_bytes"),
-        is_valid_file(name, F.col("content")).alias("is_valid"),
-    )
+def raw_files(spark: SparkSession, folder: str, name: Column | None = None) -> DataFrame:
+    """Name, path, size and signature check of the files in a folder, of any size.
+
+    Of each file only the bytes of a signature are read. ``name`` overrides the file's
+    name (an expression of ``path``).
+    """
+    name = F.element_at(F.split("path", "/"), -1) if name is None else name
+    return file_heads(spark, folder, presets.SIGNATURE_BYTES).select(
+        name.alias("filename"), "path", "size_bytes", is_valid_file(name, F.col("head"), F.col("size_bytes")).alias("is_valid"))
 
 
 def ingest_manifest(

@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from casewatch import presets
+from casewatch.sources.heads import headers
 
 DELIMITERS = [",", ";", "\t", "|"]
 CORRUPT = "_malformed"
@@ -20,21 +21,11 @@ def sniff_delimiter(line: str) -> str:
     return max(DELIMITERS, key=line.count)
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 if every line is valid UTF-8, else Latin-1 (stops at the first bad line)."""
-    lines = spark.read.text(path)
-    bad = lines.filter(~F.is_valid_utf8("value")).limit(1)
-    return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
-
-
-def file_headers(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """First line of every file (``file``, ``header``); only first splits are read."""
-    lines = spark.read.csv(path, schema="line string", sep="\x01", quote="", encoding=encoding)
-    heads = lines.select(
-        F.col("_metadata.file_path").alias("file"), "line", F.monotonically_increasing_id().alias("id"),
-        F.col("_metadata.file_block_start").alias("block"),
-    ).filter("block = 0")
-    return heads.groupBy("file").agg(F.ltrim(F.min_by("line", "id"), F.lit("\ufeff")).alias("header"))
+def decoded(cell: str | Column) -> Column:
+    """Cell read one character per byte: its bytes as UTF-8 where they are, else as they stand."""
+    cell = F.col(cell) if isinstance(cell, str) else cell
+    raw = F.encode(cell, "ISO-8859-1").cast("string")
+    return F.when(F.is_valid_utf8(raw), raw).otherwise(cell)
 
 
 def read_csv(
@@ -51,20 +42,25 @@ def read_csv(
     are one scan, and columns of different headers are matched by name.
     ``row_order`` numbers the rows in source order, files by path, and keeps that
     order through any later shuffle: see ``row_place``.
+
+    Only first bytes are read to know header, delimiter and encoding; bodies are read
+    once. Without ``encoding``, a file whose head is no UTF-8 is Latin-1. The bodies of
+    the others are read byte by byte as they stand, and a cell that is no UTF-8 is
+    Latin-1: so a Latin-1 file whose first accent comes late is read right.
     """
-    encoding = encoding or detect_encoding(spark, path)
-    # Names of the files, as any scan holds them on the driver, and their headers.
-    found = sorted(file_headers(spark, path, encoding).collect(), key=lambda r: r["file"])
+    # One row per file, as any scan of them holds on the driver.
+    found = sorted(headers(spark, path, encoding).collect(), key=lambda r: r["file"])
+    found = [r for r in found if r["size_bytes"]]
     if not found:
         return spark.createDataFrame([], T.StructType([T.StructField(ROW_ORDER, T.DecimalType(38, 0))]))
-    groups: dict[str, list[str]] = {}
+    groups: dict[tuple[str, bool], list[str]] = {}
     for row in found:
-        groups.setdefault(row["header"], []).append(row["file"])
+        groups.setdefault((row["header"], row["utf8"]), []).append(row["file"])
     ranks = spark.createDataFrame([(r["file"], i) for i, r in enumerate(found)], "_file string, _rank int")
     parts = []
-    for line, names in groups.items():
+    for (line, utf8), names in groups.items():
         source = path if len(groups) == 1 else names
-        parts.append(_scan(spark, source, line or "", delimiter, encoding, multi_line))
+        parts.append(_scan(spark, source, line, delimiter, encoding, multi_line, mixed=utf8 and not encoding))
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if len(found) == 1:
         placed = whole.withColumn("_rank", F.lit(0))
@@ -88,16 +84,17 @@ def row_place(rank: str, block: str, line: str) -> Column:
 
 
 def _scan(
-    spark: SparkSession, path: str | list[str], line: str, delimiter: str | None, encoding: str, multi_line: bool
+    spark: SparkSession, path: str | list[str], line: str, delimiter: str | None, encoding: str | None,
+    multi_line: bool, mixed: bool,
 ) -> DataFrame:
-    """Files of one header: its columns, and where each row stands."""
+    """Files of one header: its columns, and where each row stands; ``mixed`` decodes cell by cell."""
     delimiter = delimiter or sniff_delimiter(line)
     header = next(csv.reader([line], delimiter=delimiter), [])
     width = len(header)
     fields = [T.StructField(f"_{i}", T.StringType()) for i in range(width)]
     raw = spark.read.csv(
         path, schema=T.StructType([*fields, T.StructField(CORRUPT, T.StringType())]),
-        header=True, enforceSchema=True, sep=delimiter, encoding=encoding, escape='"',
+        header=True, enforceSchema=True, sep=delimiter, encoding=encoding or "ISO-8859-1", escape='"',
         mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, multiLine=multi_line,
         nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     ).select(
@@ -107,10 +104,12 @@ def _scan(
     # A malformed line is short or long; only delimiters outside quotes count.
     unquoted = F.regexp_replace(F.col(CORRUPT), '"([^"]|"")*"', "")
     surplus = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(delimiter), F.lit("")))
-    kept = raw.filter(F.col(CORRUPT).isNull() | (surplus < width))
+    # Always true, and reads a column: Spark refuses scans of the malformed line alone, such as a plain count.
+    readable = F.coalesce(F.length("_0"), F.lit(0)) >= 0
+    kept = raw.filter(readable & (F.col(CORRUPT).isNull() | (surplus < width)))
     return kept.select(
         *[
-            F.when(~F.col(f"_{i}").isin(presets.CSV_NULLS), F.col(f"_{i}")).alias(name)
+            F.when(~F.col(f"_{i}").isin(presets.CSV_NULLS), decoded(f"_{i}") if mixed else F.col(f"_{i}")).alias(name)
             for i, name in enumerate(header)
         ],
         "_file", "_block", "_line",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from casewatch import presets
 from casewatch.operators.dedupe import dedupe_cases
 from casewatch.plans import etl
-from casewatch.sources import catalog, files, sinks
+from casewatch.sources import catalog, files, heads, sinks
 
 
 def write(path, content, encoding="utf-8"):
@@ -38,6 +38,55 @@ def test_csv_latin1(spark, tmp_path):
     assert df.columns[0] == "año" and cells(df) == [("Nariño", "1")]
 
 
+def test_csv_folder_of_mixed_encodings(spark, tmp_path):
+    """Each file by its own encoding, also where the head of a Latin-1 file is plain ASCII."""
+    late = "id,name\n" + "".join(f"{i},plain\n" for i in range(20_000)) + "late,Nariño\n"
+    for name, content, encoding in (
+        ("a.csv", "id,name\na,Bogotá\n", "utf-8"), ("b.csv", "id,name\nb,Bogotá\n", "latin-1"), ("c.csv", late, "latin-1"),
+        ("d.csv", "id,name\nd,Tumaco\n", "utf-8-sig"), ("e.csv", "año;id\n2024;e\n", "latin-1"), ("f.csv", "", "utf-8"),
+    ):
+        write(tmp_path / name, content, encoding)
+    df = files.read_csv(spark, str(tmp_path))
+    got = {r["id"]: (r["name"], r["año"]) for r in df.filter("id >= 'a'").collect()}
+    assert got == {"a": ("Bogotá", None), "b": ("Bogotá", None), "late": ("Nariño", None), "d": ("Tumaco", None), "e": (None, "2024")}
+    assert df.count() == 20_005
+
+
+def test_csv_bodies_are_read_once(spark, tmp_path):
+    write(tmp_path / "a.csv", "id,v\n1,é\n")
+    write(tmp_path / "b.csv", "id,v\n2,é\n", "latin-1")
+    plan = files.read_csv(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 2  # one scan for each group, a file in one of them
+
+
+class Counted:
+    def __init__(self, content):
+        self.content, self.read_bytes = content, 0
+
+    def read(self, n):
+        part = self.content[self.read_bytes:self.read_bytes + n]
+        self.read_bytes += len(part)
+        return part
+
+
+def test_heads_read_no_more_than_asked():
+    stream = Counted(b"x" * 10**6)
+    assert heads.read_head(stream, 500, whole_line=False) == b"x" * 500 and stream.read_bytes == 500
+    wide = Counted(b"h" * 100_000 + b"\n" + b"x" * 10**6)
+    assert heads.header_line(heads.read_head(wide, 500, whole_line=True)) == ("h" * 100_000, True)
+    assert wide.read_bytes < 200_000
+
+
+def test_raw_files_of_any_size(spark, tmp_path):
+    """A file of 3 GB, sparse on disk, is no row that holds its content."""
+    with open(tmp_path / "big one.csv", "wb") as f:
+        f.write(b"a,b\n1,2\n")
+        f.truncate(3 * 2**30)
+    write(tmp_path / "page.csv", "<!DOCTYPE html>" + "x" * 200)
+    got = {r["filename"]: (r["size_bytes"], r["is_valid"]) for r in catalog.raw_files(spark, str(tmp_path)).collect()}
+    assert got == {"big one.csv": (3 * 2**30, True), "page.csv": (215, False)}
+
+
 def test_csv_keeps_row_order(spark, tmp_path):
     path = write(tmp_path / "x.csv", "a\n" + "\n".join(str(i) for i in range(500)) + "\n")
     ordered = files.read_csv(spark, path).repartition(5).orderBy(files.ROW_ORDER)
@@ -67,6 +116,30 @@ def test_ordered_dedupe_sorts_no_rows(spark):
     assert "SortAggregate" not in plan and "Sort [" not in plan
 
 
+@pytest.mark.parametrize("kind", ["int", "decimal(18,0)", "decimal(38,0)", "double"])
+def test_tied_order_keeps_one_row_per_key(spark, kind):
+    df = spark.range(300).selectExpr(
+        "id % 100 CONSECUTIVE", "'D' enfermedad", "1 COD_EVE", f"cast(nullif(id % 3, 2) as {kind}) place", "cast(id as string) v")
+    same = df.unionByName(df.filter("CONSECUTIVE < 50"))
+    got = dedupe_cases(same, order_by=["place"], copies="n").collect()
+    assert sorted(r["CONSECUTIVE"] for r in got) == list(range(100))
+    assert {(r["CONSECUTIVE"], r["n"]) for r in got} == {(i, 6 if i < 50 else 3) for i in range(100)}
+    assert all(r["place"] is None for r in got)  # null is the first
+
+
+def test_tied_order_without_id(spark):
+    df = spark.createDataFrame([(None, "D", 1, 1, "a"), (None, "D", 1, 1, "b"), (None, "D", 1, 1, "a"), (None, "D", 1, 2, "b")],
+                               "CONSECUTIVE string, enfermedad string, COD_EVE int, place long, v string")
+    got = sorted((r["v"], r["place"], r["n"]) for r in dedupe_cases(df, order_by=["place"], copies="n").collect())
+    assert got == [("a", 1, 2), ("b", 1, 2)]
+
+
+def test_dedupe_forces_no_join(spark):
+    df = spark.range(100).selectExpr("id % 9 CONSECUTIVE", "'D' enfermedad", "1 COD_EVE", "id place")
+    plan = dedupe_cases(df, order_by=["place"])._jdf.queryExecution().logical().toString()
+    assert "hint" not in plan.lower()
+
+
 def test_file_validation(spark):
     rows = [
         ("a.csv", b"x" * 99), ("a.csv", b"x" * 100), ("a.XLSX", b"PK" + b"x" * 100),
