@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from casewatch import presets
 from casewatch.functions.text import normalize_header
+from casewatch.session import materialize
 
 
 class MissingColumnsError(ValueError):
@@ -97,16 +98,21 @@ def align_source(
     source: str,
     filename: str,
     keep: Iterable[str] = (),
+    fill: bool = True,
 ) -> DataFrame:
-    """One source in the canonical schema with lineage and source-wide defaults."""
+    """One source in the canonical schema with lineage and source-wide defaults.
+
+    With ``fill`` one query more looks whether a column the header has is empty
+    throughout; ``union_filled`` does it for many sources in the pass that stages them.
+    """
     present = set(final_names(df.columns))
-    defaults = {"COD_EVE": str(event_code), "ANO": str(year), "Nombre_evento": disease}
+    defaults = source_defaults(disease, event_code, year)
     aligned = align(df, keep=keep)
     # A column the header lacks is empty for sure: no need to read the source.
     absent = {c: v for c, v in defaults.items() if c not in present}
     aligned = aligned.withColumns({c: F.lit(v) for c, v in absent.items()})
     unsure = {c: v for c, v in defaults.items() if c in present}
-    if unsure:
+    if unsure and fill:
         aligned = fill_empty_columns(aligned, unsure)
     return aligned.withColumns({
         "enfermedad": F.lit(disease),
@@ -115,6 +121,39 @@ def align_source(
     })
 
 
+def source_defaults(disease: str, event_code: int, year: int) -> dict[str, str]:
+    """What a source that says nothing itself is known to hold."""
+    return {"COD_EVE": str(event_code), "ANO": str(year), "Nombre_evento": disease}
+
+
+def union_filled(frames: list[tuple[DataFrame, Mapping[str, str]]]) -> DataFrame:
+    """Aligned sources in one staged table; a column no row of a source has takes its default.
+
+    Sources are read once: values are counted per source and column while the rows are
+    written, and the counts decide what readers of the table see.
+    """
+    tag = "_source"
+    whole = union_sources(df.withColumn(tag, F.lit(i)) for i, (df, _) in enumerate(frames))
+    seen = Observation("values per source")
+    counts = [
+        F.count_if((F.col(tag) == i) & F.col(c).isNotNull()).alias(f"{i} {c}")
+        for i, (_, defaults) in enumerate(frames) for c in defaults
+    ]
+    staged = materialize(whole.observe(seen, *counts))
+    empty: dict[str, list[tuple[int, str]]] = {}
+    for i, (_, defaults) in enumerate(frames):
+        for c, value in defaults.items():
+            if not seen.get[f"{i} {c}"]:
+                empty.setdefault(c, []).append((i, value))
+    filled = staged
+    for c, sources in empty.items():
+        value = F.col(c)
+        for i, default in sources:
+            value = F.when(F.col(tag) == i, F.lit(default)).otherwise(value)
+        filled = filled.withColumn(c, value)
+    return filled.drop(tag)
+
+
 def union_sources(frames: Iterable[DataFrame]) -> DataFrame:
     frames = list(frames)
     if not frames:

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casewatch import presets
 from casewatch.operators.aggregates import weekly_aggregate
-from casewatch.operators.align import align_source, union_sources
+from casewatch.operators.align import align_source, source_defaults, union_filled, union_sources
 from casewatch.operators.clean import clean_cases, flag_rejected
 from casewatch.operators.dedupe import dedupe_cases
 from casewatch.operators.quality import quality_report
 from casewatch.session import materialize
-from casewatch.sources import files, sinks
+from casewatch.sources import files, release, sinks
 
 ORDER = "row_ordinal"
 COPIES = "_copies"
@@ -40,7 +40,10 @@ class EtlResult:
 
 
 def read_sources(spark: SparkSession, sources: list[Source]) -> DataFrame:
-    """Clean rows of all sources that exist, with their order for deduplication."""
+    """Clean rows of all sources that exist, with their order for deduplication.
+
+    Raw files are read once, into a staged table of the aligned rows.
+    """
     frames = []
     for ordinal, source in enumerate(sources):
         if not files.path_exists(spark, source.path):
@@ -49,15 +52,18 @@ def read_sources(spark: SparkSession, sources: list[Source]) -> DataFrame:
         filename = source.path.rstrip("/").rsplit("/", 1)[-1]
         aligned = align_source(
             raw, source.disease, source.event_code, source.year, source.source,
-            filename, keep=[files.ROW_ORDER],
+            filename, keep=[files.ROW_ORDER], fill=False,
         )
         # One number for source and row: a fixed-width value that aggregates
         # can compare without sorting.
         first = F.lit(Decimal(ordinal * 10**35)).cast("decimal(38,0)")
         place = (first + F.col(files.ROW_ORDER)).cast("decimal(38,0)")
-        frames.append(aligned.withColumn(ORDER, place).drop(files.ROW_ORDER))
+        defaults = source_defaults(source.disease, source.event_code, source.year)
+        frames.append((aligned.withColumn(ORDER, place).drop(files.ROW_ORDER), defaults))
+    if not frames:
+        return union_sources([])
     # Cleaning is row by row, so one pass after the union does for all sources.
-    return clean_cases(union_sources(frames))
+    return clean_cases(union_filled(frames))
 
 
 def stage_cases(cases: DataFrame, path: str, order_by: list[str] | None = None) -> DataFrame:
@@ -97,15 +103,35 @@ def derive(staged: DataFrame, weekly_path: str) -> EtlResult:
     )
 
 
-def run_etl(
-    spark: SparkSession, sources: list[Source], folder: str, csv_copies: bool = False
-) -> EtlResult:
-    """Whole job from raw files to the written artefacts and the serving load."""
-    cases = read_sources(spark, sources)
+def write_artefacts(spark: SparkSession, sources: list[Source], folder: str, csv_copies: bool = False) -> EtlResult:
+    """From raw files to the artefacts in ``folder``."""
+    # Deduplication reads the rows twice: narrow for the keys, whole for those that stay.
+    cases = materialize(read_sources(spark, sources))
     staged = stage_cases(cases, f"{folder}/stage.parquet", order_by=[ORDER])
     result = derive(staged, f"{folder}/weekly.parquet")
     sinks.write_outputs(
         result.clean, result.weekly, result.rejected, result.quality, folder, csv_copies
     )
+    return result
+
+
+def run_etl(
+    spark: SparkSession, sources: list[Source], folder: str, csv_copies: bool = False
+) -> EtlResult:
+    """Whole job from raw files to the written artefacts and the serving load, in place."""
+    result = write_artefacts(spark, sources, folder, csv_copies)
     sinks.load_dashboard(spark, folder, f"{folder}/serving", f"{folder}/audit")
     return result
+
+
+def publish(spark: SparkSession, sources: list[Source], root: str, csv_copies: bool = False) -> EtlResult:
+    """The job into a new release of ``root``; readers see all of its artefacts or none.
+
+    Readers of ``root`` follow its pointer, which moves once the release is whole and
+    listed. A job that ends early leaves the release before it in place.
+    """
+    folder = release.begin(root)
+    result = write_artefacts(spark, sources, folder, csv_copies)
+    release.commit(spark, root, folder)
+    sinks.load_dashboard(spark, root, f"{root}/serving", f"{root}/audit")
+    return result

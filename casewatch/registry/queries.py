@@ -18,7 +18,7 @@ from casewatch.registry.cases import (
     aligned_cases, case_view, decoded_cases, ordered_cases, panel, raw_cases, table,
 )
 from casewatch.session import configure, materialize, scratch_path
-from casewatch.sources import catalog, files, sinks
+from casewatch.sources import catalog, files, release, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 DISEASE, REGION = "BUILDING", "ASIA"
@@ -340,9 +340,10 @@ def schema_align(spark, folder):
         "CONSECUTIVE", "COD_EVE", "Nombre_evento", "ANO", "COD_MUN_O", "confirmados",
         *presets.LINEAGE_COLUMNS,
     ]
-    return align.union_sources([
-        align.align_source(customer, "Dengue", 210, 2024, "medata", "customer.parquet"),
-        align.align_source(supplier, "Malaria", 490, 2021, "medata", "supplier.parquet"),
+    known = [("Dengue", 210, 2024), ("Malaria", 490, 2021)]
+    return align.union_filled([
+        (align.align_source(raw, *what, "medata", name, fill=False), align.source_defaults(*what))
+        for raw, name, what in zip([customer, supplier], ["customer.parquet", "supplier.parquet"], known, strict=True)
     ]).select(*columns)
 
 
@@ -378,15 +379,11 @@ def prediction_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def upsert_predictions(spark, folder):
-    out = scratch_path(spark)
+    path = f"{scratch_path(spark)}/predictions"
     rows = prediction_rows(spark, folder)
-    sinks.write_table(rows.filter("month <= 8"), f"{out}/v1")
-    update = rows.filter("month >= 5").withColumn(
-        "estimated_cases", F.col("estimated_cases") + 1000
-    )
-    return sinks.upsert_table(
-        spark.read.parquet(f"{out}/v1"), update, f"{out}/v2", presets.PREDICTION_KEY
-    )
+    sinks.upsert_partitions(rows.filter("month <= 8"), path, presets.PREDICTION_KEY)
+    update = rows.filter("month >= 5").withColumn("estimated_cases", F.col("estimated_cases") + 1000)
+    return sinks.upsert_partitions(update, path, presets.PREDICTION_KEY)
 
 
 def load_audit(spark, folder):
@@ -399,7 +396,7 @@ def load_audit(spark, folder):
 
 
 def etl_artefacts(spark: SparkSession, folder: str) -> str:
-    """Aliased CSV per disease, through the whole job; the folder of its artefacts."""
+    """Aliased CSV per disease, through the whole job; the folder of the published artefacts."""
     out = scratch_path(spark)
     renamed = raw_cases(spark, folder).withColumnsRenamed({
         "CONSECUTIVE": "Código caso", "FEC_NOT": "Fecha de notificación",
@@ -411,8 +408,8 @@ def etl_artefacts(spark: SparkSession, folder: str) -> str:
         etl.Source(n, 210, 2024, "star", f"{out}/raw/slug={n.lower()}")
         for n in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "ABSENT")
     ]
-    etl.run_etl(spark, sources, f"{out}/processed", csv_copies=True)
-    return f"{out}/processed"
+    etl.publish(spark, sources, f"{out}/processed", csv_copies=True)
+    return release.current(spark, f"{out}/processed")
 
 
 def full_etl(spark, folder):

@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from casewatch import presets
+from casewatch.sources import release
 from casewatch.sources.heads import headers
 
 DELIMITERS = [",", ";", "\t", "|"]
@@ -125,7 +126,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_processed(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Processed dataset: Parquet if present, else CSV as strings."""
+    """Processed dataset: Parquet if present, else CSV as strings; of the current release, if the folder has any."""
+    folder = release.current(spark, folder) or folder
     if path_exists(spark, f"{folder}/{name}.parquet"):
         return spark.read.parquet(f"{folder}/{name}.parquet")
     if path_exists(spark, f"{folder}/{name}.csv"):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from casewatch.functions.numbers import finite_or_null
 from casewatch.operators.dedupe import upsert
+from casewatch.session import materialize
+from casewatch.sources.files import path_exists, read_processed
 
 BOM = "\ufeff"
 PARTITIONS = ["enfermedad", "ANO"]
@@ -90,6 +92,28 @@ def upsert_table(
     return incoming.sparkSession.read.parquet(out_path)
 
 
+def upsert_partitions(
+    incoming: DataFrame, path: str, keys: list[str], by: tuple[str, ...] = ("disease", "month"), buckets: int = 64,
+) -> DataFrame:
+    """Merge rows into a table in place and read it back; only buckets with incoming rows are written.
+
+    A row's bucket is a hash of the ``by`` columns of its key. Buckets no incoming row
+    falls into keep their files; a bucket's files change when the job commits.
+    """
+    spark, bucket = incoming.sparkSession, F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int")
+    tagged = incoming.withColumn("bucket", bucket)
+    merged = tagged
+    if path_exists(spark, path):
+        # At most ``buckets`` numbers; they prune the folders that are read.
+        touched = [r[0] for r in tagged.select("bucket").distinct().collect()]
+        current = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+        merged = upsert(current, tagged, keys)
+    # Computed before any file is replaced.
+    rows = materialize(merged.select(*tagged.columns))
+    rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return spark.read.parquet(path).drop("bucket")
+
+
 def audit_row(
     spark: SparkSession, source: str, clean_rows: int, aggregated_rows: int,
     prediction_rows: int = 0,
@@ -108,12 +132,11 @@ def append_audit(row: DataFrame, path: str) -> None:
 
 def load_dashboard(spark: SparkSession, folder: str, serving: str, audit: str) -> DataFrame:
     """Load clean and weekly tables, append an audit row, return the counts."""
-    from casewatch.sources.files import read_processed
-
     counts = {}
     for name in ("clean", "weekly"):
-        load_table(read_processed(spark, folder, name), f"{serving}/{name}")
-        counts[name] = spark.read.parquet(f"{serving}/{name}").count()
+        seen = Observation(name)
+        load_table(read_processed(spark, folder, name).observe(seen, F.count(F.lit(1)).alias("rows")), f"{serving}/{name}")
+        counts[name] = seen.get["rows"]
     row = audit_row(spark, "surveillance_etl", counts["clean"], counts["weekly"])
     append_audit(row, audit)
     return row.select("clean_rows", "aggregated_rows")

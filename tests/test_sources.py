@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from casewatch import presets
 from casewatch.operators.dedupe import dedupe_cases
 from casewatch.plans import etl
-from casewatch.sources import catalog, files, heads, sinks
+from casewatch.sources import catalog, files, heads, release, sinks
 
 
 def write(path, content, encoding="utf-8"):
@@ -252,6 +252,67 @@ def test_full_etl(spark, tmp_path):
     assert (out / "quality.json").exists() and (out / "rejected.csv").exists()
 
 
+def etl_sources(tmp_path, dengue=DENGUE):
+    return [etl.Source("Dengue", 210, 2024, "medata", write(tmp_path / "dengue.csv", dengue)),
+            etl.Source("Malaria", 490, 2023, "ins", write(tmp_path / "malaria.csv", MALARIA))]
+
+
+def test_publish_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    """A job that stops between two artefacts leaves the release before it whole."""
+    root = str(tmp_path / "root")
+    etl.publish(spark, etl_sources(tmp_path), root)
+    first = release.current(spark, root)
+    more = DENGUE + "9,2024-01-09,2,2024,40,1,F,Cauca,Popayan,1,1,19\n"
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "write_csv", stop)
+        with pytest.raises(RuntimeError):
+            etl.publish(spark, etl_sources(tmp_path, more), root)
+    assert release.current(spark, root) == first and release.missing(spark, root).isEmpty()
+    assert files.read_processed(spark, root, "clean").count() == 4
+    assert sum(r["total_casos"] for r in files.read_processed(spark, root, "weekly").collect()) == 4
+    assert len(list((tmp_path / "root" / "releases").iterdir())) == 2
+    etl.publish(spark, etl_sources(tmp_path, more), root)
+    assert release.current(spark, root) != first
+    assert files.read_processed(spark, root, "clean").count() == 5
+    assert spark.read.parquet(f"{root}/serving/clean").count() == 5
+    assert [r["clean_rows"] for r in spark.read.parquet(f"{root}/audit").orderBy("loaded_at").collect()] == [4, 5]
+    assert release.drop_others(spark, root) == 2
+    assert release.missing(spark, root).isEmpty()
+
+
+def test_a_lost_artefact_is_told(spark, tmp_path):
+    root = str(tmp_path / "root")
+    etl.publish(spark, etl_sources(tmp_path), root)
+    lost = next((tmp_path / "root" / "releases").glob("*/weekly.parquet/part-*"))
+    lost.write_bytes(b"")
+    assert [r["file"].split("/")[0] for r in release.missing(spark, root).collect()] == ["weekly.parquet"]
+
+
+def test_raw_sources_are_read_once(spark, tmp_path):
+    """No plan reads the raw files but the one that stages them."""
+    cases = etl.read_sources(spark, etl_sources(tmp_path))
+    assert "csv" not in cases._jdf.queryExecution().executedPlan().toString().lower().replace(".csv", "")
+    assert {(r["CONSECUTIVE"], r["ANO"]) for r in cases.filter("enfermedad = 'MALARIA'").collect()} == {("7", 2023), ("8", 2023)}
+
+
+def test_upsert_leaves_other_buckets_alone(spark, tmp_path):
+    path, keys = str(tmp_path / "t"), ["disease", "month", "city"]
+    rows = [(d, m, c, 1) for d in ("A", "B") for m in range(1, 13) for c in ("x", "y")]
+    schema = "disease string, month int, city string, n int"
+    sinks.upsert_partitions(spark.createDataFrame(rows, schema), path, keys)
+    before = {f for f in (tmp_path / "t").rglob("*.parquet")}
+    got = sinks.upsert_partitions(spark.createDataFrame([("A", 3, "x", 9), ("C", 1, "x", 5)], schema), path, keys)
+    want = {(d, m, c): n for d, m, c, n in rows} | {("A", 3, "x"): 9, ("C", 1, "x"): 5}
+    assert {(r["disease"], r["month"], r["city"]): r["n"] for r in got.collect()} == want
+    after = {f for f in (tmp_path / "t").rglob("*.parquet")}
+    assert {f.parent for f in before - after} <= {f.parent for f in after - before}
+    assert len({f.parent for f in after - before}) <= 2 and len(before & after) >= 10
+
+
 def test_etl_without_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         etl.read_sources(spark, [etl.Source("D", 1, 2024, "s", str(tmp_path / "no.csv"))])
