@@ -46,6 +46,8 @@ SCHEMA = (
 )
 MADE = SCHEMA + ", nth long"
 TASK_BITS = 33
+#: Texts whose new words are tokenized together.
+TOGETHER = 256
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -54,48 +56,69 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class WordTokens(dict):
+class WordTokens:
     """Token ids (little-endian unsigned 32-bit) per word between blanks, remembered up to ``limit`` words.
 
     The tokenizer drops white space and never joins text across it, so a text's ids
     are those of its words in order. A Latin word that ends in a comma or full stop
-    is two tokens' texts: the letters and the sign.
+    is two tokens' texts: the letters and the sign. Words that several texts bring for
+    the first time are tokenized together. Of two generations of words the older one is
+    forgotten when the younger holds half of ``limit``; words met again move to it.
     """
 
-    def __init__(self, path: str, limit: int = 700_000) -> None:
+    def __init__(self, path: str, limit: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+        self.encode = Tokenizer.from_file(path).encode_batch
         self.limit = limit
-
-    def __missing__(self, word: str) -> bytes:
-        core = word[:-1] if word[-1:] in (",", ".") else word
-        if core and core.isalpha() and max(core) < "ɐ" and "İ" not in core:
-            low = core.lower()
-            if core is not word:
-                ids = self[low] + self[word[-1]]
-            elif low != word:
-                ids = self[low]
+        self.now: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> None:
+        """Ids of words that ``now`` lacks."""
+        plain: dict[str, None] = {}
+        joined: list[tuple[str, str, str]] = []
+        for word in words:
+            if word in self.old:
+                self.now[word] = self.old[word]
+                continue
+            core = word[:-1] if word[-1:] in (",", ".") else word
+            if core and core.isalpha() and max(core) < "ɐ" and "İ" not in core:
+                low, sign = core.lower(), word[len(core):]
+                joined.append((word, low, sign))
+                plain[low] = None
+                if sign:
+                    plain[sign] = None
             else:
-                ids = self._ids(word)
-        else:
-            ids = self._ids(word)
-        self[word] = ids
-        return ids
-
-    def _ids(self, word: str) -> bytes:
-        return np.asarray(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def text(self, text: str) -> bytes:
-        if len(self) > self.limit:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+                plain[word] = None
+        new = [w for w in plain if w not in self.now]
+        for at in range(0, len(new), 5000):
+            self.tokenize(new[at:at + 5000])
+        for word, low, sign in joined:
+            if word != low:
+                self.now[word] = self.now[low] + self.now[sign]
+
+    def tokenize(self, words: list[str]) -> None:
+        found = self.encode([words], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.asarray(found.ids, "<u4")
+        ends = np.cumsum(np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(words))).tolist()
+        start = 0
+        for word, end in zip(words, ends, strict=True):
+            self.now[word] = ids[start:end].tobytes()
+            start = end
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        if len(self.now) > self.limit // 2:
+            self.now, self.old = {"": b""}, self.now
+        self.learn(set().union(*split).difference(self.now))
+        ids = self.now.__getitem__
+        return [b"".join(map(ids, words)) for words in split]
 
 
 @cache
 def encoder(path: str) -> WordTokens:
-    """One per Python worker; its tasks reuse the tokenizer and leave no words behind."""
+    """One per Python worker; its tasks share the tokenizer and the words it remembers."""
     return WordTokens(path)
 
 
@@ -204,16 +227,16 @@ def pack(
     path, end = tokenizer or tokenizer_path(), np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(path).text
+        ids_of = encoder(path).texts
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << TASK_BITS)
         for batch in batches:
             for at in range(0, len(batch), window):
-                part = batch[at:at + window].to_pydict()
-                for one, words in zip(part["i"], part["t"], strict=True):
-                    packer.add(one, ids_of(words) + end)
+                for start in range(at, min(at + window, len(batch)), TOGETHER):
+                    part = batch[start:min(start + TOGETHER, at + window)].to_pydict()
+                    for one, ids in zip(part["i"], ids_of(part["t"]), strict=True):
+                        packer.add(one, ids + end)
                 yield frame(packer.flush(last=False))
         yield frame(packer.flush(last=True))
-        encoder(path).clear()
         common.give_back()
 
     narrow = common.only(docs, i=F.col(doc_id).cast("long"), t=F.coalesce(F.col(text), F.lit("")))
