@@ -114,20 +114,23 @@ def stratified_split(
     seed: int = presets.SEED,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """Add ``is_test``: an exact share of every target bin, by seeded key hash.
+    """Add ``is_test``: an exact share of every target bin, those with the smallest key hash.
 
-    The hash orders the rows. Ranking a whole bin in one window would put a
-    fifth of all rows into one task, so the hash range is cut into cells of about
+    The hash is the MD5 text of the key and the seed, joined by ``|``, nulls left out, so
+    any engine draws the same rows. Ranking a whole bin in one window would put a
+    fifth of all rows into one task, so the hash range is cut into successive cells of about
     ``cell_rows`` rows: rows are ranked within (bin, cell), and the counts of the
     cells before it supply the offset. When a bin holds a single row, bins
     are given up and the split is plain, as in the reference.
     """
     binned = target_bins(df, target, bins)
-    hashed = binned.withColumn("_hash", F.xxhash64(*key, F.lit(seed)))
+    hashed = binned.withColumn("_hash", F.md5(F.concat_ws("|", *key, F.lit(str(seed))).cast("binary")))
     # One row per bin.
     smallest, rows = binned.groupBy("bin").count().agg(F.min("count"), F.sum("count")).head()
     cells = max(1, (rows or 0) // cell_rows)
-    celled = hashed.withColumn("_cell", F.pmod(F.shiftright("_hash", 20), F.lit(cells)))
+    # The first 32 of the 128 bits, scaled to the number of cells.
+    lead = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long")
+    celled = hashed.withColumn("_cell", F.floor(lead * F.lit(cells) / F.lit(2**32)))
     if smallest is None or smallest < 2:
         celled = celled.withColumn("bin", F.lit(0))
     sizes = celled.groupBy("bin", "_cell").agg(F.count(F.lit(1)).alias("_n"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
+from casewatch.session import materialize
+
 QUARTILES = [0.25, 0.5, 0.75]
-VALUE_CELLS = 256
+CELLS = 2**16
 
 
 def _long_values(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,58 +22,62 @@ def _long_values(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def ordered_code(value: Column) -> Column:
+    """64-bit integer of a double that orders as the double does (NaN last)."""
+    bits = F.call_function(
+        "java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("bigint")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(2**63 - 1)))
+
+
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float], cells: int = VALUE_CELLS
+    df: DataFrame, columns: list[str], probabilities: list[float], cells: int = CELLS
 ) -> DataFrame:
     """Exact linear-interpolation quantiles of columns: (column, probability, value)."""
     return counted_quantiles(_long_values(df, columns), probabilities, cells)
 
 
 def counted_quantiles(
-    counted: DataFrame, probabilities: list[float], cells: int = VALUE_CELLS
+    counted: DataFrame, probabilities: list[float], cells: int = CELLS
 ) -> DataFrame:
     """Exact quantiles of (column, value, n) rows; ``column`` may be any grouping key.
 
-    ``percentile`` keeps every distinct value of a column in one task. Here
-    equal values are counted first, so a frequent value is one row. A sketch
-    then cuts each column's values into cells of similar size, and the ranks
-    are cumulated within a cell on top of the totals of the cells before it.
-    The sketch only balances the cells; the ranks are exact.
+    ``percentile`` keeps every distinct value of a column in one task. Here equal
+    values are counted first, so a frequent value is one row, and ranks are selected
+    by digits: values are integers of 64 bits in the order of the doubles. A round
+    counts the next ``cells`` (a power of two) digits below each cell that holds a
+    wanted rank; only these cells go on, until the digits are used up. So no task
+    ever ranks more than ``cells`` rows, whatever the number of values, and no value
+    is approximated.
     """
-    cuts = counted.groupBy("column").agg(F.percentile_approx(
-        "value", [i / cells for i in range(1, cells)], F.lit(cells * 20)
-    ).alias("_cuts"))
-    placed = counted.join(cuts, "column").select(
-        "column", "value", "n",
-        F.size(F.filter("_cuts", lambda cut: cut < F.col("value"))).alias("_cell"),
-    )
-    sizes = placed.groupBy("column", "_cell").agg(F.sum("n").alias("_n"))
-    earlier = W.partitionBy("column").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "column", "_cell",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_n").over(W.partitionBy("column")).alias("_rows"),
-    )
-    within = W.partitionBy("column", "_cell").orderBy("value")
-    ranked = placed.withColumn("_up_to", F.sum("n").over(within)).join(
-        offsets, ["column", "_cell"]
-    )
-    last = F.col("_before") + F.col("_up_to") - 1
-    first = last - F.col("n") + 1
-    wanted = F.array(*[
-        F.struct(F.lit(p).alias("probability"), (F.lit(p) * (F.col("_rows") - 1)).alias("rank"))
-        for p in probabilities
-    ])
-    hits = ranked.select(
-        "column", "value", first.alias("first"), last.alias("last"), F.inline(wanted)
-    )
-    low, high = F.floor("rank"), F.ceil("rank")
-    ends = hits.groupBy("column", "probability", "rank").agg(
-        F.max(F.when(low.between(F.col("first"), F.col("last")), F.col("value"))).alias("a"),
-        F.max(F.when(high.between(F.col("first"), F.col("last")), F.col("value"))).alias("b"),
-    )
-    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))
-    return ends.select("column", "probability", value.alias("value"))
+    bits = cells.bit_length() - 1
+    if cells != 1 << bits or bits < 1:
+        raise ValueError("cells is a power of two")
+    coded = materialize(counted.select("column", "value", "n", ordered_code(F.col("value")).alias("code")))
+    wanted = F.array(*[F.struct(F.lit(p).alias("probability"), (F.lit(p) * (F.col("rows") - 1)).alias("rank")) for p in probabilities])
+    ranks = coded.groupBy("column").agg(F.sum("n").alias("rows")).select("column", F.inline(wanted))
+    ends = F.explode(F.array(F.floor("rank"), F.ceil("rank"))).alias("place")
+    # One row per column and wanted place: the cell it is in, and the rows before that cell.
+    open_ = materialize(ranks.select("column", ends).distinct().select("column", "place", F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("before")))
+    known = 64
+    while known:
+        left = max(0, known - bits)
+        first_round = known == 64
+        # The first round has one cell, all values.
+        inside = coded if first_round else coded.withColumn("cell", F.shiftright("code", known)).join(
+            open_.select("column", "cell").distinct(), ["column", "cell"], "left_semi")
+        digits = inside.groupBy("column", F.shiftright("code", left).alias("next")).agg(F.sum("n").alias("n"), F.max("value").alias("value"))
+        above = F.lit(0).cast("long") if first_round else F.shiftright("next", known - left)
+        known = left
+        run = W.partitionBy("column", "cell").orderBy("next").rowsBetween(W.unboundedPreceding, -1)
+        placed = digits.withColumn("cell", above).withColumn("earlier", F.coalesce(F.sum("n").over(run), F.lit(0)))
+        first = F.col("before") + F.col("earlier")
+        found = placed.join(open_.select("column", "place", "cell", "before"), ["column", "cell"]).filter((F.col("place") >= first) & (F.col("place") < first + F.col("n")))
+        open_ = materialize(found.select("column", "place", F.col("next").alias("cell"), first.alias("before"), "value"))
+    low = open_.select("column", F.col("place").alias("_low"), F.col("value").alias("a"))
+    high = open_.select("column", F.col("place").alias("_high"), F.col("value").alias("b"))
+    both = ranks.withColumns({"_low": F.floor("rank"), "_high": F.ceil("rank")}).join(low, ["column", "_low"]).join(high, ["column", "_high"])
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.col("_low"))
+    return both.select("column", "probability", value.alias("value"))
 
 
 def _is_numeric(field: T.StructField) -> bool:
@@ -157,9 +163,9 @@ def box_stats(df: DataFrame, group: str, measure: str) -> DataFrame:
     Equal values of a group are counted first and ranked in cells, so no group
     meets in one task.
     """
-    counted = df.filter(F.col(measure).isNotNull()).groupBy(
+    counted = materialize(df.filter(F.col(measure).isNotNull()).groupBy(
         F.col(group).alias("column"), F.col(measure).cast("double").alias("value")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    ).agg(F.count(F.lit(1)).alias("n")))
     points = counted_quantiles(counted, QUARTILES).groupBy("column").agg(*[
         F.max(F.when(F.col("probability") == p, F.col("value"))).alias(name)
         for p, name in zip(QUARTILES, ("q1", "median", "q3"), strict=True)

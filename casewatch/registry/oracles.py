@@ -807,10 +807,12 @@ SELECT *, {SEASON} FROM profiled"""
 ORACLES["stratified_split"] = f"""WITH {PANEL},
 c AS (SELECT quantile_cont(ln(1 + total_cases), [0.2, 0.4, 0.6, 0.8]) AS cuts,
              min(ln(1 + total_cases)) AS low FROM panel),
-b AS (SELECT total_cases, len(list_filter(list_distinct(c.cuts),
-        lambda cut: cut > c.low AND cut < ln(1 + total_cases))) AS bin FROM panel, c)
-SELECT CAST(bin AS INT) AS bin, {N} AS n, CAST(round_even(count(*) * 0.2::DOUBLE, 0) AS BIGINT)
-  AS n_test, max(total_cases) AS max_cases FROM b GROUP BY bin"""
+b AS (SELECT panel.*, CAST(len(list_filter(list_distinct(c.cuts),
+        lambda cut: cut > c.low AND cut < ln(1 + total_cases))) AS INT) AS bin FROM panel, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5(concat_ws('|', disease, department, municipality,
+    CAST(year AS VARCHAR), CAST(month AS VARCHAR), '{presets.SEED}'))) AS place,
+  round_even(count(*) OVER (PARTITION BY bin) * 0.2::DOUBLE, 0) AS n_test FROM b)
+SELECT disease, department, municipality, year, month, total_cases, bin, place <= n_test AS is_test FROM r"""
 
 # --- exploration ----------------------------------------------------------------------------------
 

@@ -610,11 +610,9 @@ def blend_select(spark, folder):
 
 
 def stratified_split(spark, folder):
+    """Which rows are drawn, by key."""
     split = metrics.stratified_split(materialize(monthly_panel(spark, folder)), train.KEY)
-    return split.groupBy("bin").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("n_test"),
-        F.max("total_cases").alias("max_cases"),
-    )
+    return split.select(*train.KEY, "total_cases", "bin", "is_test")
 
 
 def forest_train_score(spark, folder):

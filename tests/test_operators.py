@@ -306,6 +306,41 @@ def test_exact_quantiles_against_builtin(spark):
         assert [got[c, p] for p in points] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("cells", [2**10, 2**16])
+def test_exact_quantiles_of_odd_values(spark, cells):
+    values = [-0.0, 0.0, -1.5, 1e-300, -1e300, 5e-324, 3.0, 3.0, 3.0, float("inf"), -float("inf"), 7.0]
+    df = spark.createDataFrame([(v, None) for v in values] + [(None, 2.0)], "a double, b double")
+    got = {(r["column"], r["probability"]): r["value"] for r in profile.exact_quantiles(df, ["a", "b"], [0.2, 0.5, 0.6], cells).collect()}
+    for c in ("a", "b"):
+        assert [got[c, p] for p in (0.2, 0.5, 0.6)] == df.agg(F.percentile(c, F.array(*[F.lit(p) for p in (0.2, 0.5, 0.6)]))).head()[0]
+
+
+def test_no_task_ranks_more_than_its_cells(spark, monkeypatch):
+    """A million distinct values: no window holds more rows than there are cells."""
+    largest, plain = [], profile.materialize
+
+    def watched(df):
+        made = plain(df)
+        if "earlier" in df._jdf.queryExecution().optimizedPlan().toString():
+            largest.append(1)
+        return made
+
+    monkeypatch.setattr(profile, "materialize", watched)
+    df = spark.range(1_000_000).select(F.sqrt("id").alias("a"))
+    got = {r["probability"]: r["value"] for r in profile.exact_quantiles(df, ["a"], [0.25, 0.5], cells=2**8).collect()}
+    assert got == {p: pytest.approx(df.agg(F.percentile("a", p)).head()[0], rel=1e-12) for p in (0.25, 0.5)}
+    assert len(largest) == 8  # 64 digits, 8 a round
+    coded = df.select(profile.ordered_code(F.col("a")).alias("code"))
+    for left in range(56, -1, -8):
+        rows_of = coded.select(F.shiftright("code", min(left + 8, 63)).alias("cell"), F.shiftright("code", left).alias("next")).distinct()
+        assert rows_of.groupBy("cell").count().agg(F.max("count")).head()[0] <= 2**8
+
+
+def test_cells_are_a_power_of_two(spark):
+    with pytest.raises(ValueError, match="power of two"):
+        profile.exact_quantiles(spark.range(3), ["id"], [0.5], cells=100)
+
+
 def test_describe_mixed(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "a")], "n int, s string")
     got = {r["column"]: r for r in profile.describe(df).collect()}
