@@ -12,7 +12,7 @@ from casewatch.functions.numbers import round_even
 from casewatch.operators import metrics
 from casewatch.operators.panel import climate_features, scoring_scaffold
 from casewatch.operators.priors import scoring_features
-from casewatch.plans.train import Bundle, TrainedModel, predict_raw
+from casewatch.plans.train import Bundle, TrainedModel, numeric_as_double, predict_raw
 from casewatch.session import materialize
 from casewatch.sources import sinks
 
@@ -47,7 +47,7 @@ def scoring_inputs(inputs: DataFrame, **climate_options) -> DataFrame:
 
 def score_with(model: TrainedModel, inputs: DataFrame, reference_compat: bool) -> DataFrame:
     """Predictions of one model for its share of the inputs."""
-    features = scoring_features(inputs, model.priors, reference_compat)
+    features = model.features.apply(numeric_as_double(scoring_features(inputs, model.priors, reference_compat)))
     scored = predict_raw(features, model.pipeline, model.transform)
     cases = metrics.blend("_model", presets.BLENDS[model.blend], scored.columns)
     return scored.withColumn("_cases", cases).select(

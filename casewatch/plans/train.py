@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,6 +17,7 @@ from casewatch import presets
 from casewatch.functions import epi
 from casewatch.operators import metrics
 from casewatch.operators.align import require_columns
+from casewatch.operators.encode import FeatureTable
 from casewatch.operators.priors import Priors, apply_priors
 from casewatch.operators.windows import ENTITY
 from casewatch.session import materialize
@@ -46,6 +48,7 @@ class TrainedModel:
     name: str
     pipeline: PipelineModel
     priors: Priors
+    features: FeatureTable
     config: str
     transform: str
     blend: str
@@ -65,48 +68,33 @@ class Bundle:
         return [self.overall, *self.by_disease.values()]
 
 
-def feature_stages(
-    categorical: list[str] = presets.CATEGORICAL_FEATURES,
-    numeric: list[str] = presets.NUMERIC_FEATURES,
-) -> list:
-    """Index, one-hot and impute.
+def feature_stages(features: FeatureTable) -> list:
+    """One-hot vectors of the numbers a feature table gives, and the assembled input.
 
-    An unseen category falls into the indexer's extra slot, which the encoder
-    drops: all its indicator columns are zero.
+    An unseen category has the number after the last, which the encoder drops: all
+    its indicator columns are zero. The encoder is fitted on the widths alone.
     """
-    indexed, encoded, filled = (
-        [f"_{kind}_{c}" for c in columns]
-        for kind, columns in (("idx", categorical), ("hot", categorical), ("num", numeric))
-    )
-    return [
-        StringIndexer(inputCols=categorical, outputCols=indexed, handleInvalid="keep"),
-        OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True),
-        Imputer(inputCols=numeric, outputCols=filled, strategy="median"),
-        VectorAssembler(inputCols=[*encoded, *filled], outputCol="_features"),
-    ]
+    categorical = list(features.widths)
+    stages = []
+    if categorical:
+        indexed, encoded = ([f"_{kind}_{c}" for c in categorical] for kind in ("idx", "hot"))
+        spark = features.table.sparkSession
+        widths = spark.createDataFrame([[float(features.widths[c]) for c in categorical]], ", ".join(f"`{c}` double" for c in indexed))
+        stages.append(OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True).fit(widths))
+    inputs = [*[f"_hot_{c}" for c in categorical], *[f"_num_{c}" for c in features.medians]]
+    return [*stages, VectorAssembler(inputCols=inputs, outputCol="_features")]
 
 
-def category_modes(
-    df: DataFrame, columns: list[str] = presets.CATEGORICAL_FEATURES
-) -> dict[str, str]:
-    """Most frequent value per category (ties: smallest), from one grouped count."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
-    counted = df.select(F.inline(pairs)).filter("value is not null").groupBy(
-        "column", "value"
-    ).agg(F.count(F.lit(1)).alias("n"))
-    best = counted.groupBy("column").agg(
-        F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("_best")
-    )
-    # One row per categorical feature.
-    return {row["column"]: row["_best"]["value"] for row in best.collect()}
+def fit_features(train: DataFrame) -> FeatureTable:
+    return FeatureTable.fit(train, presets.CATEGORICAL_FEATURES, presets.NUMERIC_FEATURES)
 
 
 def numeric_as_double(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in presets.NUMERIC_FEATURES})
 
 
-def fit_forest(train: DataFrame, candidate: Candidate, seed: int = presets.SEED) -> PipelineModel:
-    """Fit one weighted forest on rows with prior features."""
+def fit_forest(train: DataFrame, candidate: Candidate, features: FeatureTable, seed: int = presets.SEED) -> PipelineModel:
+    """Fit one weighted forest on prepared rows."""
     forest = RandomForestRegressor(
         featuresCol="_features", labelCol=LABEL, weightCol=WEIGHT, predictionCol=RAW,
         numTrees=candidate.trees, maxDepth=candidate.depth, seed=seed,
@@ -117,24 +105,24 @@ def fit_forest(train: DataFrame, candidate: Candidate, seed: int = presets.SEED)
         LABEL: epi.transform_target(presets.TARGET, candidate.transform),
         WEIGHT: epi.sample_weight(presets.TARGET),
     })
-    return Pipeline(stages=[*feature_stages(), forest]).fit(labelled)
+    return Pipeline(stages=[*feature_stages(features), forest]).fit(labelled)
 
 
 def predict_raw(df: DataFrame, model: PipelineModel, transform: str) -> DataFrame:
-    """Model output on the original scale, never below zero, in ``_model``."""
+    """Model output of prepared rows on the original scale, never below zero, in ``_model``."""
     kept = df.columns
-    scored = model.transform(numeric_as_double(df))
+    scored = model.transform(df)
     value = F.greatest(epi.inverse_target(RAW, transform), F.lit(0.0))
     return scored.select(*kept, value.alias("_model"))
 
 
 def score_candidates(
-    train: DataFrame, test: DataFrame, candidates: list[Candidate]
+    train: DataFrame, test: DataFrame, candidates: list[Candidate], features: FeatureTable,
 ) -> list[dict]:
     """Every candidate with every blend: one fit and one aggregate per candidate."""
     results = []
     for candidate in candidates:
-        model = fit_forest(train, candidate)
+        model = fit_forest(train, candidate, features)
         scored = predict_raw(test, model, candidate.transform)
         rows = metrics.blend_scores(scored, presets.TARGET, "_model").orderBy("blend_order")
         # One row per blend preset: four in all.
@@ -161,9 +149,9 @@ def split_panel(
     )
 
 
-def prepared(panel: DataFrame, priors: Priors, modes: dict[str, str]) -> DataFrame:
-    """Model input: missing categories filled, priors added, numbers as double."""
-    return numeric_as_double(apply_priors(panel.na.fill(modes), priors))
+def with_priors(panel: DataFrame, priors: Priors) -> DataFrame:
+    """The panel with prior features, stored: features are fitted on it and applied to it."""
+    return materialize(numeric_as_double(apply_priors(panel, priors)))
 
 
 def train_one(
@@ -178,25 +166,26 @@ def train_one(
         raise ValueError(f"not enough rows to train model {name}: {rows}")
     train, test = split_panel(panel, rows)
     priors = Priors.fit(train).stored()
-    # The forest reads its input many times; the prior joins run once.
-    modes = category_modes(train)
-    train_rows = materialize(prepared(train, priors, modes), spread_by=KEY)
-    test_rows = materialize(prepared(test, priors, modes))
-    best = select_best(score_candidates(train_rows, test_rows, candidates))
+    # The forest reads its input many times; the prior and category joins run once.
+    known = with_priors(train, priors)
+    features = fit_features(known)
+    train_rows = materialize(features.apply(known), spread_by=KEY)
+    test_rows = materialize(features.apply(with_priors(test, priors)))
+    best = select_best(score_candidates(train_rows, test_rows, candidates, features))
     candidate: Candidate = best["candidate"]
 
     final_priors = Priors.fit(panel).stored()
-    full = materialize(
-        prepared(panel, final_priors, category_modes(panel)), spread_by=KEY
-    )
-    pipeline = fit_forest(full, candidate)
+    whole = with_priors(panel, final_priors)
+    final_features = fit_features(whole)
+    full = materialize(final_features.apply(whole), spread_by=KEY)
+    pipeline = fit_forest(full, candidate, final_features)
     scored = predict_raw(full, pipeline, candidate.transform)
     mixed = scored.withColumn(
         "_blend", metrics.blend("_model", presets.BLENDS[best["blend"]], scored.columns)
     )
     training = metrics.evaluate(mixed, presets.TARGET, "_blend").head().asDict()
     return TrainedModel(
-        name=name, pipeline=pipeline, priors=final_priors, config=candidate.name,
+        name=name, pipeline=pipeline, priors=final_priors, features=final_features, config=candidate.name,
         transform=candidate.transform, blend=best["blend"], rows=rows,
         validation={m: best[m] for m in metrics.METRICS}, training=training,
     )
@@ -260,7 +249,8 @@ def metrics_table(spark: SparkSession, bundle: Bundle) -> DataFrame:
 
 # --- storage -------------------------------------------------------------------
 
-_LOADED: dict[str, Bundle] = {}
+#: Bundles this process has loaded: by path, the version and the bundle.
+_LOADED: dict[str, tuple[str, Bundle]] = {}
 
 
 def _slug(name: str) -> str:
@@ -268,19 +258,20 @@ def _slug(name: str) -> str:
 
 
 def save_bundle(spark: SparkSession, bundle: Bundle, path: str) -> None:
-    """Pipelines, prior tables and one metadata row per model."""
-    rows = []
+    """Pipelines, prior and feature tables and one metadata row per model, under a new version."""
+    rows, version = [], uuid.uuid4().hex
     for model in bundle.models():
         folder = f"{path}/models/{_slug(model.name)}"
         model.pipeline.write().overwrite().save(f"{folder}/pipeline")
         model.priors.base.write.mode("overwrite").parquet(f"{folder}/priors")
+        model.features.table.write.mode("overwrite").parquet(f"{folder}/features")
         rows.append((
             model.name, model.config, model.transform, model.blend, model.rows,
-            json.dumps(model.validation), json.dumps(model.training),
+            json.dumps(model.validation), json.dumps(model.training), version,
         ))
     kinds = (
         "name string, config string, transform string, blend string, rows long, "
-        "validation string, training string"
+        "validation string, training string, version string"
     )
     spark.createDataFrame(rows, kinds).write.mode("overwrite").parquet(f"{path}/metadata")
     metrics_table(spark, bundle).write.mode("overwrite").json(f"{path}/metrics")
@@ -288,18 +279,21 @@ def save_bundle(spark: SparkSession, bundle: Bundle, path: str) -> None:
 
 
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
-    """Stored bundle; kept in this process after the first load."""
-    if path not in _LOADED:
+    """Stored bundle; kept in this process until another version is stored there."""
+    metadata = spark.read.parquet(f"{path}/metadata").collect()  # one row per model
+    version = metadata[0]["version"]
+    if _LOADED.get(path, ("",))[0] != version:
         models = {}
-        for row in spark.read.parquet(f"{path}/metadata").collect():  # one row per model
+        for row in metadata:
             folder = f"{path}/models/{_slug(row['name'])}"
             models[row["name"]] = TrainedModel(
                 name=row["name"], pipeline=PipelineModel.load(f"{folder}/pipeline"),
                 priors=Priors(spark.read.parquet(f"{folder}/priors")),
+                features=FeatureTable.of(spark.read.parquet(f"{folder}/features")),
                 config=row["config"], transform=row["transform"], blend=row["blend"],
                 rows=row["rows"], validation=json.loads(row["validation"]),
                 training=json.loads(row["training"]),
             )
         overall = models.pop(presets.GLOBAL_MODEL)
-        _LOADED[path] = Bundle(overall, models)
-    return _LOADED[path]
+        _LOADED[path] = version, Bundle(overall, models)
+    return _LOADED[path][1]

@@ -776,11 +776,21 @@ FROM m ORDER BY wape_pct + 0.20 * smape_pct + 0.02 * rmse - 8 * r2, turn, blend_
 ORACLES["model_routing"] = f"""WITH {PANEL}
 SELECT disease, {N} AS training_rows, CASE WHEN count(*) >= 1950 THEN disease ELSE 'GLOBAL' END AS model_used
 FROM panel WHERE total_cases > 1 GROUP BY disease"""
-ORACLES["category_index"] = " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", {c} AS value, CAST(row_number() OVER (ORDER BY n DESC, {c}) - 1 AS INT) AS number,
+ORACLES["category_index"] = " UNION ALL ".join([*(
+    f"""SELECT '{c}' AS "column", {c} AS value, first_value({c}) OVER (ORDER BY n DESC, {c}) AS mode, CAST(NULL AS DOUBLE) AS median,
+  CAST(row_number() OVER (ORDER BY n DESC, {c}) - 1 AS INT) AS number,
   CAST(row_number() OVER (ORDER BY n DESC, {c}) - 1 AS INT) AS hot, CAST(count(*) OVER () AS INT) AS width
 FROM (WITH {PANEL} SELECT {c}, count(*) AS n FROM panel GROUP BY {c})"""
     for c in ("disease", "department", "municipality")
+), *(
+    f"""SELECT '{c}', NULL, NULL, quantile_cont({c}::DOUBLE, 0.5), NULL, NULL, NULL FROM (WITH {PANEL} SELECT {c} FROM panel)"""
+    for c in ("year", "month", "total_cases")
+)])
+ORACLES["forest_nodes"] = " UNION ALL ".join(
+    f"""SELECT '{name}' AS forest, what, n FROM (
+  SELECT 'rows scored' AS what, {N} AS n FROM (WITH {PANEL} SELECT * FROM panel)
+  UNION ALL VALUES ('rows that differ', 0), ('unbalanced nodes', 0), ('trees', {trees}), ('trees of one node', 0))"""
+    for name, trees in (("sqrt_7", 7), ("sqrt_10", 10))
 )
 ORACLES["published_constant"] = f"""WITH {PANEL},
 scaffold AS (SELECT e.*, CAST(m.m AS INT) AS month, 2024 AS year

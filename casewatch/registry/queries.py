@@ -5,15 +5,16 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from casewatch import presets
 from casewatch.functions import dates, epi, numbers, text
 from casewatch.operators import (
-    aggregates as agg, alerts, align, clean, dedupe, metrics, panel as pan, priors as pri,
+    aggregates as agg, alerts, align, clean, dedupe, encode, metrics, panel as pan, priors as pri,
     profile, quality, windows,
 )
-from casewatch.plans import etl, score, train
+from casewatch.plans import etl, nodes as forest_table, score, train
 from casewatch.registry.cases import (
     aligned_cases, case_view, decoded_cases, ordered_cases, panel, raw_cases, table,
 )
@@ -626,6 +627,30 @@ def forest_train_score(spark, folder):
     )
 
 
+def forest_nodes(spark, folder):
+    """Forests on real counts as node tables: rows scored by joins, rows that differ, unbalanced nodes, trees."""
+    rows = panel(spark, folder)
+    known = train.with_priors(rows, pri.Priors.fit(rows).stored())
+    features = train.fit_features(known)
+    ready = materialize(features.apply(known))
+    checks = []
+    for candidate in SMALL_FORESTS:
+        pipeline = train.fit_forest(ready, candidate, features)
+        scored = materialize(pipeline.transform(ready).select(*train.KEY, "_features", train.RAW))
+        nodes = materialize(forest_table.node_table(spark, pipeline.stages[-1]))
+        both = materialize(forest_table.score_by_nodes(scored, nodes, train.KEY, candidate.depth).join(scored, train.KEY))
+        gap = F.abs(F.col("_by_nodes") - F.col(train.RAW)) > 1e-9
+        counts = [
+            ("rows scored", both.agg(F.count(F.lit(1)).alias("n"))), ("rows that differ", both.agg(F.count_if(gap).alias("n"))),
+            ("unbalanced nodes", forest_table.unbalanced(nodes).agg(F.count(F.lit(1)).alias("n"))),
+            ("trees", nodes.agg(F.count_distinct("tree").alias("n"))),
+            # A tree of depth 6 on varied counts is no stump.
+            ("trees of one node", nodes.groupBy("tree").count().agg(F.count_if(F.col("count") < 2).alias("n"))),
+        ]
+        checks += [n.select(F.lit(candidate.name).alias("forest"), F.lit(what).alias("what"), "n") for what, n in counts]
+    return agg_union(checks)
+
+
 CONSTANT = 9.0
 
 
@@ -665,14 +690,13 @@ def model_selection(spark, folder):
 
 
 def category_index(spark, folder):
-    """Indexed and one-hot encoded categories, as the forests see them."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
-
-    rows = monthly_panel(spark, folder).select("disease", "department", "municipality")
-    names = rows.columns
-    fitted = Pipeline(stages=train.feature_stages(names, [])[:2]).fit(rows)
-    seen_values = fitted.transform(rows.distinct())
+    """Fitted feature table: numbers and one-hot places of categories, modes, exact medians."""
+    rows = materialize(monthly_panel(spark, folder))
+    names, numbers = ["disease", "department", "municipality"], ["year", "month", "total_cases"]
+    fitted = encode.FeatureTable.fit(rows, names, numbers)
+    seen_values = fitted.apply(rows.select(*names, *numbers))
+    for stage in train.feature_stages(fitted)[:1]:
+        seen_values = stage.transform(seen_values)
     hot = {c: vector_to_array(F.col(f"_hot_{c}")) for c in names}
     pairs = F.array(*[
         F.struct(
@@ -680,7 +704,9 @@ def category_index(spark, folder):
             (F.array_position(hot[c], F.lit(1.0)) - 1).cast("int").alias("hot"), F.size(hot[c]).alias("width"),
         ) for c in names
     ])
-    return seen_values.select(F.inline(pairs)).distinct()
+    encoded = seen_values.select(F.inline(pairs)).distinct()
+    table = fitted.table.select("column", "value", "mode", "median")
+    return table.join(encoded, ["column", "value"], "left")
 
 
 def prior_features_all(spark, folder):
@@ -785,7 +811,7 @@ QUERIES: list[Query] = [
     climate_features, temporal_features, weekly_lags, prior_features,
     inference_lags, inference_lags_compat, scoring_inputs, outbreak_scalars,
     prediction_lookup, regression_metrics, blend_select, stratified_split,
-    forest_train_score, forest_per_disease, published_constant, model_routing, model_selection,
+    forest_train_score, forest_per_disease, forest_nodes, published_constant, model_routing, model_selection,
     category_index, prior_features_all, training_panel, describe_table, null_profile,
     correlation_matrix, seasonality, national_series, risk_distribution,
     total_by_department, top_departments_semi, box_stats, source_counts,

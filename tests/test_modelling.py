@@ -5,9 +5,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from casewatch import presets
+from casewatch.operators.encode import FeatureTable
 from casewatch.operators.panel import climate_features
 from casewatch.operators.windows import temporal_features
-from casewatch.plans import score, train
+from casewatch.plans import nodes, score, train
 from casewatch.session import materialize, scratch_path
 
 TINY = [train.Candidate("sqrt_4", "sqrt", 4, 4, 0.85, 1.0), train.Candidate("log_4", "log1p", 4, 4, 0.85, 1.0)]
@@ -101,10 +102,46 @@ def test_save_load_publish(spark, bundle):
 
 
 def test_unseen_category_is_all_zero(spark, panel):
-    from pyspark.ml import Pipeline
-
     rows = panel.select("disease")
-    stages = train.feature_stages(["disease"], [])[:2]
-    fitted = Pipeline(stages=stages).fit(rows)
-    odd = fitted.transform(spark.createDataFrame([("Other",)], "disease string")).head()
+    fitted = FeatureTable.fit(rows, ["disease"], [])
+    encoder = train.feature_stages(fitted)[0]
+    odd = encoder.transform(fitted.apply(spark.createDataFrame([("Other",)], "disease string"))).head()
     assert odd["_hot_disease"].numNonzeros() == 0
+
+
+def test_feature_table_is_exact(spark):
+    rows = [("b", 1.0, None), ("a", 2.0, None), ("b", 10.0, None), ("c", None, None), (None, float("nan"), None)]
+    df = spark.createDataFrame(rows, "name string, x double, empty int")
+    fitted = FeatureTable.fit(df.filter("x IS NULL OR NOT isnan(x)"), ["name"], ["x", "empty"])
+    assert fitted.modes == {"name": "b"} and fitted.widths == {"name": 3}
+    assert fitted.medians == {"x": 2.0, "empty": 0.0}
+    got = {(r["name"], r["x"]): (r["_idx_name"], r["_num_x"], r["_num_empty"]) for r in fitted.apply(df.fillna(0.5, ["x"])).collect()}
+    assert got["b", 1.0] == (0.0, 1.0, 0.0) and got["a", 2.0] == (1.0, 2.0, 0.0) and got["c", 0.5][0] == 2.0
+    assert {r["_idx_name"] for r in fitted.apply(df.filter("name IS NULL")).collect()} == {0.0}
+    again = FeatureTable.of(fitted.table)
+    assert (again.modes, again.medians, again.widths) == (fitted.modes, fitted.medians, fitted.widths)
+
+
+def test_a_rewritten_bundle_is_loaded_anew(spark, bundle):
+    path = scratch_path(spark)
+    train.save_bundle(spark, bundle, path)
+    first = train.load_bundle(spark, path)
+    held = dict(train._LOADED)
+    train.save_bundle(spark, bundle, path)
+    train._LOADED.update(held)  # as another process has it
+    assert train.load_bundle(spark, path) is not first
+
+
+def test_node_table_scores_as_the_model(spark, bundle, panel):
+    model = bundle.overall
+    ready = materialize(model.features.apply(train.with_priors(panel, model.priors)))
+    scored = materialize(model.pipeline.transform(ready).select(*train.KEY, "_features", train.RAW))
+    table = materialize(nodes.node_table(spark, model.pipeline.stages[-1]))
+    got = nodes.score_by_nodes(scored, table, train.KEY, 4).join(scored, train.KEY)
+    assert got.count() == 144 and got.filter(F.abs(F.col("_by_nodes") - F.col(train.RAW)) > 1e-9).isEmpty()
+    assert nodes.unbalanced(table).isEmpty()
+    broken = table.withColumn("weight", F.when((F.col("node") == 1), F.col("weight") + 1).otherwise(F.col("weight")))
+    assert not nodes.unbalanced(broken).isEmpty()
+    # Both kinds of splits occur, and roots hold all rows of their sample.
+    assert not table.filter("cut IS NOT NULL").isEmpty()
+    assert table.filter("node = 0").count() == 4
