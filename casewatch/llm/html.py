@@ -39,13 +39,20 @@ ENDED_BY = {
     **dict.fromkeys(CELLS, CELLS | {"tr"} | GROUPS), "tr": {"tr"} | GROUPS, **dict.fromkeys(GROUPS, GROUPS),
 }
 SCOPES = dict.fromkeys(ENDED_BY, {"table"}) | {"p": set()} | dict.fromkeys(("li", "dt", "dd"), BLOCKS - VOID - {"address", "div", "p"})
+#: Class and identifier names of noise; a compound name is noise if each of its parts is here or among the places.
 NAMES = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr "
     "masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related respond share sharing sidebar social "
     "sponsor sponsored subscribe toolbar widget widgets".split())
+PLACES = set(
+    "area article bar block body bottom box button buttons center column container entry fixed global group header icons inner item items left "
+    "level list main mobile outer page pane panel post primary reader right row secondary section site sticky thread top user wrap wrapper".split())
+#: Names that make noise of an article element too.
+REPLIES = set("ad ads advert adverts advertisement advertising comment comments disqus promo promoted related respond sponsored".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert form menu".split())
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|head|title|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?/][^>]*+>""")
+# A quoted value may hold angle brackets; one with brackets is looked for in the next 4000 characters, so a lost quote costs no more.
+TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']|"[^"<>]*+"|'[^'<>]*+'|"[^"]{0,4000}+"(?=[\s/>])|'[^']{0,4000}+'(?=[\s/>]))*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?/][^>]*+>""")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
 
 
@@ -53,12 +60,15 @@ def is_noise(name: str, attributes: str) -> bool:
     """Whether an element is a part of the page that is no article text."""
     if name in DROPPED:
         return True
-    if not attributes or name in TRUSTED or name in ("body", "html"):
+    if not attributes or name in ("body", "html"):
         return False
+    names = REPLIES if name in TRUSTED else NAMES
     for key, *quoted in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(quoted).lower()
         if key in ("class", "id"):
-            found = not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value))
+            found = any(is_named(x, names) for x in value.split())
+        elif name in TRUSTED:
+            found = False
         elif key == "role":
             found = not ROLES.isdisjoint(value.split()[:1])
         else:
@@ -68,12 +78,33 @@ def is_noise(name: str, attributes: str) -> bool:
     return False
 
 
+def is_named(word: str, names: set[str]) -> bool:
+    """A whole name, or one made of such names and of places: ``site-nav``, but not ``with-nav``."""
+    parts = [x for x in re.split(r"[^a-z0-9]+", word) if x]
+    return not names.isdisjoint(parts) and all(x in names or x in PLACES for x in parts)
+
+
+def closed_tags(tags: list[re.Match]) -> set[int]:
+    """Numbers of the opening tags that have an end tag of their own."""
+    waiting: dict[str, list[int]] = {}
+    closed = set()
+    for i, tag in enumerate(tags):
+        name = (tag[2] or tag[5] or "").lower()
+        if not name or name in VOID:
+            continue
+        if not (tag[1] or tag[4]):
+            waiting.setdefault(name, []).append(i)
+        elif waiting.get(name):
+            closed.add(waiting[name].pop())
+    return closed
+
+
 def lines_of(page: str) -> tuple[list[str], list[bool]]:
     """Text of every line, and whether it stands inside an article element.
 
-    A dropped element ends where as many of its name were closed as opened; one that
-    is never closed ends at the next article element. One whose end tag may be left
-    out ends at its next sibling or with its parent too.
+    A dropped element ends where as many of its name were closed as opened, whatever
+    stands in it; one that is never closed ends at the next article element. One whose
+    end tag may be left out ends at its next sibling or with its parent too.
     """
     lines, trusted, held = [], [], []
     inside, noise, depth, at = 0, "", 0, 0
@@ -86,14 +117,17 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
         trusted.append(inside > 0)
 
     page = RAW.sub(" ", page)
-    for tag in TAG.finditer(page):
+    tags = list(TAG.finditer(page))
+    closed = closed_tags(tags)
+    ends = False  # whether the noise has an end tag
+    for i, tag in enumerate(tags):
         if not noise:
             held.append(page[at:tag.start()])
         at = tag.end()
         name = (tag[2] or tag[5] or "").lower()
         closing = bool(tag[1] or tag[4])
         if noise:
-            if name in TRUSTED and not closing:
+            if name in TRUSTED and not closing and not ends:
                 noise = ""
             elif noise in ENDED_BY:
                 if closing and within[name]:
@@ -126,7 +160,7 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
         attributes = tag[3] or tag[6] or ""
         if not closing and name not in VOID and not attributes.endswith("/") and (is_noise(name, attributes) or name == "header" and not inside):
             end_line()
-            noise, depth = name, 1
+            noise, depth, ends = name, 1, i in closed
             inner.clear()
             within.clear()
         elif name in BLOCKS:

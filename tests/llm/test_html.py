@@ -1,3 +1,4 @@
+import random
 from html.parser import HTMLParser
 
 from casewatch.llm import html
@@ -121,3 +122,53 @@ def test_only_attributes_by_name_hide():
     assert text("<article><p><a href='/hidden/x'>yes</a> <a href=/hidden>too</a></article>") == "yes too"
     for gone in ("hidden", "HIDDEN", 'hidden=""', "hidden=hidden", 'aria-hidden="true"', "role=menu", "ROLE='navigation x'", "data-a=1 class='x ad'", 'style="a:b"hidden', "id = nav"):
         assert text(f"<article>yes<div {gone}>no</div></article>") == "yes", gone
+
+
+def test_reader_comments_go_wherever_they_stand():
+    comment = f"<article class='comment'><p>{LONG}</p></article>"
+    for part in (f'<section id="comments">{comment * 3}</section>', f'<div class="post-comments"><main><article>{LONG}</article></main></div>', comment, f'<ol class="comment-list"><li>{comment}</ol>'):
+        assert text(f"<article><p>body</p>{part}<p>end</p></article>") == "body\n\nend", part
+        assert text(f"<article><p>body</p></article>{part}") == "body", part
+
+
+def test_only_whole_names_are_noise():
+    for shown in ("content-with-sidebar", "layout no-sidebar", "social-history", "has-sidebar", "nav-less", "article", "sidebar2 x", "noads", "menubar-free"):
+        assert text(f"<div class='{shown}'><p>{LONG}</p></div>") == LONG.strip(), shown
+        assert text(f"<article><div id='{shown}'>yes</div></article>") == "yes", shown
+        assert text(f"<article class='{shown}'>yes</article>") == "yes", shown
+    for gone in ("sidebar", "sidebar-left", "site_nav", "main-menu", "comments-area", "x ad", "header__nav", "cookie-notice", "related-posts related"):
+        assert text(f"<article>yes<div class='{gone}'>no</div></article>") == "yes", gone
+
+
+def test_quotes_hold_angle_brackets():
+    for tag in ('<p title="a > b">', "<p title='a > b'>", '<p data-x="<b>1</b>" title="x">', '<p title = "a > b" class=x>', "<p onclick=\"if (a > b) { go('x') }\">"):
+        assert text(f"<article>{tag}yes</p></article>") == "yes", tag
+    assert "end" in text(f'<article><a title="lost>one</a> <p>{LONG}</p><p>end</p></article>')
+
+
+def naive(sizes, span=html.SPAN, surge=html.SURGE):
+    """Lines kept by the definition, one window at a time; two empty lines in a row are a valley."""
+    kept, run = set(), []
+    for i in range(len(sizes) + 1):
+        ahead = sum(sizes[i:i + span])
+        if i < len(sizes) and ahead > 0 and not (sizes[i] == 0 and (i == 0 or sizes[i - 1] == 0)):
+            run.append(i)
+            continue
+        if run and max(sum(sizes[j:j + span]) for j in run) >= surge:
+            kept.update(j for j in run if sizes[j])
+        run = []
+    return kept
+
+
+def test_windows_against_the_definition():
+    """Pages without article elements: sums alone decide."""
+    rng, decided = random.Random(3), 0
+    for _ in range(300):
+        parts = [rng.choice(["", "", "<hr>", "word " * rng.randrange(1, 12), "longer text " * rng.randrange(1, 12)]) for _ in range(rng.randrange(1, 30))]
+        page = "".join(f"<div>{x}</div>" for x in parts)
+        lines, trusted = html.lines_of(page)
+        want = naive([len(x) for x in lines])
+        assert not any(trusted)
+        assert text(page) == "\n\n".join(x for i, x in enumerate(lines) if i in want)
+        decided += len(want) < sum(map(bool, lines))
+    assert decided > 100
