@@ -4,10 +4,12 @@ One pass over the texts writes a narrow table: measures, and per document the
 hash and word count of each distinct normalised line. All later steps read that
 table, so texts are never shuffled for a verdict.
 
-A line is above the limit when more than ``share`` of the distinct documents of
-its host, and more than ``floor``, hold it. Exact copies count as one document:
-they are left to deduplication and do not turn their own lines into boilerplate.
-A document that loses more than ``depleted`` of its words is rejected.
+A line of ``least_chars`` characters or more is above the limit when more than
+``limit`` distinct documents of its host hold it: a number that is the same for
+hosts of all sizes. Exact copies count as one document: they are left to
+deduplication and do not turn their own lines into boilerplate. A document is
+depleted, and rejected, when it loses more than ``depleted`` of its words or has
+fewer words left than a text needs.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from casewatch.session import materialize
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 50, 50, 3
-SHARE, FLOOR, DEPLETED = 0.10, 20, 0.5
+LIMIT, LEAST_CHARS, DEPLETED = 5, 20, 0.5
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -54,15 +56,18 @@ def repeat_words(hashes: np.ndarray, window: int = WINDOW) -> int:
     return int(inside.sum())
 
 
-def measure(text: str, words_of: common.WordHashes) -> tuple:
-    """Measures, and distinct normalised lines with their words."""
+def measure(text: str, words_of: common.WordHashes, least_chars: int = LEAST_CHARS) -> tuple:
+    """Measures, and distinct normalised lines of ``least_chars`` characters with their words."""
     raw = common.encoded(text)
     words = raw.split()
     lines = [x for x in raw.split(b"\n") if x.strip()]
     held: dict[int, int] = {}
     for line in lines:
         parts = line.lower().split()
-        key = line_hash(b" ".join(parts))
+        normal = b" ".join(parts)
+        if len(normal) < least_chars or (not normal.isascii() and len(normal.decode("utf-8", "replace")) < least_chars):
+            continue
+        key = line_hash(normal)
         held[key] = held.get(key, 0) + len(parts)
     return (
         len(words), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)),
@@ -70,7 +75,7 @@ def measure(text: str, words_of: common.WordHashes) -> tuple:
     )
 
 
-def features(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
+def features(docs: DataFrame, doc_id: str, text: str, host: str, least_chars: int) -> DataFrame:
     """The narrow table, computed once."""
     schema = (
         "doc_id long, host string, k struct<id: long, h1: long, h2: long>, "
@@ -81,7 +86,7 @@ def features(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
         words_of = common.WordHashes()
         kinds = [*[pa.int64()] * len(MEASURES), *[pa.list_(pa.int64())] * 2]
         for batch in batches:
-            found = zip(*[measure(t, words_of) for t in batch["text"].to_pylist()], strict=True)
+            found = zip(*[measure(t, words_of, least_chars) for t in batch["text"].to_pylist()], strict=True)
             made = [pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], [*batch.schema.names[:3], *MEASURES, "lines", "line_words"])
         words_of.clear()
@@ -93,30 +98,25 @@ def features(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     return materialize(made.withColumn("row", F.monotonically_increasing_id()))
 
 
-def frequent_lines(table: DataFrame, share: float, floor: int) -> DataFrame:
-    """Lines above the limit per host."""
-    by_host = table.groupBy("host").agg(F.count_distinct("k.h1", "k.h2").alias("host_docs"))
+def frequent_lines(table: DataFrame, limit: int) -> DataFrame:
+    """Lines above the limit per host; a table, so that joins may split a line most documents of a host hold."""
     per_text = table.select("host", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"), F.explode("lines").alias("line")).distinct()
-    counted = per_text.groupBy("host", "line").agg(F.count("*").alias("line_docs")).filter(F.col("line_docs") > floor)
-    return (
-        counted.alias("c").join(by_host.alias("h"), F.expr("c.host <=> h.host"))
-        .filter(F.col("line_docs") > share * F.col("host_docs"))
-        .select("c.host", "line", "line_docs")
-    )
+    counted = per_text.groupBy("host", "line").agg(F.count("*").alias("line_docs"))
+    return materialize(counted.filter(F.col("line_docs") > limit).select("host", "line"))
 
 
 def verdicts(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source",
-    share: float = SHARE, floor: int = FLOOR, depleted: float = DEPLETED,
+    limit: int = LIMIT, least_chars: int = LEAST_CHARS, depleted: float = DEPLETED,
 ) -> DataFrame:
     """One row per document: measures, words and lines to remove, verdict.
 
     A null text is empty and fails the base rule; null hosts are one host; rows that
     repeat a document count once and get a verdict each; an empty table gives no
-    rows; other columns are not read.
+    rows; a very long text is measured whole; other columns are not read.
     """
-    table = features(docs, doc_id, text, host)
-    often = frequent_lines(table, share, floor)
+    table = features(docs, doc_id, text, host, least_chars)
+    often = frequent_lines(table, limit)
     lines = table.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
     lost = (
         lines.alias("l").join(often.alias("o"), F.expr("l.host <=> o.host AND l.x.lines = o.line"))
@@ -127,7 +127,7 @@ def verdicts(
     return joined.select(
         "doc_id", "host", "k", *MEASURES, failed.alias("base_failed"), F.col("lost").alias("n_removed_words"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed_lines"), "removed",
-        (~failed & (F.col("lost") <= depleted * F.col("n_words"))).alias("kept"),
+        (~failed & (F.col("lost") <= depleted * F.col("n_words")) & (F.col("n_words") - F.col("lost") >= MIN_WORDS)).alias("kept"),
     )
 
 
@@ -178,11 +178,8 @@ WITH d AS (
   FROM ls WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), dup AS (
   SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY r
-), hosts AS (
-  SELECT host, count(DISTINCT text) AS host_docs FROM d GROUP BY host
 ), often AS (
-  SELECT c.host, c.norm FROM (SELECT host, norm, count(DISTINCT text) AS n FROM lw GROUP BY host, norm) c
-  JOIN hosts h ON c.host IS NOT DISTINCT FROM h.host WHERE c.n > 20 AND c.n > 0.1 * h.host_docs
+  SELECT host, norm FROM lw WHERE length(norm) >= 20 GROUP BY host, norm HAVING count(DISTINCT text) > 5
 ), lost AS (
   SELECT r, sum(n) AS lost, count(DISTINCT lw.norm) AS lines FROM lw
   JOIN often o ON lw.host IS NOT DISTINCT FROM o.host AND lw.norm = o.norm GROUP BY r
@@ -196,6 +193,6 @@ WITH d AS (
 ), v AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
 )
-SELECT *, NOT base_failed AND n_removed_words <= 0.5 * n_words AS kept FROM v
+SELECT *, NOT base_failed AND n_removed_words <= 0.5 * n_words AND n_words - n_removed_words >= 50 AS kept FROM v
 """}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_quality_rules": op2_quality_rules}
