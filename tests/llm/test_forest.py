@@ -102,3 +102,51 @@ def test_components_of_chains_and_stars(spark):
     edges = list(zip(chain, chain[1:], strict=False)) + [(200, i) for i in range(201, 240)] + [(7, 7), (300, 301), (301, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(100)} | {i: 200 for i in range(200, 240)} | {300: 300, 301: 300}
+
+
+def test_crowded_prefixes_keep_their_branches(spark):
+    """Nodes under one prefix: few make one leaf, many are told apart by the rest of their labels."""
+    step = forest.STEP
+    rows = [(i, 0, 7, ((i % 3) << (2 * step)) | ((i % 2) << step)) for i in range(12)] + [(100 + i, 0, 8, i << (2 * step)) for i in range(3)]
+    labels = spark.createDataFrame(rows, "node long, tree int, prefix long, rest long")
+    few = {(r.node, r.hub) for r in forest.memberships(labels, 3, 2, dense=12).collect()}
+    assert few == {(i, 0) for i in range(12)} | {(100 + i, 100) for i in range(3)}
+    one = {(r.node, r.hub) for r in forest.memberships(labels, 3, 1, dense=5).collect()}
+    assert one == {(i, i % 3) for i in range(12)} | {(100 + i, 100) for i in range(3)}
+    two = {(r.node, r.hub) for r in forest.memberships(labels, 3, 2, dense=3).collect()}
+    assert two == {(i, i % 6) for i in range(12)} | {(100 + i, 100) for i in range(3)}
+
+
+def test_recall_at_the_threshold(spark, folder):
+    """Pairs near 0.8 in crowded and in sparse prefixes against brute force."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(150):
+        words = [f"g{g}_{rng.random():.8f}" for _ in range(124)]
+        rows.append(" ".join(words))
+        for at in rng.sample(range(0, 120, 6), 2):  # two words apart: ten shingles of 120 differ
+            words[at] = f"x{rng.random():.8f}"
+        rows.append(" ".join(words))
+    rows += variants(80, 2, length=90, seed=4)
+    rows = list(enumerate(rows))
+    _, links = brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = forest.near_duplicates(docs, dense=4).agg({"n_links": "sum"}).first()[0]
+    assert sum(links.values()) > 1000
+    assert got >= 0.99 * sum(links.values())
+
+
+def test_hubs_do_not_chain(spark):
+    """A chain of texts, each half like the next: groups stay small, nothing is linked."""
+    words = [f"c{i}" for i in range(60 * 40)]
+    rows = [(i, " ".join(words[30 * i:30 * i + 60])) for i in range(78)]
+    got = forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.n_links == 0 and r.class_size == 1 for r in got)
+
+
+@pytest.mark.parametrize("block_bytes", [300, 2**23])
+def test_groups_are_bounded_by_bytes_and_long_texts(spark, block_bytes):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = list(enumerate([*variants(20, 2), long, long + " more", "é " * 30]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hub", forest.F.lit(1)).withColumn("hubs", forest.F.lit("x"))
+    check(forest.near_duplicates(docs, block_bytes=block_bytes).toPandas(), rows)
