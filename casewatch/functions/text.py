@@ -54,6 +54,21 @@ def fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), longer
 
 
+#: Signs above the Latin letters that are common in running text.
+COMMON_SIGNS = "\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2020\u2021\u2022\u20ac"
+LATIN_END = 0x250
+
+
+@cache
+def latin_tables() -> tuple[str, str, str]:
+    """One-to-one folds of Latin letters (source and target), and the letters and signs that stay."""
+    source, target, longer = fold_tables()
+    pairs = [(a, b) for a, b in zip(source, target, strict=True) if ord(a) < LATIN_END]
+    known = {a for a, _ in pairs} | set(longer)
+    stay = [chr(p) for p in range(0x80, LATIN_END) if chr(p) not in known]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs), "".join(stay) + COMMON_SIGNS
+
+
 def _ranges(points: Iterable[int]) -> str:
     """Body of a regex class, neighbours joined to ranges."""
     spans: list[list[int]] = []
@@ -85,11 +100,15 @@ def col(value: str | Column) -> Column:
 def fold_accents(value: str | Column) -> Column:
     """NFKD-fold and drop combining marks, without a Python UDF.
 
-    Rows of plain ASCII, recognised by their byte length, skip the work. The
-    few characters that unfold to several (``\ufb01``, ``\u00bd``) are replaced
-    one by one where a row holds any.
+    Rows of plain ASCII, recognised by their byte length, skip the work. Rows of
+    Latin letters that fold one to one take a short table. For all others the
+    characters that unfold to several (``\ufb01``, ``\u00bd``) are replaced
+    one by one where a row holds any, and the rest goes by the full tables.
     """
     text = col(value)
+    short_source, short_target, stay = latin_tables()
+    short = F.translate(text, short_source, short_target)
+    settled = ~F.translate(short, stay, "").rlike("[^\\x00-\\x7f]")
     source, target, longer = fold_tables()
     pairs = "\x02".join(f"{char}\x01{folded}" for char, folded in longer.items())
     table = F.str_to_map(F.lit(pairs), F.lit("\x02"), F.lit("\x01"))
@@ -98,7 +117,7 @@ def fold_accents(value: str | Column) -> Column:
         found, text, lambda acc, c: F.replace(acc, c, F.element_at(table, c))
     )
     folded = F.regexp_replace(F.translate(unfolded, source, target), combining_class(), "")
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
+    return F.when(F.octet_length(text) == F.length(text), text).when(settled, short).otherwise(folded)
 
 
 def strip(value: str | Column) -> Column:

@@ -231,6 +231,17 @@ def test_folds_all_compatibility_letters(spark):
     assert values(spark, raw, "x string", text.fold_accents("x")) == want
 
 
+def test_every_character_folds_alike_in_short_and_full_tables(spark):
+    """Each alone (short table where it is Latin), and beside one that needs the full tables."""
+    chars = [chr(p) for p in [*range(0x80, 0x500), *range(0x1e00, 0x2200)]]
+    want = ["".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)) for x in chars]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in chars], "x string").select(text.fold_accents("x")).collect()] == want
+    mixed = ["ñandú " + c + " \u0439" for c in chars]
+    full = ["".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)) for x in mixed]
+    got = spark.createDataFrame([(x,) for x in mixed], "x string").select(text.fold_accents("x")).collect()
+    assert [r[0] for r in got] == full
+
+
 def test_header_names():
     assert text.normalize_header("") == text.normalize_header(" - ") == ""
 
