@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,16 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+def slices(texts: pa.Array, rows: int, size: int) -> Iterator[tuple[int, int]]:
+    """Start and number of successive rows: at most ``rows``, and ``size`` bytes unless one text has more."""
+    ends = np.cumsum([0, *(pc.binary_length(texts).fill_null(0).to_pylist())])
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, ends[start] + size, "right")) - 1))
+        yield start, stop - start
+        start = stop
+
+
 def give_back() -> None:
     """Return freed memory to the system: an idle Python worker stays beside its executor."""
     gc.collect()

@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from casewatch.llm import common
 
 SAMPLE, BITS = 1500, 18
+#: Bytes of text scored together.
+SLICE = 2**20
 RATIO, SUPPORT = 8.0, 0.02
 EPOCHS, STEP, DECAY, BATCH = 6, 0.5, 1e-6, 64
 EDGES = b".,;:!?\"'()[]{}<>*#$%&|-_"
@@ -265,7 +267,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     A null or empty text has no tokens, no spans and the score of a text without a
     sign of toxicity; rows that repeat a document are scored each; an empty table gives
-    no rows; other columns are not read.
+    no rows; other columns are not read. Texts are scored some ``SLICE`` bytes at a time,
+    one very long text by itself.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
@@ -273,8 +276,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = worker_features()
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch[at:at + 1000]
+            for at, count in common.slices(batch["t"], 1000, SLICE):
+                part = batch.slice(at, count)
                 texts = part["t"].to_pylist()
                 summary, p, sizes = summaries(held.value, features, texts)
                 ends = np.cumsum(sizes)

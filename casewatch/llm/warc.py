@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewatch.llm import common
-from casewatch.session import scratch_path
+from casewatch.session import materialize, scratch_path
 
 SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 4096, 1024, 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -93,13 +93,16 @@ def write_archives(
 
     A null page is empty. Of equal payloads of at least ``min_bytes`` bytes the largest
     identifier is the response; a null identifier is the smallest. Rows that repeat an
-    identifier and payload are responses each.
+    identifier and payload are responses each. A very long page is cut into segments; an
+    empty table writes no records; other columns are not read.
     """
     body = F.coalesce(F.col(page), F.lit(""))
     rows = common.only(pages, page_id=F.col(page_id).cast("long"), url=F.col(url).cast("string"), html=body, sha=F.sha2(body, 256))
-    kept = rows.groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("keep"))
-    again = (F.octet_length("html") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("keep.page_id"))
-    joined = rows.join(kept, "sha").select("page_id", "url", "html", F.col("keep.page_id").alias("keeper"), F.col("keep.url").alias("keeper_url"), again.alias("again"))
+    # Payloads that repeat, as a table: pages are shuffled only where it is large, and then a hot payload is split.
+    found = rows.groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("keep"), F.count("*").alias("n"))
+    kept = materialize(found.filter("n > 1").select("sha", "keep"))
+    again = F.col("keep").isNotNull() & (F.octet_length("html") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("keep.page_id"))
+    joined = rows.join(kept, "sha", "left").select("page_id", "url", "html", F.col("keep.page_id").alias("keeper"), F.col("keep.url").alias("keeper_url"), again.alias("again"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +205,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     revisit has the length and digest of the response it refers to; one whose response
     is missing has its recorded digest, no length, and is not valid.
     """
-    records = read_records(spark, path)
+    records = materialize(read_records(spark, path))  # three readers: archives are parsed once
     found = responses(records, payloads)
     of_response = found.filter("valid").groupBy(F.col("page_id").alias("k"), F.col("digest").alias("d")).agg(F.max("payload_bytes").alias("payload_bytes"))
     revisits = records.filter("kind = 'revisit'").select("page_id", "digest", "refers_to").alias("v").join(

@@ -88,3 +88,26 @@ def test_labels_of_one_class_or_none(spark):
     assert {r.score < 0.01 for r in toxic.score(docs, toxic.train(docs, none)).collect()} == {True}
     odd = spark.createDataFrame([(1, 0, 1), (None, 0, 1), (2, 0, None)], "doc_id long, quality int, toxic int")
     assert toxic.score(docs, toxic.train(docs, odd)).count() == 2
+
+
+def test_slices_go_by_size_and_hold_long_texts(spark):
+    import pyarrow as pa
+
+    from casewatch.llm import common
+
+    texts = pa.array(["a" * 10, "b" * 60, None, "c" * 200, "", "d", "é" * 30])
+    assert list(common.slices(texts, 3, 70)) == [(0, 3), (3, 1), (4, 3)]
+    assert list(common.slices(texts, 2, 10**9)) == [(0, 2), (2, 2), (4, 2), (6, 1)]
+    assert list(common.slices(texts.slice(3, 1), 2, 1)) == [(0, 1)] and list(common.slices(texts[:0], 5, 5)) == []
+
+
+def test_slices_change_no_score(spark, folder, documents, monkeypatch):
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxic.train(docs, labels.withColumn("text", toxic.F.lit("x")).withColumn("t", toxic.F.lit(1)))
+    few = docs.limit(40).withColumn("t", toxic.F.lit("y")).withColumn("score", toxic.F.lit("z"))
+    long = spark.createDataFrame([(10**6, " ".join(documents.text[:100]) * 3)], "doc_id long, text string")
+    rows = few.unionByName(long, allowMissingColumns=True)
+    whole = {r.doc_id: r.score for r in toxic.score(rows, model).collect()}
+    one = toxic.score(rows.select("doc_id", "text").repartition(1), model)
+    assert {r.doc_id: round(r.score, 6) for r in one.collect()} == {k: round(v, 6) for k, v in whole.items()}
+    assert len(whole) == 41

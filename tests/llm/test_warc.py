@@ -73,3 +73,23 @@ def test_chunked_framing(size):
         assert warc.dechunked(warc.chunked(payload, size)) == payload
     with pytest.raises(ValueError):
         warc.dechunked(b"5\r\nabc\r\n0\r\n\r\n")
+
+
+def test_hot_payload_odd_rows_and_clashing_columns(spark, tmp_path):
+    """A payload most pages share, nulls, a very long page, columns named as the operator's own."""
+    rows = [(i, "u", "same error page") for i in range(300)] + [(300, None, None), (301, "v", ""), (302, "w", "é" * 3_000_000), (None, "n", "same error page"), (None, None, "alone")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("sha", "keep", "n", "record", "kind", "again"):
+        pages = pages.withColumn(name, warc.F.lit("x"))
+    path = str(tmp_path / "w")
+    warc.write_archives(pages.repartition(5), path)
+    got = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to, r.valid) for r in warc.read_archives(spark, path).collect()]
+    want = [(i, 15, "response" if i == 299 else "revisit", None if i == 299 else 299, True) for i in [*range(300), None]]
+    want += [(300, 0, "revisit", 301, True), (301, 0, "response", None, True), (302, 6_000_000, "response", None, True), (None, 5, "response", None, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_no_pages(spark, tmp_path):
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert warc.read_archives(spark, path).count() == 0
