@@ -9,7 +9,9 @@
    branches, so crowded parts of a trie stay finely divided.
 3. The smallest text of a leaf is its hub. A text belongs to the hubs of its leaves, one a
    tree at most; so it is copied at most as often as there are trees, whatever its
-   neighbours meet: no chains of unverified meetings are ever followed.
+   neighbours meet. A hub that meets a smaller one in ``CLOSE`` trees, as near duplicates do
+   and other texts rarely, hands its texts over to it, ``HOPS`` times at most: no chains of
+   unverified meetings are followed to their end.
 4. The texts of a hub are a group. One of more than ``block`` texts or ``block_bytes`` bytes
    is dealt into blocks, and each pair of blocks is one task. A pair is verified on whole
    shingle sets, in the smallest of the hubs both belong to. Pairs never become rows: a task
@@ -33,8 +35,12 @@ from casewatch.session import materialize
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 24, 8, 0.995
-SHORTEST, DENSE = 5, 32
+SHORTEST, DENSE = 5, 64
 BLOCK, BLOCK_BYTES = 512, 2**23
+#: Bytes of a group after which a worker gives its memory back; most groups are a few texts.
+LARGE = 2**21
+#: Trees two hubs share leaves in before one stands for the other, and how often that is done.
+CLOSE, HOPS = 3, 2
 #: Bits of a label kept of each minimum hash after the shortest prefix.
 STEP = 16
 
@@ -102,7 +108,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, words: int, trees: int,
 
 
 def memberships(labels: DataFrame, steps: int, deeper: int, dense: int) -> DataFrame:
-    """Distinct (node, hub): the hubs of the leaves a node is in, if the leaf holds another node.
+    """The hubs of the leaves a node is in, if the leaf holds another node: node, hub, trees.
 
     ``labels`` has node, tree, prefix and rest, which holds ``steps`` minimum hashes. Below
     prefixes of more than ``dense`` nodes, branches are followed for up to ``deeper`` steps.
@@ -113,12 +119,25 @@ def memberships(labels: DataFrame, steps: int, deeper: int, dense: int) -> DataF
         # A table, not an aggregate: then the join may split a crowded prefix.
         groups = materialize(open_.groupBy(*key).agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
         leaf = F.lit(True) if step == deeper else F.col("n") <= dense
-        parts.append(materialize(open_.join(groups.filter(leaf).select(*key, "hub"), key).select("node", "hub").distinct()))
+        parts.append(open_.join(groups.filter(leaf).select(*key, "hub"), key).groupBy("node", "hub").agg(F.count("*").alias("trees")))
         if step < deeper:
             crowded = open_.join(groups.filter(~leaf).select(*key), key, "left_semi")
             # The next minimum hash of the label joins the path.
             open_ = materialize(crowded.withColumn("branch", F.shiftrightunsigned("rest", STEP * (steps - 1 - step))))
-    return common.union_all(parts).distinct()
+    return common.union_all(parts).groupBy("node", "hub").agg(F.sum("trees").alias("trees"))
+
+
+def handed_over(held: DataFrame, close: int, hops: int) -> DataFrame:
+    """Memberships after close hubs have handed their texts to smaller ones.
+
+    All texts of a hub go the same way, so a pair that shares a hub still shares one.
+    """
+    for _ in range(hops):
+        held = materialize(held)
+        heirs = held.filter((F.col("hub") < F.col("node")) & (F.col("trees") >= close)).groupBy("node").agg(F.min("hub").alias("heir"))
+        joined = held.join(materialize(heirs.select(F.col("node").alias("hub"), "heir")), "hub", "left")
+        held = joined.groupBy("node", F.coalesce("heir", "hub").alias("hub")).agg(F.sum("trees").alias("trees"))
+    return held
 
 
 def verify(words: int, threshold: float) -> Callable[[pa.Table], pa.Table]:
@@ -168,8 +187,9 @@ def verify(words: int, threshold: float) -> Callable[[pa.Table], pa.Table]:
                 root_of[max(x, y)] = min(x, y)
         nodes = [part["node"][i] for i in rows]
         made = pa.table({"node": nodes, "links": links, "tied_to": [nodes[root(a)] for a in range(len(rows))]})
-        del sets, ids, present
-        common.give_back()
+        if table.nbytes > LARGE:
+            del sets, ids, present
+            common.give_back()
         return made
 
     return run
@@ -194,7 +214,7 @@ def near_duplicates(
     nodes = rows.join(texts.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "k", "size", "prefixes", "rests")
     met = nodes.select("node", F.posexplode(F.arrays_zip("prefixes", "rests")).alias("tree", "label")).select("node", "tree", "label.prefixes", "label.rests")
     labels = materialize(met.toDF("node", "tree", "prefix", "rest"))
-    held = materialize(memberships(labels, depth - shortest, longest - shortest, dense))
+    held = materialize(handed_over(memberships(labels, depth - shortest, longest - shortest, dense), CLOSE, HOPS))
     # A text that is near none but itself in a leaf has no row here.
     hubs = held.groupBy("node").agg(F.array_sort(F.collect_set("hub")).alias("hubs"))
     wanted = materialize(nodes.select("node", "k", "size").join(hubs, "node"))

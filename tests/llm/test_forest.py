@@ -117,6 +117,24 @@ def test_crowded_prefixes_keep_their_branches(spark):
     assert two == {(i, i % 6) for i in range(12)} | {(100 + i, 100) for i in range(3)}
 
 
+def test_pairs_still_share_a_hub_after_hubs_hand_over(spark):
+    rng = random.Random(2)
+    rows = [(n, h, rng.randrange(1, 9)) for n in range(60) for h in rng.sample(range(n + 1), min(n + 1, 3))]
+    rows = list({(n, h): (n, h, t) for n, h, t in rows + [(h, h, 5) for _, h, _ in rows]}.values())
+
+    def pairs(found):
+        own = defaultdict(set)
+        for n, h in found:
+            own[h].add(n)
+        return {(a, b) for ns in own.values() for a in ns for b in ns if a < b}
+
+    held = spark.createDataFrame(rows, "node long, hub long, trees long")
+    before = pairs((n, h) for n, h, _ in rows)
+    for hops in (1, 2):
+        after = [(r.node, r.hub) for r in forest.handed_over(held, 4, hops).collect()]
+        assert before <= pairs(after) and len(after) == len(set(after)) < len(rows)
+
+
 def test_recall_at_the_threshold(spark, folder):
     """Pairs near 0.8 in crowded and in sparse prefixes against brute force."""
     rng = random.Random(11)
