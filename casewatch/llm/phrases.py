@@ -7,11 +7,15 @@ entries its largest subtrees are spilled whole as sorted runs. Runs are a table
 shared folder; they are merged by prefix partitions: ranges of (language, phrase) that
 hold whole runs of prefixes and are cut by size, so a frequent first word is no hot key.
 
-Phrases are counted by length. A phrase of k words can be frequent only if the k - 1 words
-at either end of it are, so after each length the texts shrink to the stretches whose
-phrases are all frequent, told by a Bloom filter of the exact counts (it may keep more,
-never less). The filter follows the number of frequent phrases up to ``most_bits``, beyond
-which it keeps more; results are the same.
+Not every phrase has to be counted by name. A first pass counts words and pairs in
+buckets by hash; a bucket with too few occurrences holds no frequent word or pair. The
+second pass counts the words of full buckets and cuts the texts down to stretches all of
+whose pairs are in full buckets. Then phrases are counted by length: one of k words can be
+frequent only if the k - 1 words at either end of it are, so after each length the
+stretches shrink to those whose phrases are all frequent, told by a Bloom filter of the
+exact counts. Buckets and filters may keep more than they must, never less. They follow
+the input up to fixed sizes (``MOST_BUCKETS``, ``MOST_BITS``), beyond which they keep more;
+results are the same.
 
 All scores come from exact counts, in decimals of 38 digits.
 """
@@ -19,7 +23,8 @@ All scores come from exact counts, in decimals of 38 digits.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +37,29 @@ from casewatch.session import materialize
 
 LONGEST, LEAST, TOP, SHARE = 5, 100, 2000, 100
 NO_LANG = "und"
-#: Upper case and tab folded, signs that end a piece as line feeds: all by one table.
-FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
-BURST, MOST, WAITING = 2**12, 300_000, 50_000
+#: Ends a piece: a byte that no UTF-8 text holds.
+MARK = b"\xff"
+#: Upper case and tab folded, signs that end a piece as marks: all by one table.
+FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + MARK * 10)
+BURST, MOST, WAITING = 2**12, 200_000, 100_000
 BITS_A_PHRASE, LEAST_BITS, MOST_BITS = 16, 2**16, 2**28
-Phrase = tuple[bytes, ...]
+LEAST_BUCKETS, MOST_BUCKETS, BLOCK = 2**16, 2**25, 2**16
+#: Bytes of text that are worked on together.
+SLICE = 2**20
 
 
 class Node:
-    """Burst container: children by word id, and the count of the phrase that ends here."""
+    """Burst container: what is below, by word id, and the count of the phrase that ends here."""
 
     __slots__ = ("children", "here")
 
-    def __init__(self) -> None:
-        self.children: dict[int, Node | dict[bytes, int]] = {}
-        self.here = 0
+    def __init__(self, here: int = 0) -> None:
+        self.children: dict[int, Below] = {}
+        self.here = here
+
+
+#: Under a word: the count of a phrase that ends with it, a container of rests, or a node.
+Below = int | dict[bytes, int] | Node
 
 
 class PhraseTrie:
@@ -59,8 +72,7 @@ class PhraseTrie:
     def empty(self) -> None:
         self.ids: dict[bytes, int] = {}
         self.words: list[bytes] = []
-        self.roots: dict[tuple[str, int], Node | dict[bytes, int]] = {}
-        self.sizes: Counter[tuple[str, int]] = Counter()
+        self.roots: dict[str, Node] = {}
         self.size = 0
 
     def id(self, word: bytes) -> int:
@@ -70,107 +82,260 @@ class PhraseTrie:
             self.words.append(word)
         return found
 
-    def add(self, lang: str, phrase: Phrase, n: int) -> None:
-        root = lang, self.id(phrase[0])
-        holder, at = self.roots, root
-        for depth in range(1, len(phrase) + 1):
-            node = holder.get(at)
-            if node is None:
-                node = holder[at] = {}
-            if isinstance(node, dict):
-                rest = b" ".join(phrase[depth:])
-                if rest not in node:
-                    node[rest] = 0
-                    self.size += 1
-                    self.sizes[root] += 1
-                node[rest] += n
-                if len(node) > self.burst:
-                    holder[at] = self.split(node)
-                return
-            if depth == len(phrase):
-                node.here += n
-                return
-            holder, at = node.children, self.id(phrase[depth])
+    def add(self, lang: str, phrase: bytes, n: int) -> None:
+        """Count a phrase, its words joined by one blank, ``n`` times more."""
+        node = self.roots.get(lang)
+        if node is None:
+            node = self.roots[lang] = Node()
+        while True:
+            head, _, phrase = phrase.partition(b" ")
+            word = self.id(head)
+            below = node.children.get(word)
+            if below is None:
+                node.children[word] = {phrase: n} if phrase else n
+                self.size += 1
+            elif isinstance(below, Node):
+                if phrase:
+                    node = below
+                    continue
+                self.size += not below.here
+                below.here += n
+            elif isinstance(below, dict):
+                self.size += phrase not in below
+                below[phrase] = below.get(phrase, 0) + n
+                if len(below) > self.burst:
+                    node.children[word] = self.split(below)
+            elif phrase:  # a phrase that goes on where another ends
+                node.children[word] = {b"": below, phrase: n}
+                self.size += 1
+            else:
+                node.children[word] = below + n
+            return
 
     def split(self, container: dict[bytes, int]) -> Node:
-        node = Node()
+        node = Node(container.get(b"", 0))
         for rest, n in container.items():
             if rest:
                 head, _, tail = rest.partition(b" ")
-                node.children.setdefault(self.id(head), {})[tail] = n
-            else:
-                node.here = n
+                word = self.id(head)
+                below = node.children.get(word)
+                if below is None:
+                    node.children[word] = {tail: n} if tail else n
+                elif isinstance(below, dict):
+                    below[tail] = n
+                else:
+                    node.children[word] = {b"": below, tail: n}
         return node
 
-    def under(self, node: Node | dict[bytes, int], prefix: bytes) -> Iterator[tuple[bytes, int]]:
-        if isinstance(node, dict):
-            for rest, n in node.items():
+    def under(self, below: Below, prefix: bytes) -> Iterator[tuple[bytes, int]]:
+        if isinstance(below, int):
+            yield prefix, below
+        elif isinstance(below, dict):
+            for rest, n in below.items():
                 yield (prefix + b" " + rest if rest else prefix), n
         else:
-            if node.here:
-                yield prefix, node.here
-            for word, child in node.children.items():
+            if below.here:
+                yield prefix, below.here
+            for word, child in below.children.items():
                 yield from self.under(child, prefix + b" " + self.words[word])
 
+    def entries(self, below: Below) -> int:
+        if isinstance(below, Node):
+            return (below.here > 0) + sum(map(self.entries, below.children.values()))
+        return 1 if isinstance(below, int) else len(below)
+
     def spill(self, keep: int) -> Iterator[tuple[str, list[tuple[bytes, int]]]]:
         """Take out the largest subtrees until ``keep`` entries are left: a sorted run each."""
-        for root, size in self.sizes.most_common():
+        subtrees = [(self.entries(below), lang, word) for lang, root in self.roots.items() for word, below in root.children.items()]
+        if keep:
+            subtrees.sort(key=lambda s: -s[0])
+        for size, lang, word in subtrees:
             if self.size <= keep:
                 break
-            yield root[0], sorted(self.under(self.roots.pop(root), self.words[root[1]]))
+            yield lang, sorted(self.under(self.roots[lang].children.pop(word), self.words[word]))
             self.size -= size
-            del self.sizes[root]
-        if len(self.words) > 2 * self.most and not self.size:
+        if not keep:
             self.empty()
 
 
-def run_table(texts: DataFrame, k: int, burst: int = BURST, most: int = MOST) -> DataFrame:
-    """Sorted runs (lang, phrase, n) of the phrases of ``k`` words in each task; ``texts`` has lang and body."""
+class Runs:
+    """What a task counts: the newest phrases of a language in a container above its trie, which spills."""
 
-    def rows(runs: Iterator[tuple[str, list[tuple[bytes, int]]]]) -> Iterator[pa.RecordBatch]:
-        langs, phrases, counts = [], [], []
-        for lang, run in runs:
-            for phrase, n in run:
-                langs.append(lang)
-                phrases.append(phrase)
-                counts.append(n)
-            if len(langs) > 20_000:
-                yield batch_of(langs, phrases, counts)
-                langs, phrases, counts = [], [], []
-        yield batch_of(langs, phrases, counts)
-
-    def batch_of(langs: list, phrases: list, counts: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
+    def __init__(self, burst: int = BURST, most: int = MOST) -> None:
+        self.trie, self.most = PhraseTrie(burst, most), most
+        self.waiting: dict[str, Counter[bytes]] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, waiting = PhraseTrie(burst, most), {}
+    def add(self, lang: str, phrases: Iterable[bytes]) -> None:
+        self.waiting.setdefault(lang, Counter()).update(phrases)
 
-        def settle() -> Iterator[pa.RecordBatch]:
-            """Bring what texts gave so far into the trie; it spills half when it is full."""
-            for lang, counts in waiting.items():
+    def settle(self, least: int = WAITING) -> Iterator[tuple[str, list[tuple[bytes, int]]]]:
+        """Bring containers of more than ``least`` phrases into the trie; it spills half when it is full."""
+        for lang, counts in self.waiting.items():
+            if len(counts) > least:
                 for phrase, n in counts.items():
-                    trie.add(lang, phrase, n)
+                    self.trie.add(lang, phrase, n)
                 counts.clear()
-            if trie.size > most or len(trie.words) > 2 * most:
-                yield from rows(trie.spill(most // 2 if len(trie.words) <= 2 * most else 0))
+                if self.trie.size > self.most:
+                    # Words are forgotten with the last phrase only.
+                    yield from self.trie.spill(self.most // 2 if len(self.trie.words) < 2 * self.most else 0)
 
-        for batch in batches:
-            for lang, body in zip(batch["lang"].to_pylist(), batch["body"], strict=True):
-                counts = waiting.setdefault(lang, Counter())
-                for piece in body.as_py().translate(FOLD).split(b"\n"):
-                    words = piece.split()
-                    if len(words) >= k:
-                        counts.update(zip(*(words[i:] for i in range(k)), strict=False))
-                        if len(counts) > WAITING:
-                            yield from settle()
-            yield from settle()
-        yield from rows(trie.spill(0))
-        trie.empty()
+    def end(self) -> Iterator[tuple[str, list[tuple[bytes, int]]]]:
+        yield from self.settle(0)
+        yield from self.trie.spill(0)
+
+
+def run_rows(runs: Iterator[tuple[str, list[tuple[bytes, int]]]]) -> Iterator[pa.RecordBatch]:
+    langs, phrases, counts = [], [], []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
+
+    for lang, run in runs:
+        langs.extend([lang] * len(run))
+        phrases.extend(p for p, _ in run)
+        counts.extend(n for _, n in run)
+        if len(langs) > 20_000:
+            yield batch()
+            langs, phrases, counts = [], [], []
+    if langs:
+        yield batch()
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """Folded texts of a language, some ``SLICE`` bytes at a time (one text may be longer)."""
+    held: dict[str, list[bytes]] = {}
+    sizes: Counter[str] = Counter()
+    for batch in batches:
+        for lang, body in zip(batch["lang"], batch["body"], strict=True):
+            lang = lang.as_py()
+            held.setdefault(lang, []).append(body.as_py())
+            sizes[lang] += len(held[lang][-1])
+            if sizes[lang] >= SLICE:
+                yield lang, MARK.join(held.pop(lang)).translate(FOLD)
+                del sizes[lang]
+    for lang, bodies in held.items():
+        yield lang, MARK.join(bodies).translate(FOLD)
+
+
+def run_table(texts: DataFrame, k: int, burst: int = BURST, most: int = MOST) -> DataFrame:
+    """Sorted runs (lang, phrase, n) of the phrases of ``k`` words in each task; ``texts`` has lang and body."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(burst, most)
+        for lang, folded in slices(batches):
+            for piece in folded.split(MARK):
+                words = piece.split()
+                if len(words) >= k:
+                    runs.add(lang, map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
+            yield from run_rows(runs.settle())
+        yield from run_rows(runs.end())
         common.give_back()
 
     return materialize(texts.select("lang", "body").mapInArrow(run, "lang string, phrase binary, n long"))
 
 
+class Buckets:
+    """Places of words and pairs in buckets, by hashes of the words and the language."""
+
+    def __init__(self, words: int, pairs: int) -> None:
+        self.words, self.pairs = np.uint64(words - 1), np.uint64(pairs - 1)
+        self.hashes = common.WordHashes()
+        self.mark = np.uint64(xxhash.xxh3_64_intdigest(MARK))
+
+    def of(self, lang: str, folded: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Words and marks in order, which are words, bucket of each, bucket of each with the next one."""
+        tokens = folded.replace(MARK, b" " + MARK + b" ").split()
+        hashes = self.hashes.of(tokens)
+        is_word = hashes != self.mark
+        salt = np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
+        with np.errstate(over="ignore"):
+            single = common.mixed(hashes + salt) & self.words
+            double = common.mixed((hashes[:-1] + salt) * common.GOLDEN + hashes[1:]) & self.pairs
+        return tokens, is_word, single, double
+
+
+def bucket_filters(texts: DataFrame, words: int, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Bits of the buckets that hold ``least`` words, or pairs, over all texts; words per language."""
+    names = ["kind", "block", "lang", "n", "counts"]
+    schema = "kind int, block int, lang string, n long, counts binary"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, totals = Buckets(words, pairs), Counter()
+        counts = [np.zeros(words, np.uint8), np.zeros(pairs, np.uint8)]
+
+        def add(kind: int, found: np.ndarray) -> None:
+            # Counts stop at 255; a bucket that full in one task counts as full.
+            at, n = np.unique(found, return_counts=True)
+            counts[kind][at] = np.minimum(counts[kind][at] + n, 255)
+
+        for lang, folded in slices(batches):
+            tokens, is_word, single, double = buckets.of(lang, folded)
+            totals[lang] += int(is_word.sum())
+            add(0, single[is_word])
+            add(1, double[is_word[:-1] & is_word[1:]])
+        for lang, n in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int32()), pa.array([lang]), pa.array([n], pa.int64()), pa.array([None], pa.binary())], names)
+        for kind, held in enumerate(counts):
+            grid = held.reshape(-1, min(BLOCK, len(held)))
+            for at in np.flatnonzero(grid.any(axis=1)).tolist():
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([kind], pa.int32()), pa.array([at], pa.int32()), pa.array([None], pa.string()), pa.array([None], pa.int64()), pa.array([grid[at].tobytes()])], names)
+        del counts[:]
+        common.give_back()
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = over = kind = block = None
+        for batch in batches:
+            kind, block = batch["kind"][0].as_py(), batch["block"][0].as_py()
+            for raw in batch["counts"]:
+                part = np.frombuffer(raw.as_buffer(), np.uint8)
+                total = part.astype(np.int64) if total is None else total + part
+                over = part == 255 if over is None else over | (part == 255)
+        if total is not None:
+            bits = np.packbits((total >= least) | over, bitorder="little")
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([bits.tobytes()])], ["kind", "block", "bits"])
+
+    counted = materialize(texts.select("lang", "body").mapInArrow(count, schema))
+    totals = materialize(counted.filter("kind = 2").groupBy("lang").agg(F.sum("n").alias("words")))
+    blocks = materialize(counted.filter("kind < 2").groupBy("kind", "block").applyInArrow(full, "kind int, block int, bits binary"))
+    filters = [bloom.from_blocks(blocks.filter(F.col("kind") == kind), size // 64, "bits").view(np.uint8) for kind, size in ((0, words), (1, pairs))]
+    return *filters, totals
+
+
+def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def candidates(texts: DataFrame, word_bits: np.ndarray, pair_bits: np.ndarray) -> DataFrame:
+    """Runs of the words of full buckets (lang, phrase, n), and stretches of pairs of full buckets (lang, body)."""
+    words, pairs = len(word_bits) * 8, len(pair_bits) * 8
+    held = texts.sparkSession.sparkContext.broadcast((word_bits, pair_bits))
+    names = ["lang", "phrase", "n", "body"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, buckets = Runs(), Buckets(words, pairs)
+        single_bits, double_bits = held.value
+
+        def counted(found: Iterator[tuple[str, list[tuple[bytes, int]]]]) -> Iterator[pa.RecordBatch]:
+            for batch in run_rows(found):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(len(batch), pa.binary())], names)
+
+        for lang, folded in slices(batches):
+            tokens, good, single, double = buckets.of(lang, folded)
+            good &= is_set(single_bits, single)
+            runs.add(lang, compress(tokens, good.tolist()))
+            yield from counted(runs.settle())
+            both = good[:-1] & good[1:] & is_set(double_bits, double)
+            edges = np.flatnonzero(np.diff(np.r_[0, both.astype(np.int8), 0])).tolist()
+            if edges:
+                body = b"\n".join(b" ".join(tokens[a:b + 1]) for a, b in zip(edges[::2], edges[1::2], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([body], pa.binary())], names)
+        yield from counted(runs.end())
+        common.give_back()
+
+    return materialize(texts.select("lang", "body").mapInArrow(run, "lang string, phrase binary, n long, body binary"))
+
+
 def merged(runs: DataFrame) -> DataFrame:
     """Exact counts: runs meet in ranges of (language, phrase)."""
     return runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
@@ -181,9 +346,9 @@ def key_hash(lang: str, phrases: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(head + p) for p in phrases), np.uint64, len(phrases))
 
 
-def phrase_filter(frequent: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
+def phrase_filter(frequent: DataFrame) -> np.ndarray:
     """Bloom filter of the phrases, joined from one filter per task."""
-    words = bloom.size_for(frequent.count(), BITS_A_PHRASE, LEAST_BITS, most_bits)
+    words = bloom.size_for(frequent.count(), BITS_A_PHRASE, LEAST_BITS, MOST_BITS)
     block_words = min(words, 2**11)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +400,8 @@ def shrunk(texts: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
             langs, bodies = [], []
             for lang, body in zip(batch["lang"].to_pylist(), batch["body"], strict=True):
                 fine = known.setdefault(lang, {})
-                pieces = [w for piece in body.as_py().translate(FOLD).split(b"\n") if len(w := piece.split()) > k]
-                grams = pieces if k == 1 else [list(map(b" ".join, zip(*(w[i:] for i in range(k)), strict=False))) for w in pieces]
+                pieces = [w for piece in body.as_py().translate(FOLD).split(MARK) if len(w := piece.split()) > k]
+                grams = [list(map(b" ".join, zip(*(w[i:] for i in range(k)), strict=False))) for w in pieces]
                 new = list(set().union(*grams).difference(fine)) if grams else []
                 if len(fine) > MOST:
                     fine.clear()
@@ -262,14 +427,20 @@ def shrunk(texts: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
 
 def frequent_phrases(texts: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """Exact counts of all phrases of 1 to ``longest`` words found ``least`` times (lang, phrase, k, n); words per lang."""
-    found, totals = [], None
+    size = texts.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    # A pair in seven bytes, two of them to a bucket; fewer different words.
+    pairs = 64 * bloom.size_for(size // 14, 1, LEAST_BUCKETS, MOST_BUCKETS)
+    word_bits, pair_bits, totals = bucket_filters(texts, max(LEAST_BUCKETS, pairs // 4), pairs, least)
+    found = []
     for k in range(1, longest + 1):
-        runs = run_table(texts, k)
         if k == 1:
-            totals = materialize(runs.groupBy("lang").agg(F.sum("n").alias("words")))
+            both = candidates(texts, word_bits, pair_bits)
+            runs, texts = both.filter("phrase IS NOT NULL").select("lang", "phrase", "n"), both.filter("body IS NOT NULL").select("lang", "body")
+        else:
+            runs = run_table(texts, k)
         often = materialize(merged(runs).filter(F.col("n") >= least))
         found.append(often.select("lang", F.col("phrase").cast("string").alias("phrase"), F.lit(k).alias("k"), "n"))
-        if k < longest:
+        if 1 < k < longest:
             texts = shrunk(texts, k, phrase_filter(often))
     return materialize(common.union_all(found)), totals
 

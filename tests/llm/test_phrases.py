@@ -81,13 +81,13 @@ def test_other_columns_may_clash(spark):
 def test_trie_counts_and_spills_whole_subtrees(burst):
     trie, want = phrases.PhraseTrie(burst, 50), Counter()
     runs = []
-    for i in range(400):
-        phrase = tuple(b"w%d" % ((i * p) % 7) for p in (1, 3, 5, 11)[:1 + i % 4])
+    for i in range(1, 400):
+        phrase = b" ".join(b"w%d" % ((i * p) % 7) for p in (1, 3, 5, 11)[:1 + i % 4])
         trie.add("en", phrase, i)
-        want[b" ".join(phrase)] += i
+        want[phrase] += i
         if trie.size > 50:
             runs += trie.spill(25)
-            assert trie.size <= 25
+            assert trie.size <= 25 and trie.size == sum(map(trie.entries, trie.roots["en"].children.values()))
     runs += trie.spill(0)
     assert trie.size == 0 and not trie.roots
     assert all(run == sorted(run) and len({p.split()[0] for p, _ in run}) == 1 for _, run in runs)
@@ -114,3 +114,27 @@ def test_query_matches_sql(spark, folder):
     actual = phrases.op13_phrases(spark, folder).toPandas()
     assert differences(actual, connect(folder).sql(phrases.SQL["op13_phrases"]).df()) == []
     assert len(actual)
+
+
+@pytest.mark.parametrize("least", [2, 300])
+def test_full_buckets_change_nothing(spark, monkeypatch, least):
+    """With a handful of buckets, all of them full, nothing is pruned; with counts above 255, full ones are told."""
+    rows = [("en", "new york is far from old york. " * 40), ("fr", "le chat noir dort. " * 310), ("en", "the cat sat on the mat " * 301)]
+    want = brute(rows, least=least)
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert made(frame, least=least) == want and want
+    monkeypatch.setattr(phrases, "LEAST_BUCKETS", 64)
+    monkeypatch.setattr(phrases, "MOST_BUCKETS", 64)
+    monkeypatch.setattr(phrases, "MOST_BITS", 64)
+    monkeypatch.setattr(phrases, "LEAST_BITS", 64)
+    assert made(frame, least=least) == want
+
+
+def test_rare_pairs_are_not_counted_by_name(spark):
+    rows = [("en", " ".join(f"w{i}_{j}" for j in range(200)) + ". common pair here") for i in range(200)]
+    texts = spark.createDataFrame(rows, SCHEMA).select("lang", F.col("text").cast("binary").alias("body"))
+    word_bits, pair_bits, totals = phrases.bucket_filters(texts, 2**20, 2**22, 100)
+    both = phrases.candidates(texts, word_bits, pair_bits)
+    assert totals.first()["words"] == 200 * 203
+    assert both.filter("phrase IS NOT NULL").select("phrase").distinct().count() == 3
+    assert sum(len(r.body.split(b"\n")) for r in both.filter("body IS NOT NULL").collect()) == 200
