@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import pytest
 from casewatch.llm import common, quality
+from pyspark.sql import functions as F
 from test_forest import brute as classes_of
 from test_mixing import brute_targets
 
@@ -88,3 +89,23 @@ def check_packing_of_singles(rows, docs):
         assert group.start.tolist() == [0, *group.length.cumsum()[:-1]]
         assert group.length.sum() == group.doc_tokens.iloc[0]
     assert set(rows.doc_id) == set(docs.doc_id)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in any column, repeated rows, ties, a very long text, columns that clash with the operators' own."""
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, words, "en", "a", 5), (1, words, "en", "a", 5), (2, words, None, None, None), (None, words + " more", "en", "a", 1), (3, None, None, None, None),
+            (4, "", "en", "a", 0), (5, "short", "en", "b", 5), (6, "long text " * 30_000 + words, "en", "b", 9), (7, f"{words} x y z", "de", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("k", "host", "node", "hub", "row", "digest", "size", "removed", "kept"):
+        docs = docs.withColumn(name, F.lit("x"))
+    return docs
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, odd, folder):
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, odd, folder)
+        assert name == "sequence_packing" or made.columns == odd.columns
+        assert made.count() > 0
+        assert stage(spark, odd.limit(0), folder).count() == 0
