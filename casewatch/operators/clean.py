@@ -51,8 +51,13 @@ def clean_cases(df: DataFrame) -> DataFrame:
         "ANO": numbers.within("ANO", presets.YEAR_RANGE),
     })
 
+    counted = base.withColumn("confirmados", epi.confirmed_flag("confirmados", "nom_est_f_caso", "TIP_CAS"))
+    return with_derived(counted).na.fill(presets.NO_DATA, presets.FILLED_COLUMNS)
+
+
+def with_derived(df: DataFrame) -> DataFrame:
+    """Add the derived columns; each is a function of cleaned columns of its row."""
     derived = {
-        "confirmados": epi.confirmed_flag("confirmados", "nom_est_f_caso", "TIP_CAS"),
         "edad_anos": epi.age_in_years("EDAD", "UNI_MED"),
         "tipo_caso": epi.decode("TIP_CAS", presets.CASE_TYPES),
         "condicion_final": epi.decode("CON_FIN", presets.FINAL_CONDITIONS),
@@ -62,8 +67,7 @@ def clean_cases(df: DataFrame) -> DataFrame:
         "regimen_salud": epi.decode_insurance("TIP_SS"),
         "dias_notificacion": dates.delay_days("FEC_NOT", "INI_SIN"),
     }
-    filled = base.withColumns(derived).withColumn("grupo_etario", epi.age_group("edad_anos"))
-    return filled.na.fill(presets.NO_DATA, presets.FILLED_COLUMNS)
+    return df.withColumns(derived).withColumn("grupo_etario", epi.age_group("edad_anos"))
 
 
 REQUIRED = {

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from casewatch import presets
 from casewatch.operators.aggregates import weekly_aggregate
 from casewatch.operators.align import align_source, source_defaults, union_filled, union_sources
-from casewatch.operators.clean import clean_cases, flag_rejected
+from casewatch.operators.clean import clean_cases, flag_rejected, with_derived
 from casewatch.operators.dedupe import dedupe_cases
 from casewatch.operators.quality import quality_report
-from casewatch.session import materialize
+from casewatch.session import drop_scratch, materialize, scratch_count, shuffles_dropped
 from casewatch.sources import files, release, sinks
 
 ORDER = "row_ordinal"
@@ -71,10 +71,11 @@ def stage_cases(cases: DataFrame, path: str, order_by: list[str] | None = None)
 
     The one heavy shuffle of the job is the deduplication. Everything after
     reads Parquet with the columns and partitions it needs, and does not
-    depend on executors keeping cached blocks.
+    depend on executors keeping cached blocks. Derived columns tell nothing that
+    the others do not, so they are added behind it.
     """
-    deduped = dedupe_cases(cases, order_by=order_by, copies=COPIES)
-    flagged = flag_rejected(deduped)
+    deduped = dedupe_cases(cases.drop(*presets.DERIVED_COLUMNS), order_by=order_by, copies=COPIES)
+    flagged = flag_rejected(with_derived(deduped))
     flagged.write.mode("overwrite").partitionBy("is_rejected").parquet(path)
     # Partition values come back as text.
     return cases.sparkSession.read.parquet(path).withColumn(
@@ -104,14 +105,21 @@ def derive(staged: DataFrame, weekly_path: str) -> EtlResult:
 
 
 def write_artefacts(spark: SparkSession, sources: list[Source], folder: str, csv_copies: bool = False) -> EtlResult:
-    """From raw files to the artefacts in ``folder``."""
-    # Deduplication reads the rows twice: narrow for the keys, whole for those that stay.
-    cases = materialize(read_sources(spark, sources))
-    staged = stage_cases(cases, f"{folder}/stage.parquet", order_by=[ORDER])
-    result = derive(staged, f"{folder}/weekly.parquet")
-    sinks.write_outputs(
-        result.clean, result.weekly, result.rejected, result.quality, folder, csv_copies
-    )
+    """From raw files to the artefacts in ``folder``.
+
+    Shuffle files and staged tables go as soon as nothing reads them, so that the disk
+    holds the artefacts and one step's files, not those of all steps.
+    """
+    with shuffles_dropped(spark):
+        held = scratch_count()
+        # Deduplication reads the rows twice: narrow for the keys, whole for those that stay.
+        cases = materialize(read_sources(spark, sources))
+        staged = stage_cases(cases, f"{folder}/stage.parquet", order_by=[ORDER])
+        drop_scratch(spark, held)
+        result = derive(staged, f"{folder}/weekly.parquet")
+        sinks.write_outputs(
+            result.clean, result.weekly, result.rejected, result.quality, folder, csv_copies
+        )
     return result
 
 

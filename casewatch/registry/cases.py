@@ -83,7 +83,9 @@ def raw_cases(spark: SparkSession, folder: str) -> DataFrame:
         "SEMANA": F.when(F.col("l_partkey") % 97 != 0, F.col("SEMANA")),
         "ANO": F.when(F.col("l_suppkey") % 7 == 0, 1899).otherwise(F.col("ANO")),
     })
-    return once.unionByName(once.filter("l_partkey % 10 = 0")).drop("l_partkey", "l_suppkey")
+    # Joined once, doubled after it.
+    sent = F.when(F.col("l_partkey") % 10 == 0, 2).otherwise(1)
+    return once.withColumn("_sent", F.explode(F.array_repeat(F.lit(1), sent))).drop("_sent", "l_partkey", "l_suppkey")
 
 
 def aligned_cases(spark: SparkSession, folder: str) -> DataFrame:

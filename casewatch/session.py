@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,13 +91,33 @@ def materialize(df: DataFrame, spread_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> int:
+def drop_scratch(spark: SparkSession, since: int = 0) -> int:
     """Delete the tables this process made in the shared folder; how many they were.
 
-    For the owner of the job, once nothing reads them any more.
+    For the owner of the job, once nothing reads them any more. ``since`` spares the first
+    ones, by their number (see ``scratch_count``).
     """
-    count = len(_made)
-    while _made:
+    count = len(_made) - since
+    while len(_made) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return count
+
+
+def scratch_count() -> int:
+    return len(_made)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Each query inside deletes its shuffle files when it ends, not when the driver collects its plan.
+
+    For a job of several large writes, whose shuffle files would else lie beside each other.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

@@ -11,15 +11,16 @@ from casewatch.sources.files import path_exists, read_processed
 
 BOM = "\ufeff"
 PARTITIONS = ["enfermedad", "ANO"]
+CASES_CODEC = "gzip"
 
 
-def write_csv(df: DataFrame, path: str, by: str | None = None) -> None:
-    """CSV with header and byte-order mark in every part file."""
+def write_csv(df: DataFrame, path: str, by: str | None = None, compression: str | None = None) -> None:
+    """CSV with header and byte-order mark in every part file; ``compression`` as Spark names it."""
     first = next(c for c in df.columns if c != by)
     writer = df.withColumnRenamed(first, BOM + first).write.mode("overwrite")
     if by:
         writer = writer.partitionBy(by)
-    writer.csv(path, header=True, encoding="UTF-8")
+    writer.csv(path, header=True, encoding="UTF-8", compression=compression)
 
 
 def write_table(
@@ -39,11 +40,14 @@ def write_table(
     out.parquet(path)
 
 
-def write_per_disease(df: DataFrame, path: str, disease: str = "enfermedad") -> None:
-    """One CSV folder per disease, named by its lower-case slug."""
+def write_per_disease(df: DataFrame, path: str, disease: str = "enfermedad", compression: str | None = None) -> None:
+    """One CSV folder per disease, named by its lower-case slug.
+
+    Rows are not shuffled for it: diseases are few, and a task writes a file for each it holds.
+    """
     slug = F.replace(F.lower(disease), F.lit(" "), F.lit("_"))
     known = df.filter(F.col(disease).isNotNull()).withColumn("slug", slug)
-    write_csv(known.hint("rebalance", "slug"), path, by="slug")
+    write_csv(known, path, by="slug", compression=compression)
 
 
 def write_outputs(
@@ -52,20 +56,20 @@ def write_outputs(
 ) -> None:
     """All ETL artefacts: Parquet and CSV of both tables, rejects, report.
 
-    ``weekly`` is read from ``weekly.parquet`` of the folder already.
+    CSV files with a line per case are gzip files, as text they outweigh all else. ``weekly`` is read from ``weekly.parquet`` of the folder already.
     """
     write_table(clean, f"{folder}/clean.parquet", partition_by=PARTITIONS)
     flat = rejected.withColumn("reject_reason", F.array_join("reject_reason", "|")) if (
         "reject_reason" in rejected.columns
     ) else rejected
-    write_csv(flat, f"{folder}/rejected.csv")
+    write_csv(flat, f"{folder}/rejected.csv", None, CASES_CODEC)
     write_csv(quality, f"{folder}/quality.csv")
     quality.write.mode("overwrite").json(f"{folder}/quality.json")
     if csv_copies:
         stored = clean.sparkSession.read.parquet(f"{folder}/clean.parquet")
-        write_csv(stored, f"{folder}/clean.csv")
+        write_csv(stored, f"{folder}/clean.csv", compression=CASES_CODEC)
         write_csv(weekly, f"{folder}/weekly.csv")
-        write_per_disease(stored, f"{folder}/clean_by_disease")
+        write_per_disease(stored, f"{folder}/clean_by_disease", compression=CASES_CODEC)
 
 
 def load_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:

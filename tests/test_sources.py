@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from casewatch import presets
+from casewatch import presets, session
+from casewatch.operators import clean
 from casewatch.operators.dedupe import dedupe_cases
 from casewatch.plans import etl
 from casewatch.sources import catalog, files, heads, release, sinks
@@ -316,3 +317,53 @@ def test_upsert_leaves_other_buckets_alone(spark, tmp_path):
 def test_etl_without_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         etl.read_sources(spark, [etl.Source("D", 1, 2024, "s", str(tmp_path / "no.csv"))])
+
+
+def test_etl_frees_its_disk(spark, tmp_path):
+    """Staged tables and shuffle files are gone after the job; files with a line per case are compressed and read back whole."""
+    made = session.scratch_count()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    result = etl.run_etl(spark, etl_sources(tmp_path), str(tmp_path / "out"), csv_copies=True)
+    assert result.quality.count() and session.scratch_count() == made + 1  # the report
+    assert spark.conf.get(key) == before
+    for name in ("clean.csv", "clean_by_disease", "rejected.csv"):
+        parts = list((tmp_path / "out" / name).rglob("part-*"))
+        assert parts and all(p.name.endswith(".csv.gz") for p in parts)
+    clean = spark.read.csv(str(tmp_path / "out" / "clean.csv"), header=True)
+    assert {r["CONSECUTIVE"] for r in clean.collect()} == {"1", "2", "7", "8"}
+    assert all(r["slug"] == r["enfermedad"].lower() for r in spark.read.csv(str(tmp_path / "out" / "clean_by_disease"), header=True).collect())
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+
+    def shuffles():
+        return set(manager.shuffleStatuses().keySet().mkString(",").split(","))
+
+    before, plain = shuffles(), spark.range(1000).groupBy("id").count()
+    assert len(plain.collect()) == 1000 and shuffles() - before
+    with session.shuffles_dropped(spark):
+        before, dropped = shuffles(), spark.range(1000).groupBy("id").count()
+        assert len(dropped.collect()) == 1000 and not shuffles() - before
+        assert len(dropped.collect()) == 1000  # a second run makes them again
+
+
+def test_derived_columns_do_not_travel_through_dedupe(spark, tmp_path):
+    cases = etl.read_sources(spark, etl_sources(tmp_path))
+    again = clean.with_derived(cases.drop(*presets.DERIVED_COLUMNS)).select(*cases.columns)
+    assert sorted(map(str, again.collect())) == sorted(map(str, cases.collect()))
+
+
+def test_per_disease_files_need_no_shuffle(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("Dengue Grave", 1), ("Zika", 2), (None, 3)], "enfermedad string, v int")
+    plain, plans = sinks.write_csv, []
+
+    def watched(rows, *args, **named):
+        plans.append(rows._jdf.queryExecution().logical().toString().lower())
+        plain(rows, *args, **named)
+
+    monkeypatch.setattr(sinks, "write_csv", watched)
+    sinks.write_per_disease(df, str(tmp_path / "d"))
+    assert len(plans) == 1 and "rebalance" not in plans[0]
+    assert {(r["slug"], r["v"]) for r in spark.read.csv(str(tmp_path / "d"), header=True).collect()} == {("dengue_grave", "1"), ("zika", "2")}
