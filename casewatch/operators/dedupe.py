@@ -28,7 +28,9 @@ def dedupe_cases(
 
     With one whole-number ``order_by`` column the aggregate holds numbers only and
     hashes: the smallest place per key and the row hash there. The rows they name are
-    then fetched by a join. Numbers of up to 18 digits may repeat: a place holds the row
+    then fetched by a join; place and hash are computed where the rows arrive and do not
+    travel with them. Rows without an id are whole in their grouping key, so they are
+    neither shuffled again nor joined. Numbers of up to 18 digits may repeat: a place holds the row
     hash behind the number, so ties go to one of the rows that differ, the same in every
     run. Wider numbers, places of rows in files, should be unique; of a tie any one stays.
     A null number is the first.
@@ -39,14 +41,21 @@ def dedupe_cases(
     whole_row = F.when(~has_id, F.struct(*content))
     groups_by = [*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], whole_row.alias("_content")]
     if len(order) == 1 and (place := row_place(df, order[0])) is not None:
-        own_hash = F.xxhash64(F.lit(1), *content)
-        first = df.select(*df.columns, place.alias("_place"), own_hash.alias("_row")).groupBy(*groups_by).agg(
+        own_hash, numbered = F.xxhash64(F.lit(1), *content), df.filter(has_id)
+        first = numbered.select(*df.columns, place.alias("_place"), own_hash.alias("_row")).groupBy(*groups_by[:-1]).agg(
             F.min("_place").alias("_place"), F.min_by("_row", "_place").alias("_row"), F.count(F.lit(1)).alias("_copies"))
         named = first.select("_place", "_row", "_copies")
-        rows = df.withColumns({"_place": place, "_row": own_hash}).join(named, ["_place", "_row"])
+        rows = numbered.join(named, (place == F.col("_place")) & (own_hash == F.col("_row")))
         # Rows equal in every column are found together; they hash into one.
         once = rows.select("_place", "_row", "_copies", *df.columns).distinct()
-        return once.select(*df.columns, *([F.col("_copies").alias(copies)] if copies else []))
+        # A null number is the first.
+        first_number = F.when(F.count(order[0]) == F.count(F.lit(1)), F.min(order[0]))
+        others = [c for c in df.columns if c != order[0]]
+        plain = df.filter(~has_id).groupBy(*others, *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys) if k == order[0]]).agg(
+            first_number.alias("_number"), F.count(F.lit(1)).alias("_copies"))
+        whole = plain.select(*[F.col("_number").alias(c) if c == order[0] else F.col(c) for c in df.columns], "_copies")
+        return once.select(*df.columns, "_copies").unionByName(whole).select(
+            *df.columns, *([F.col("_copies").alias(copies)] if copies else []))
     grouped = df.groupBy(*groups_by).agg(
         F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_first"),
         F.count(F.lit(1)).alias("_copies"),

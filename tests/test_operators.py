@@ -351,3 +351,45 @@ def test_describe_mixed(spark):
 def test_box_stats(spark):
     df = spark.createDataFrame([("g", v) for v in [1, 2, 3, 4, 100]], "g string, v long")
     assert rows(profile.box_stats(df, "g", "v")) == [("g", 5, 2.0, 3.0, 4.0, 1, 4, 1)]
+
+
+def shuffled_fields(df):
+    """Per shuffle of the plan: the fields its rows carry."""
+    found, pending = [], [df._jdf.queryExecution().executedPlan()]
+    while pending:
+        node = pending.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if node.nodeName() == "Exchange":
+            found.append([node.output().apply(i).name() for i in range(node.output().size())])
+        pending += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_ordered_dedupe_shuffles_whole_rows_once(spark):
+    """No place or hash travels beside a whole row, and a row without an id travels once."""
+    df = spark.range(100).selectExpr(
+        "if(id % 7 = 0, null, id % 9) CONSECUTIVE", "'D' enfermedad", "1 COD_EVE", "cast(id as decimal(38,0)) place", "cast(id as string) v")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        deduped = dedupe.dedupe_cases(df, order_by=["place"], copies="n")
+        shuffles = shuffled_fields(deduped)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(shuffles) == 4 and ["_place", "_row", "_copies"] in shuffles
+    whole = [set(s) for s in shuffles if "v" in s]
+    assert len(whole) == 2 and {"CONSECUTIVE", "place", "v"} in whole  # constants are folded
+    assert not any("_content" in s for s in shuffles)
+
+
+def test_ordered_dedupe_without_id_keeps_the_order_column(spark):
+    rows_in = [(None, "D", 1, 7, "a"), (None, "D", 1, 5, "a"), ("SIN_DATO", "D", None, 2, "a"), (None, "D", 1, None, "b"),
+               (None, "D", 1, 3, "b"), ("9", None, 1, 4, None), ("9", None, 1, 1, "c")]
+    for kind in ("int", "bigint", "decimal(18,0)", "decimal(38,0)"):
+        df = spark.createDataFrame(rows_in, "CONSECUTIVE string, enfermedad string, COD_EVE int, place bigint, v string").withColumn(
+            "place", F.col("place").cast(kind))
+        got = dedupe.dedupe_cases(df, order_by=["place"], copies="n")
+        assert got.columns == [*df.columns, "n"] and got.schema["place"].dataType == df.schema["place"].dataType
+        assert sorted(map(str, ((r["CONSECUTIVE"], r["v"], r["place"] and int(r["place"]), r["n"]) for r in got.collect()))) == sorted(map(str, [
+            (None, "a", 5, 2), ("SIN_DATO", "a", 2, 1), (None, "b", None, 2), ("9", "c", 1, 2)]))
