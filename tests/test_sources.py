@@ -1,5 +1,7 @@
 """CSV scan, file checks, sinks and the whole ETL on files."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,16 +338,20 @@ def test_etl_frees_its_disk(spark, tmp_path):
 
 
 def test_shuffle_files_go_with_their_query(spark):
-    manager = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
-    def shuffles():
-        return set(manager.shuffleStatuses().keySet().mkString(",").split(","))
+    def files_left():
+        return {n for n in disk.getAllFiles().mkString("|").split("|") if "shuffle_" in n}
 
-    before, plain = shuffles(), spark.range(1000).groupBy("id").count()
-    assert len(plain.collect()) == 1000 and shuffles() - before
+    before, plain = files_left(), spark.range(1000).repartition(3)
+    assert len(plain.collect()) == 1000 and files_left() - before
     with session.shuffles_dropped(spark):
-        before, dropped = shuffles(), spark.range(1000).groupBy("id").count()
-        assert len(dropped.collect()) == 1000 and not shuffles() - before
+        before, dropped = files_left(), spark.range(1000).repartition(3)
+        assert len(dropped.collect()) == 1000
+        until = time.monotonic() + 20
+        while files_left() - before and time.monotonic() < until:
+            time.sleep(0.1)
+        assert not files_left() - before
         assert len(dropped.collect()) == 1000  # a second run makes them again
 
 
