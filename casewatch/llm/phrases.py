@@ -13,9 +13,14 @@ second pass counts the words of full buckets and cuts the texts down to stretche
 whose pairs are in full buckets. Then phrases are counted by length: one of k words can be
 frequent only if the k - 1 words at either end of it are, so after each length the
 stretches shrink to those whose phrases are all frequent, told by a Bloom filter of the
-exact counts. Buckets and filters may keep more than they must, never less. They follow
-the input up to fixed sizes (``MOST_BUCKETS``, ``MOST_BITS``), beyond which they keep more;
-results are the same.
+exact counts. From three words on, a pass over the stretches counts phrases in buckets too,
+and only those of full buckets are counted by name. Buckets and filters may keep more than
+they must, never less. They follow the input up to fixed sizes (``MOST_BUCKETS``,
+``MOST_BITS``), beyond which they keep more; results are the same.
+
+Every task returns a row for each phrase it counts. Counting therefore takes as many tasks
+as the session has cores, or more if one had to read over ``TASK`` bytes, not one per file
+split: the rows follow the number of phrases, not that times the number of splits.
 
 All scores come from exact counts, in decimals of 38 digits.
 """
@@ -46,6 +51,8 @@ BITS_A_PHRASE, LEAST_BITS, MOST_BITS = 16, 2**16, 2**28
 LEAST_BUCKETS, MOST_BUCKETS, BLOCK = 2**16, 2**25, 2**16
 #: Bytes of text that are worked on together.
 SLICE = 2**20
+#: Bytes of text that a task which counts should read at most.
+TASK = 2**31
 
 
 class Node:
@@ -217,16 +224,34 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
         yield lang, MARK.join(bodies).translate(FOLD)
 
 
-def run_table(texts: DataFrame, k: int, burst: int = BURST, most: int = MOST) -> DataFrame:
-    """Sorted runs (lang, phrase, n) of the phrases of ``k`` words in each task; ``texts`` has lang and body."""
+def text_size(texts: DataFrame) -> int:
+    return texts.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+
+
+def in_few_tasks(texts: DataFrame, size: int) -> DataFrame:
+    """``size`` bytes of texts in a task per core, in more if a task had over ``TASK`` bytes."""
+    return texts.coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, -(-size // TASK)))
+
+
+def run_table(texts: DataFrame, k: int, burst: int = BURST, most: int = MOST, bits: np.ndarray | None = None) -> DataFrame:
+    """Sorted runs (lang, phrase, n) of the phrases of ``k`` words in each task; ``texts`` has lang and body.
+
+    With ``bits`` (see ``gram_filter``) only the phrases of full buckets.
+    """
+    held = None if bits is None else texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = Runs(burst, most)
+        buckets = None if held is None else Buckets(1, len(held.value) * 8)
         for lang, folded in slices(batches):
-            for piece in folded.split(MARK):
-                words = piece.split()
-                if len(words) >= k:
-                    runs.add(lang, map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
+            if buckets:
+                tokens, starts, at = buckets.grams(lang, folded, k)
+                runs.add(lang, (b" ".join(tokens[i:i + k]) for i in starts[is_set(held.value, at)].tolist()))
+            else:
+                for piece in folded.split(MARK):
+                    words = piece.split()
+                    if len(words) >= k:
+                        runs.add(lang, map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
             yield from run_rows(runs.settle())
         yield from run_rows(runs.end())
         common.give_back()
@@ -235,53 +260,63 @@ def run_table(texts: DataFrame, k: int, burst: int = BURST, most: int = MOST) ->
 
 
 class Buckets:
-    """Places of words and pairs in buckets, by hashes of the words and the language."""
+    """Places of words, pairs and longer phrases in buckets, by hashes of the words and the language."""
 
     def __init__(self, words: int, pairs: int) -> None:
         self.words, self.pairs = np.uint64(words - 1), np.uint64(pairs - 1)
         self.hashes = common.WordHashes()
         self.mark = np.uint64(xxhash.xxh3_64_intdigest(MARK))
 
-    def of(self, lang: str, folded: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """Words and marks in order, which are words, bucket of each, bucket of each with the next one."""
+    def hashed(self, lang: str, folded: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.uint64]:
         tokens = folded.replace(MARK, b" " + MARK + b" ").split()
         hashes = self.hashes.of(tokens)
-        is_word = hashes != self.mark
-        salt = np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
+        return tokens, hashes, hashes != self.mark, np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
+
+    def grams(self, lang: str, folded: bytes, k: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Words and marks in order, where phrases of ``k`` words start, and the bucket of each of these."""
+        tokens, hashes, is_word, salt = self.hashed(lang, folded)
+        n = max(0, len(tokens) - k + 1)
+        whole = is_word[:n].copy()
+        with np.errstate(over="ignore"):
+            total = hashes[:n] + salt
+            for i in range(1, k):
+                whole &= is_word[i:n + i]
+                total = total * common.GOLDEN + hashes[i:n + i]
+        starts = np.flatnonzero(whole)
+        return tokens, starts, common.mixed(total[starts]) & self.pairs
+
+    def of(self, lang: str, folded: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Words and marks in order, which are words, bucket of each, bucket of each with the next one."""
+        tokens, hashes, is_word, salt = self.hashed(lang, folded)
         with np.errstate(over="ignore"):
             single = common.mixed(hashes + salt) & self.words
             double = common.mixed((hashes[:-1] + salt) * common.GOLDEN + hashes[1:]) & self.pairs
         return tokens, is_word, single, double
 
 
-def bucket_filters(texts: DataFrame, words: int, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
-    """Bits of the buckets that hold ``least`` words, or pairs, over all texts; words per language."""
-    names = ["kind", "block", "lang", "n", "counts"]
-    schema = "kind int, block int, lang string, n long, counts binary"
+COUNTED = "kind int, block int, lang string, n long, counts binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, totals = Buckets(words, pairs), Counter()
-        counts = [np.zeros(words, np.uint8), np.zeros(pairs, np.uint8)]
 
-        def add(kind: int, found: np.ndarray) -> None:
-            # Counts stop at 255; a bucket that full in one task counts as full.
-            at, n = np.unique(found, return_counts=True)
-            counts[kind][at] = np.minimum(counts[kind][at] + n, 255)
+def counted_row(kind: int, block: int, lang: str | None = None, n: int | None = None, counts: bytes | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([lang], pa.string()), pa.array([n], pa.int64()), pa.array([counts], pa.binary()),
+    ], ["kind", "block", "lang", "n", "counts"])
 
-        for lang, folded in slices(batches):
-            tokens, is_word, single, double = buckets.of(lang, folded)
-            totals[lang] += int(is_word.sum())
-            add(0, single[is_word])
-            add(1, double[is_word[:-1] & is_word[1:]])
-        for lang, n in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int32()), pa.array([lang]), pa.array([n], pa.int64()), pa.array([None], pa.binary())], names)
-        for kind, held in enumerate(counts):
-            grid = held.reshape(-1, min(BLOCK, len(held)))
-            for at in np.flatnonzero(grid.any(axis=1)).tolist():
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([kind], pa.int32()), pa.array([at], pa.int32()), pa.array([None], pa.string()), pa.array([None], pa.int64()), pa.array([grid[at].tobytes()])], names)
-        del counts[:]
-        common.give_back()
+
+def count_in(counts: np.ndarray, found: np.ndarray) -> None:
+    # Counts stop at 255; a bucket that full in one task counts as full.
+    at, n = np.unique(found, return_counts=True)
+    counts[at] = np.minimum(counts[at] + n, 255)
+
+
+def count_blocks(kind: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    grid = counts.reshape(-1, min(BLOCK, len(counts)))
+    for at in np.flatnonzero(grid.any(axis=1)).tolist():
+        yield counted_row(kind, at, counts=grid[at].tobytes())
+
+
+def full_blocks(counted: DataFrame, least: int) -> DataFrame:
+    """Bits (kind, block, bits) of the buckets that hold ``least``, over the counts of all tasks."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = over = kind = block = None
@@ -295,11 +330,49 @@ def bucket_filters(texts: DataFrame, words: int, pairs: int, least: int) -> tupl
             bits = np.packbits((total >= least) | over, bitorder="little")
             yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([bits.tobytes()])], ["kind", "block", "bits"])
 
-    counted = materialize(texts.select("lang", "body").mapInArrow(count, schema))
+    return materialize(counted.filter("kind < 2").groupBy("kind", "block").applyInArrow(full, "kind int, block int, bits binary"))
+
+
+def block_bits(blocks: DataFrame, kind: int, size: int) -> np.ndarray:
+    return bloom.from_blocks(blocks.filter(F.col("kind") == kind), size // 64, "bits").view(np.uint8)
+
+
+def bucket_filters(texts: DataFrame, words: int, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Bits of the buckets that hold ``least`` words, or pairs, over all texts; words per language."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, totals = Buckets(words, pairs), Counter()
+        counts = [np.zeros(words, np.uint8), np.zeros(pairs, np.uint8)]
+        for lang, folded in slices(batches):
+            tokens, is_word, single, double = buckets.of(lang, folded)
+            totals[lang] += int(is_word.sum())
+            count_in(counts[0], single[is_word])
+            count_in(counts[1], double[is_word[:-1] & is_word[1:]])
+        for lang, n in totals.items():
+            yield counted_row(2, 0, lang, n)
+        for kind, held in enumerate(counts):
+            yield from count_blocks(kind, held)
+        del counts[:]
+        common.give_back()
+
+    counted = materialize(texts.select("lang", "body").mapInArrow(count, COUNTED))
     totals = materialize(counted.filter("kind = 2").groupBy("lang").agg(F.sum("n").alias("words")))
-    blocks = materialize(counted.filter("kind < 2").groupBy("kind", "block").applyInArrow(full, "kind int, block int, bits binary"))
-    filters = [bloom.from_blocks(blocks.filter(F.col("kind") == kind), size // 64, "bits").view(np.uint8) for kind, size in ((0, words), (1, pairs))]
-    return *filters, totals
+    blocks = full_blocks(counted, least)
+    return block_bits(blocks, 0, words), block_bits(blocks, 1, pairs), totals
+
+
+def gram_filter(texts: DataFrame, k: int, size: int, least: int) -> np.ndarray:
+    """Bits of the buckets, ``size`` in all, that hold ``least`` phrases of ``k`` words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, counts = Buckets(1, size), np.zeros(size, np.uint8)
+        for lang, folded in slices(batches):
+            count_in(counts, buckets.grams(lang, folded, k)[2])
+        yield from count_blocks(1, counts)
+        del counts
+        common.give_back()
+
+    return block_bits(full_blocks(materialize(texts.select("lang", "body").mapInArrow(count, COUNTED)), least), 1, size)
 
 
 def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -425,11 +498,17 @@ def shrunk(texts: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
     return materialize(texts.select("lang", "body").mapInArrow(run, "lang string, body binary"))
 
 
+def bucket_count(size: int) -> int:
+    """Buckets for the pairs, or longer phrases, of ``size`` bytes."""
+    return 64 * bloom.size_for(size // 14, 1, LEAST_BUCKETS, MOST_BUCKETS)
+
+
 def frequent_phrases(texts: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """Exact counts of all phrases of 1 to ``longest`` words found ``least`` times (lang, phrase, k, n); words per lang."""
-    size = texts.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    size = text_size(texts)
+    texts = in_few_tasks(texts, size)
     # A pair in seven bytes, two of them to a bucket; fewer different words.
-    pairs = 64 * bloom.size_for(size // 14, 1, LEAST_BUCKETS, MOST_BUCKETS)
+    pairs = bucket_count(size)
     word_bits, pair_bits, totals = bucket_filters(texts, max(LEAST_BUCKETS, pairs // 4), pairs, least)
     found = []
     for k in range(1, longest + 1):
@@ -437,7 +516,10 @@ def frequent_phrases(texts: DataFrame, longest: int = LONGEST, least: int = LEAS
             both = candidates(texts, word_bits, pair_bits)
             runs, texts = both.filter("phrase IS NOT NULL").select("lang", "phrase", "n"), both.filter("body IS NOT NULL").select("lang", "body")
         else:
-            runs = run_table(texts, k)
+            size = text_size(texts)
+            texts = in_few_tasks(texts, size)
+            # The pairs of the stretches are all in full buckets.
+            runs = run_table(texts, k, bits=gram_filter(texts, k, bucket_count(size), least) if k > 2 else None)
         often = materialize(merged(runs).filter(F.col("n") >= least))
         found.append(often.select("lang", F.col("phrase").cast("string").alias("phrase"), F.lit(k).alias("k"), "n"))
         if 1 < k < longest:

@@ -138,3 +138,35 @@ def test_rare_pairs_are_not_counted_by_name(spark):
     assert totals.first()["words"] == 200 * 203
     assert both.filter("phrase IS NOT NULL").select("phrase").distinct().count() == 3
     assert sum(len(r.body.split(b"\n")) for r in both.filter("body IS NOT NULL").collect()) == 200
+
+
+def test_rare_longer_phrases_are_not_counted_by_name(spark):
+    """Frequent words and pairs whose phrases of three words are rare, but for one."""
+    rows = [("en", f"a{i % 20} b{i // 20 % 20} c{(i + i // 20) % 20}. all three here") for i in range(4000)]
+    texts = spark.createDataFrame(rows, SCHEMA).select("lang", F.col("text").cast("binary").alias("body")).repartition(3)
+    every = phrases.merged(phrases.run_table(texts, 3))
+    named = phrases.merged(phrases.run_table(texts, 3, bits=phrases.gram_filter(texts, 3, 2**20, 100)))
+    assert every.count() == 401
+    assert [tuple(r) for r in named.collect()] == [("en", b"all three here", 4000)]
+
+
+def test_rows_counted_by_name_follow_phrases_not_splits(spark, monkeypatch):
+    """Every split holds every word; the rows of all counting passes are words by cores, not by splits."""
+    sizes = {}
+    texts = spark.createDataFrame([("en", " ".join(f"w{i}" for i in range(500)))] * 128, SCHEMA)
+    seen = phrases.merged
+    for parts in (8, 64):
+        held = []
+        monkeypatch.setattr(phrases, "merged", lambda runs, held=held: held.append(runs.count()) or seen(runs))
+        frame = texts.repartition(parts).select("lang", F.col("text").cast("binary").alias("body"))
+        assert phrases.frequent_phrases(frame)[0].count() == 500 + 499 + 498 + 497 + 496
+        sizes[parts] = held
+    assert len(sizes[64]) == 5 and all(n <= 8 * 500 for n in sizes[64])
+
+
+def test_bucket_of_a_phrase_ends_with_its_piece():
+    buckets = phrases.Buckets(1, 2**16)
+    tokens, starts, at = buckets.grams("en", b"a b c" + phrases.MARK + b"a b c d", 3)
+    assert [tokens[i:i + 3] for i in starts] == [[b"a", b"b", b"c"], [b"a", b"b", b"c"], [b"b", b"c", b"d"]]
+    assert at[0] == at[1] != at[2]
+    assert [len(x) for x in buckets.grams("en", b"a b", 3)] == [2, 0, 0]
