@@ -23,8 +23,10 @@ only the last group of a tier in the whole table is not full.
 from __future__ import annotations
 
 import bisect
+import json
+import string
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -56,55 +58,76 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def letters_form(path: str) -> str:
+    """The tokenizer of the file for words of lower-case Latin letters: what else it does leaves them as they are."""
+    with open(path, encoding="utf-8") as file:
+        form = json.load(file)
+    steps = form["pre_tokenizer"].get("pretokenizers", [form["pre_tokenizer"]])
+    form |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": next(s for s in steps if s["type"] == "ByteLevel")}
+    return json.dumps(form)
+
+
 class WordTokens:
     """Token ids (little-endian unsigned 32-bit) per word between blanks, remembered up to ``limit`` words.
 
     The tokenizer drops white space and never joins text across it, so a text's ids
-    are those of its words in order. A Latin word that ends in a comma or full stop
-    is two tokens' texts: the letters and the sign. Words that several texts bring for
-    the first time are tokenized together. Of two generations of words the older one is
-    forgotten when the younger holds half of ``limit``; words met again move to it.
+    are those of its words in order. A Latin word that ends in ASCII signs is two tokens'
+    texts: the letters and the signs. Lower-case letters need neither normalising nor
+    splitting, so they go to the tokenizer's model without these steps. Words that several
+    texts bring for the first time are tokenized together. Of two generations of words the
+    older one is forgotten when the younger holds half of ``limit``; words met again move to it.
     """
 
     def __init__(self, path: str, limit: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode_batch
+        self.encode_letters = Tokenizer.from_str(letters_form(path)).encode_batch
         self.limit = limit
         self.now: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
+    def unknown(self, words: Iterable[str]) -> list[str]:
+        """Words that neither generation holds; those of the older one move."""
+        new = []
+        for word in words:
+            if word not in self.now:
+                if word in self.old:
+                    self.now[word] = self.old[word]
+                else:
+                    new.append(word)
+        return new
+
     def learn(self, words: set[str]) -> None:
         """Ids of words that ``now`` lacks."""
+        letters: dict[str, None] = {}
         plain: dict[str, None] = {}
         joined: list[tuple[str, str, str]] = []
-        for word in words:
-            if word in self.old:
-                self.now[word] = self.old[word]
-                continue
-            core = word[:-1] if word[-1:] in (",", ".") else word
-            if core and core.isalpha() and max(core) < "ɐ" and "İ" not in core:
-                low, sign = core.lower(), word[len(core):]
-                joined.append((word, low, sign))
-                plain[low] = None
-                if sign:
+        for word in self.unknown(words):
+            core = word.rstrip(string.punctuation)
+            if core.isalpha() and (core.isascii() or max(core) < "ɐ" and "İ" not in core):
+                low = core.lower()
+                letters[low] = None
+                if word != low:
+                    sign = word[len(core):]
+                    joined.append((word, low, sign))
                     plain[sign] = None
             else:
                 plain[word] = None
-        new = [w for w in plain if w not in self.now]
-        for at in range(0, len(new), 5000):
-            self.tokenize(new[at:at + 5000])
+        for kind, encode in ((letters, self.encode_letters), (plain, self.encode)):
+            new = self.unknown(kind)
+            for at in range(0, len(new), 5000):
+                self.tokenize(new[at:at + 5000], encode)
         for word, low, sign in joined:
-            if word != low:
-                self.now[word] = self.now[low] + self.now[sign]
+            self.now[word] = self.now[low] + self.now[sign]
 
-    def tokenize(self, words: list[str]) -> None:
-        found = self.encode([words], is_pretokenized=True, add_special_tokens=False)[0]
-        ids = np.asarray(found.ids, "<u4")
-        ends = np.cumsum(np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(words))).tolist()
+    def tokenize(self, words: list[str], encode: Callable) -> None:
+        found = encode([words], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.asarray(found.ids, "<u4").tobytes()
+        ends = np.cumsum(4 * np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(words))).tolist()
         start = 0
         for word, end in zip(words, ends, strict=True):
-            self.now[word] = ids[start:end].tobytes()
+            self.now[word] = ids[start:end]
             start = end
 
     def texts(self, texts: list[str]) -> list[bytes]:

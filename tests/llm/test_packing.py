@@ -79,3 +79,27 @@ def test_every_sequence_starts_with_a_rest_of_its_tier():
     assert set(longest.tier) == {4, 8, 16}
     assert (longest.piece > longest.tier // 2).mean() > 0.95
     assert packer.waiting(16) < 16
+
+
+def test_letters_skip_the_steps_that_leave_them_and_signs_are_learnt_once():
+    words = packing.WordTokens(packing.tokenizer_path())
+    given = {"letters": [], "other": []}
+
+    def kept(kind, encode):
+        return lambda texts, **how: given[kind].extend(texts[0]) or encode(texts, **how)
+
+    words.encode, words.encode_letters = kept("other", words.encode), kept("letters", words.encode_letters)
+    cores = ["house", "Éclair", "straße", "ǅon", "Ⱥb", "ŉa", "ªº", "µm", "x" * 300, "naïve", "İx", "σς", "e\u0301", "ab1", "a'b", "日本", "<|endoftext|>"]
+    signs = ["", ".", ",", "$$$", "***", "'", "\"')", "_", "<|", "’", "…", "'s", "=\u0338"]
+    texts = [core + sign for core in cores for sign in signs] + ["", "...", "'"]
+    for text, found in zip(texts, words.texts(texts), strict=True):
+        assert found == ids(text)[:-1].tobytes(), text
+    assert not {w for w in given["other"] if w.startswith(("house", "éclair", "Éclair")) and w[-1] in "$*_|.,"}
+    assert len(given["letters"]) == len(set(given["letters"])) and {"house", "éclair", "straße"} <= set(given["letters"])
+
+
+def test_letters_and_signs_of_the_older_generation_are_not_tokenized_again():
+    words = packing.WordTokens(packing.tokenizer_path(), limit=4)
+    want = words.texts(["abc . def"])
+    words.encode_letters = words.encode = None
+    assert words.texts(["abc. Def"]) == want
