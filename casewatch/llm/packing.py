@@ -24,13 +24,15 @@ from __future__ import annotations
 
 import bisect
 import json
-import string
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +50,12 @@ SCHEMA = (
 )
 MADE = SCHEMA + ", nth long"
 TASK_BITS = 33
-#: Texts whose new words are tokenized together.
-TOGETHER = 256
+#: Bytes of texts that are tokenized together; a longer text alone.
+TOGETHER = 2**24
+#: Latin letters lie below this code point.
+LATIN = 0x250
+#: Words whose characters neither change nor join when normalised, but for their case, and are no white space.
+PLAIN = r"^[!-~\x{A1}-\x{12F}\x{131}-\x{24F}\x{2010}-\x{2027}]*$"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -58,85 +64,100 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def letters_form(path: str) -> str:
-    """The tokenizer of the file for words of lower-case Latin letters: what else it does leaves them as they are."""
-    with open(path, encoding="utf-8") as file:
-        form = json.load(file)
-    steps = form["pre_tokenizer"].get("pretokenizers", [form["pre_tokenizer"]])
-    form |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": next(s for s in steps if s["type"] == "ByteLevel")}
-    return json.dumps(form)
+def letters_encoder(tokenizer: Any) -> Callable:
+    """Ids of words of lower-case Latin letters by the tokenizer's model: its other steps leave them as they are."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    tokenize, in_bytes = tokenizer.model.tokenize, ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    table = {ord(c): in_bytes(c)[0][0] for c in map(chr, range(LATIN))}
+
+    def encode(batch: list[list[str]]) -> list[list[list[int]]]:
+        return [[[t.id for t in tokenize(w if w.isascii() else w.translate(table))] for w in words] for words in batch]
+
+    return encode
 
 
 class WordTokens:
-    """Token ids (little-endian unsigned 32-bit) per word between blanks, remembered up to ``limit`` words.
-
-    The tokenizer drops white space and never joins text across it, so a text's ids
-    are those of its words in order. A Latin word that ends in ASCII signs is two tokens'
-    texts: the letters and the signs. Lower-case letters need neither normalising nor
-    splitting, so they go to the tokenizer's model without these steps. Words that several
-    texts bring for the first time are tokenized together. Of two generations of words the
-    older one is forgotten when the younger holds half of ``limit``; words met again move to it.
+    """Token ids (little-endian unsigned 32-bit) of texts, by pieces of words remembered up to ``limit``.
+
+    The tokenizer drops white space and never joins text across it, so a text's ids are
+    those of its words in order. Of several texts together each different word is looked
+    at once: a word of plain characters is lower-cased and split by the tokenizer's own
+    pattern, any other word is one piece. Pieces met for the first time are tokenized, those
+    of lower-case letters by the tokenizer's model alone. Of two generations of pieces the
+    older one is forgotten when the younger holds half of ``limit``; pieces met again move to it.
+    Texts that bring more than ``limit`` leave none behind.
     """
 
     def __init__(self, path: str, limit: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
-        self.encode_letters = Tokenizer.from_str(letters_form(path)).encode_batch
+        tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            form = json.load(file)
+        steps = form["pre_tokenizer"].get("pretokenizers", [form["pre_tokenizer"]])
+        self.pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
+        self.added = [t["content"] for t in form["added_tokens"]]
+        self.encode = tokenizer.encode_batch
+        self.encode_letters = letters_encoder(tokenizer)
         self.limit = limit
         self.now: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
-    def unknown(self, words: Iterable[str]) -> list[str]:
-        """Words that neither generation holds; those of the older one move."""
-        new = []
-        for word in words:
-            if word not in self.now:
-                if word in self.old:
-                    self.now[word] = self.old[word]
+    def pieces(self, words: pa.Array) -> pa.ListArray:
+        """The pieces of each word; empty ones have no ids."""
+        plain = pc.match_substring_regex(words, PLAIN)
+        for token in self.added:
+            plain = pc.and_not(plain, pc.match_substring(words, token))
+        low = pc.utf8_lower(pc.if_else(plain, words, ""))
+        letters = pc.utf8_is_alpha(low)
+        split = pc.replace_substring_regex(pc.if_else(letters, "", low), self.pattern, r"\0 ")
+        return pc.split_pattern(pc.if_else(plain, pc.if_else(letters, low, split), words), " ")
+
+    def learn(self, pieces: list[str]) -> None:
+        """Ids of pieces that ``now`` lacks; those of the older generation move."""
+        letters: list[str] = []
+        other: list[str] = []
+        for piece in pieces:
+            if piece not in self.now:
+                if piece in self.old:
+                    self.now[piece] = self.old[piece]
+                elif piece.isalpha() and (piece.isascii() or ord(max(piece)) < LATIN) and piece == piece.lower():
+                    letters.append(piece)
                 else:
-                    new.append(word)
-        return new
-
-    def learn(self, words: set[str]) -> None:
-        """Ids of words that ``now`` lacks."""
-        letters: dict[str, None] = {}
-        plain: dict[str, None] = {}
-        joined: list[tuple[str, str, str]] = []
-        for word in self.unknown(words):
-            core = word.rstrip(string.punctuation)
-            if core.isalpha() and (core.isascii() or max(core) < "ɐ" and "İ" not in core):
-                low = core.lower()
-                letters[low] = None
-                if word != low:
-                    sign = word[len(core):]
-                    joined.append((word, low, sign))
-                    plain[sign] = None
-            else:
-                plain[word] = None
-        for kind, encode in ((letters, self.encode_letters), (plain, self.encode)):
-            new = self.unknown(kind)
-            for at in range(0, len(new), 5000):
-                self.tokenize(new[at:at + 5000], encode)
-        for word, low, sign in joined:
-            self.now[word] = self.now[low] + self.now[sign]
-
-    def tokenize(self, words: list[str], encode: Callable) -> None:
-        found = encode([words], is_pretokenized=True, add_special_tokens=False)[0]
-        ids = np.asarray(found.ids, "<u4").tobytes()
-        ends = np.cumsum(4 * np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(words))).tolist()
-        start = 0
-        for word, end in zip(words, ends, strict=True):
-            self.now[word] = ids[start:end]
+                    other.append(piece)
+        for at in range(0, len(letters), 5000):
+            new = letters[at:at + 5000]
+            found = self.encode_letters([new])[0]
+            self.keep(new, list(chain.from_iterable(found)), list(map(len, found)))
+        for at in range(0, len(other), 5000):
+            new = other[at:at + 5000]
+            one = self.encode([new], is_pretokenized=True, add_special_tokens=False)[0]
+            self.keep(new, one.ids, np.bincount(np.asarray(one.word_ids, np.int64), minlength=len(new)))
+
+    def keep(self, pieces: list[str], ids: list[int], counts: list[int] | np.ndarray) -> None:
+        flat, start = np.asarray(ids, "<u4").tobytes(), 0
+        for piece, end in zip(pieces, (4 * np.cumsum(counts, dtype=np.int64)).tolist(), strict=True):
+            self.now[piece] = flat[start:end]
             start = end
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
+    def texts(self, texts: list[str] | pa.Array) -> list[bytes]:
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        listed = self.pieces(words.dictionary)
+        pieces = listed.flatten().dictionary_encode()
+        self.learn(names := pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        found = pa.array(list(map(self.now.__getitem__, names)), pa.large_binary())
+        found = grouped(found.take(pieces.indices), listed)
         if len(self.now) > self.limit // 2:
-            self.now, self.old = {"": b""}, self.now
-        self.learn(set().union(*split).difference(self.now))
-        ids = self.now.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+            self.now, self.old = {"": b""}, self.now if len(self.now) <= self.limit else {}
+        return grouped(found.take(words.indices), split).to_pylist()
+
+
+def grouped(parts: pa.LargeBinaryArray, lists: pa.Array) -> pa.LargeBinaryArray:
+    """The parts of each list joined to one; ``lists`` tells how many each has."""
+    ends = np.frombuffer(parts.buffers()[1], np.int64)[np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))]
+    return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends), parts.buffers()[2]])
 
 
 @cache
@@ -250,15 +271,15 @@ def pack(
     path, end = tokenizer or tokenizer_path(), np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(path).texts
+        words = encoder(path)
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << TASK_BITS)
         for batch in batches:
-            for at in range(0, len(batch), window):
-                for start in range(at, min(at + window, len(batch)), TOGETHER):
-                    part = batch[start:min(start + TOGETHER, at + window)].to_pydict()
-                    for one, ids in zip(part["i"], ids_of(part["t"]), strict=True):
-                        packer.add(one, ids + end)
-                yield frame(packer.flush(last=False))
+            names, texts = batch.column("i").to_pylist(), batch.column("t")
+            for start, n in common.slices(texts, len(batch), TOGETHER):
+                for at, ids in enumerate(words.texts(texts.slice(start, n)), start + 1):
+                    packer.add(names[at - 1], ids + end)
+                    if at % window == 0 or at == len(batch):
+                        yield frame(packer.flush(last=False))
         yield frame(packer.flush(last=True))
         common.give_back()
 

@@ -103,3 +103,46 @@ def test_letters_and_signs_of_the_older_generation_are_not_tokenized_again():
     want = words.texts(["abc . def"])
     words.encode_letters = words.encode = None
     assert words.texts(["abc. Def"]) == want
+
+
+def test_signs_digits_and_case_bring_no_new_words():
+    words = packing.WordTokens(packing.tokenizer_path())
+    given = []
+
+    def kept(encode):
+        return lambda texts, **how: given.extend(texts[0]) or encode(texts, **how)
+
+    words.encode, words.encode_letters = kept(words.encode), kept(words.encode_letters)
+    texts = ["house (house) house-house, ¿House? HOUSE2house", "“house” house’s 'house 2house2 house's", "éclair/Éclair=house"]
+    for text, found in zip(texts, words.texts(texts), strict=True):
+        assert found == ids(text)[:-1].tobytes(), text
+    assert sorted(p for p in given if p.isalpha()) == ["house", "s", "éclair"]
+    assert len(given) == len(set(given))
+
+
+def test_plain_characters_in_words_of_all_kinds():
+    chars = [*map(chr, range(1, 0x400)), *map(chr, range(0x1E00, 0x2100)), "日", "가", "ﬁ", "Ⱥ", "Å", "\ufeff", "😀"]
+    texts = [a + c + b for c in chars for a in ("", "A", "'", "3", ".") for b in ("", "b", "'s", "\u0301", "!")]
+    words = packing.WordTokens(packing.tokenizer_path())
+    for text, found in zip(texts, words.texts(texts), strict=True):
+        assert found == ids(text)[:-1].tobytes(), ascii(text)
+
+
+def test_pieces_stay_few():
+    words = packing.WordTokens(packing.tokenizer_path(), limit=6)
+    texts = [f"{chr(97 + i % 26)}{chr(97 + i // 26)} the" for i in range(200)]
+    for at in range(0, 200, 20):
+        for n in (2, 20):
+            part = texts[at:at + n]
+            assert words.texts(part) == [ids(t)[:-1].tobytes() for t in part]
+            assert len(words.now) <= 3 and len(words.old) <= 6
+
+
+def test_a_text_longer_than_those_tokenized_together(spark):
+    many = packing.TOGETHER // 2
+    docs = spark.sql(f"SELECT col1 AS doc_id, repeat('a ', col2) AS text FROM VALUES (0L, 1), (1L, {many + 1}), (2L, 0), (3L, 2)").coalesce(1)
+    rows = packing.pack(docs).toPandas()
+    assert rows.groupby("doc_id").length.sum().tolist() == [2, many + 2, 1, 3]
+    whole = np.append(np.full(many + 1, ids("a")[0], "<u4"), np.uint32(1))
+    for r in rows[rows.doc_id == 1].itertuples():
+        assert zlib.crc32(whole[r.start:r.start + r.length].tobytes()) == r.ids_crc32
