@@ -12,6 +12,8 @@ _TIME = r"(?:[T ]+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}(?:\.[0-9]{1,6})?))?)?"
 _YEAR_FIRST = rf"^([0-9]{{4}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{1,2}}){_TIME}Z?$"
 _YEAR_LAST = rf"^([0-9]{{1,2}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{4}}|[0-9]{{2}}){_TIME}$"
 _COMPACT = rf"^([0-9]{{4}})([0-9]{{2}})([0-9]{{2}}){_TIME}$"
+# Year, month and day, with a time of seconds or without: what a cast reads by itself.
+_PLAIN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?)?\z"
 _NAMED_FORMATS = ("d MMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy")
 
 
@@ -34,9 +36,11 @@ def parse_date(value: str | Column) -> Column:
     The numeric layouts are told apart by pattern, split once and assembled
     with ``try_make_timestamp_ntz``, which costs no parser exception per bad row.
     A date whose first number exceeds 12 can only be day first, so the second
-    pass is the swap in ``_timestamp``.
+    pass is the swap in ``_timestamp``. Dates that a cast reads alike skip all of it.
     """
-    text = strip(col(value).cast("string"))
+    raw = col(value).cast("string")
+    plain = F.when(raw.rlike(_PLAIN), raw.try_cast("timestamp_ntz"))
+    text = strip(raw)
     # One split serves all layouts: date numbers, then hour, minute, second, fraction.
     pieces = F.split(text, "[-/.T :Z]+")
     part = [F.nullif(F.get(pieces, i), F.lit("")) for i in range(7)]
@@ -50,12 +54,13 @@ def parse_date(value: str | Column) -> Column:
     named = F.coalesce(*[
         F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in _NAMED_FORMATS
     ])
-    return (
+    by_layout = (
         F.when(text.rlike(_YEAR_FIRST), _timestamp(*part[:3], clock))
         .when(text.rlike(_YEAR_LAST), _timestamp(full_year, *part[:2], clock))
         .when(text.rlike(_COMPACT), _timestamp(*compact, compact_clock))
         .when(text.rlike("[A-Za-z]{3}"), named)
     )
+    return F.coalesce(plain, by_layout)
 
 
 def _fits_week(year: Column, week: Column) -> Column:

@@ -19,8 +19,13 @@ def to_double(value: str | Column) -> Column:
 
 
 def to_int(value: str | Column) -> Column:
-    """Nearest integer (ties to even) of a number in text, else null."""
-    return F.rint(to_double(value)).try_cast("int")
+    """Nearest integer (ties to even) of a number in text, else null.
+
+    A text that is just its integer written out needs no pattern.
+    """
+    text = col(value).cast("string")
+    plain = text.try_cast("int")
+    return F.when(plain.cast("string") == text, plain).otherwise(F.rint(to_double(value)).try_cast("int"))
 
 
 def round_even(value: str | Column, digits: int) -> Column:

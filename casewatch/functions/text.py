@@ -138,8 +138,13 @@ def missing_to_null(
 
 
 def upper_plain(value: str | Column) -> Column:
-    """Upper-case, accent-free, single-spaced text."""
-    return F.upper(squeeze(fold_accents(value)))
+    """Upper-case, accent-free, single-spaced text.
+
+    Printable ASCII with single blanks inside only is told by one pass and needs no other.
+    """
+    text = col(value)
+    uneven = text.rlike("[^ -~]") | text.contains("  ") | text.startswith(" ") | text.endswith(" ")
+    return F.upper(F.when(~uneven, text).otherwise(squeeze(fold_accents(text))))
 
 
 def normalize_text(value: str | Column) -> Column:
@@ -211,8 +216,9 @@ def lookup(key: Column, table: dict) -> Column:
 
 def code_digits(value: str | Column) -> Column:
     """Digits of a code without a trailing ``.0``; no missing token has any."""
-    whole = F.regexp_replace(F.trim(squeeze(value)), r"\.0$", "")
-    return F.regexp_replace(whole, "[^0-9]", "")
+    text = col(value)
+    whole = F.regexp_replace(F.trim(squeeze(text)), r"\.0$", "")
+    return F.when(text.rlike(r"^[0-9]+\z"), text).otherwise(F.regexp_replace(whole, "[^0-9]", ""))
 
 
 def pad_code(digits: str | Column, width: int) -> Column:

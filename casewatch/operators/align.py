@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
@@ -126,11 +126,15 @@ def source_defaults(disease: str, event_code: int, year: int) -> dict[str, str]:
     return {"COD_EVE": str(event_code), "ANO": str(year), "Nombre_evento": disease}
 
 
-def union_filled(frames: list[tuple[DataFrame, Mapping[str, str]]]) -> DataFrame:
+def union_filled(
+    frames: list[tuple[DataFrame, Mapping[str, str]]], each: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> DataFrame:
     """Aligned sources in one staged table; a column no row of a source has takes its default.
 
     Sources are read once: values are counted per source and column while the rows are
-    written, and the counts decide what readers of the table see.
+    written, and the counts decide what readers of the table see. ``each`` is a row by row
+    step, column by column as far as columns with defaults go: rows are staged behind it, so that it
+    takes no pass of its own, and defaults go through it as the rows do.
     """
     tag = "_source"
     whole = union_sources(df.withColumn(tag, F.lit(i)) for i, (df, _) in enumerate(frames))
@@ -139,17 +143,19 @@ def union_filled(frames: list[tuple[DataFrame, Mapping[str, str]]]) -> DataFrame
         F.count_if((F.col(tag) == i) & F.col(c).isNotNull()).alias(f"{i} {c}")
         for i, (_, defaults) in enumerate(frames) for c in defaults
     ]
-    staged = materialize(whole.observe(seen, *counts))
-    empty: dict[str, list[tuple[int, str]]] = {}
+    staged = materialize(each(whole.observe(seen, *counts)))
+    empty: dict[str, list[tuple[int, object]]] = {}
     for i, (_, defaults) in enumerate(frames):
-        for c, value in defaults.items():
-            if not seen.get[f"{i} {c}"]:
+        lacking = {c: v for c, v in defaults.items() if not seen.get[f"{i} {c}"]}
+        if lacking:
+            row = staged.sparkSession.range(1).select(*[F.lit(lacking.get(f.name)).cast(f.dataType).alias(f.name) for f in whole.schema])
+            for c, value in each(row).select(*lacking).first().asDict().items():
                 empty.setdefault(c, []).append((i, value))
     filled = staged
     for c, sources in empty.items():
         value = F.col(c)
         for i, default in sources:
-            value = F.when(F.col(tag) == i, F.lit(default)).otherwise(value)
+            value = F.when(F.col(tag) == i, F.lit(default).cast(staged.schema[c].dataType)).otherwise(value)
         filled = filled.withColumn(c, value)
     return filled.drop(tag)
 

@@ -15,6 +15,7 @@ def dedupe_cases(
     id_column: str = "CONSECUTIVE",
     order_by: list[str] | None = None,
     copies: str | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """First row per key; rows without an id lose exact duplicates only.
 
@@ -33,7 +34,8 @@ def dedupe_cases(
     neither shuffled again nor joined. Numbers of up to 18 digits may repeat: a place holds the row
     hash behind the number, so ties go to one of the rows that differ, the same in every
     run. Wider numbers, places of rows in files, should be unique; of a tie any one stays.
-    A null number is the first.
+    A null number is the first. ``unique`` tells that no two rows have the same number: then the
+    number alone names its row, content is neither hashed nor compared, and keys are read without it.
     """
     order = order_by or df.columns
     content = [c for c in df.columns if c not in (order_by or [])]
@@ -41,13 +43,19 @@ def dedupe_cases(
     whole_row = F.when(~has_id, F.struct(*content))
     groups_by = [*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], whole_row.alias("_content")]
     if len(order) == 1 and (place := row_place(df, order[0])) is not None:
-        own_hash, numbered = F.xxhash64(F.lit(1), *content), df.filter(has_id)
-        first = numbered.select(*df.columns, place.alias("_place"), own_hash.alias("_row")).groupBy(*groups_by[:-1]).agg(
-            F.min("_place").alias("_place"), F.min_by("_row", "_place").alias("_row"), F.count(F.lit(1)).alias("_copies"))
-        named = first.select("_place", "_row", "_copies")
-        rows = numbered.join(named, (place == F.col("_place")) & (own_hash == F.col("_row")))
-        # Rows equal in every column are found together; they hash into one.
-        once = rows.select("_place", "_row", "_copies", *df.columns).distinct()
+        numbered = df.filter(has_id)
+        if unique:
+            first = numbered.select(*df.columns, place.alias("_place")).groupBy(*groups_by[:-1]).agg(
+                F.min("_place").alias("_place"), F.count(F.lit(1)).alias("_copies"))
+            once = numbered.join(first.select("_place", "_copies"), place == F.col("_place"))
+        else:
+            own_hash = F.xxhash64(F.lit(1), *content)
+            first = numbered.select(*df.columns, place.alias("_place"), own_hash.alias("_row")).groupBy(*groups_by[:-1]).agg(
+                F.min("_place").alias("_place"), F.min_by("_row", "_place").alias("_row"), F.count(F.lit(1)).alias("_copies"))
+            named = first.select("_place", "_row", "_copies")
+            rows = numbered.join(named, (place == F.col("_place")) & (own_hash == F.col("_row")))
+            # Rows equal in every column are found together; they hash into one.
+            once = rows.select("_place", "_row", "_copies", *df.columns).distinct()
         # A null number is the first.
         first_number = F.when(F.count(order[0]) == F.count(F.lit(1)), F.min(order[0]))
         others = [c for c in df.columns if c != order[0]]

@@ -13,7 +13,7 @@ from casewatch.operators.align import align_source, source_defaults, union_fille
 from casewatch.operators.clean import clean_cases, flag_rejected, with_derived
 from casewatch.operators.dedupe import dedupe_cases
 from casewatch.operators.quality import quality_report
-from casewatch.session import drop_scratch, materialize, scratch_count, shuffles_dropped
+from casewatch.session import drop_scratch, materialize, scratch_count, wide_job
 from casewatch.sources import files, release, sinks
 
 ORDER = "row_ordinal"
@@ -42,7 +42,7 @@ class EtlResult:
 def read_sources(spark: SparkSession, sources: list[Source]) -> DataFrame:
     """Clean rows of all sources that exist, with their order for deduplication.
 
-    Raw files are read once, into a staged table of the aligned rows.
+    Raw files are read once, into a staged table of the clean rows.
     """
     frames = []
     for ordinal, source in enumerate(sources):
@@ -62,8 +62,9 @@ def read_sources(spark: SparkSession, sources: list[Source]) -> DataFrame:
         frames.append((aligned.withColumn(ORDER, place).drop(files.ROW_ORDER), defaults))
     if not frames:
         return union_sources([])
-    # Cleaning is row by row, so one pass after the union does for all sources.
-    return clean_cases(union_filled(frames))
+    # Cleaning is row by row, so the pass that stages the rows of all sources does it. Derived
+    # columns tell nothing that the others do not, so they are not stored.
+    return with_derived(union_filled(frames, lambda df: clean_cases(df).drop(*presets.DERIVED_COLUMNS)))
 
 
 def stage_cases(cases: DataFrame, path: str, order_by: list[str] | None = None) -> DataFrame:
@@ -71,10 +72,10 @@ def stage_cases(cases: DataFrame, path: str, order_by: list[str] | None = None)
 
     The one heavy shuffle of the job is the deduplication. Everything after
     reads Parquet with the columns and partitions it needs, and does not
-    depend on executors keeping cached blocks. Derived columns tell nothing that
-    the others do not, so they are added behind it.
+    depend on executors keeping cached blocks. Derived columns are added behind it.
+    ``order_by`` is the place of a row in its source, which no other row has.
     """
-    deduped = dedupe_cases(cases.drop(*presets.DERIVED_COLUMNS), order_by=order_by, copies=COPIES)
+    deduped = dedupe_cases(cases.drop(*presets.DERIVED_COLUMNS), order_by=order_by, copies=COPIES, unique=bool(order_by))
     flagged = flag_rejected(with_derived(deduped))
     flagged.write.mode("overwrite").partitionBy("is_rejected").parquet(path)
     # Partition values come back as text.
@@ -110,10 +111,10 @@ def write_artefacts(spark: SparkSession, sources: list[Source], folder: str, csv
     Shuffle files and staged tables go as soon as nothing reads them, so that the disk
     holds the artefacts and one step's files, not those of all steps.
     """
-    with shuffles_dropped(spark):
+    with wide_job(spark):
         held = scratch_count()
-        # Deduplication reads the rows twice: narrow for the keys, whole for those that stay.
-        cases = materialize(read_sources(spark, sources))
+        # Deduplication reads the staged rows twice: narrow for the keys, whole for those that stay.
+        cases = read_sources(spark, sources)
         staged = stage_cases(cases, f"{folder}/stage.parquet", order_by=[ORDER])
         drop_scratch(spark, held)
         result = derive(staged, f"{folder}/weekly.parquet")

@@ -18,7 +18,7 @@ from casewatch.plans import etl, nodes as forest_table, score, train
 from casewatch.registry.cases import (
     aligned_cases, case_view, decoded_cases, ordered_cases, panel, raw_cases, table,
 )
-from casewatch.session import configure, materialize, scratch_path, shuffles_dropped
+from casewatch.session import configure, materialize, scratch_path, wide_job
 from casewatch.sources import catalog, files, release, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -403,7 +403,7 @@ def etl_artefacts(spark: SparkSession, folder: str) -> str:
         "CONSECUTIVE": "Código caso", "FEC_NOT": "Fecha de notificación",
         "Departamento_ocurrencia": "DEPARTAMENTO", MUNICIPALITY: "municipio",
     })
-    with shuffles_dropped(spark):
+    with wide_job(spark):
         sinks.write_per_disease(renamed, f"{out}/raw")
     # The configured sources; a disease without a file is skipped by the job.
     sources = [

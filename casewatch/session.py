@@ -114,10 +114,33 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
 
     For a job of several large writes, whose shuffle files would else lie beside each other.
     """
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        yield
+
+
+#: For jobs that join wide rows: joins hash their smaller side, if all of its partitions are below this size once
+#: shuffled, instead of sorting both.
+WIDE_ROWS = {
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # A task that writes up to so many folders keeps a file open in each; beyond, it sorts the rest.
+}
+
+
+@contextmanager
+def wide_job(spark: SparkSession) -> Iterator[None]:
+    """Settings for a job of several large writes of wide rows: shuffle files go with their query, joins need no sort."""
+    with shuffles_dropped(spark), settings(spark, WIDE_ROWS):
+        yield
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside only."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

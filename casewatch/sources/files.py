@@ -6,6 +6,7 @@ import csv
 from decimal import Decimal
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -26,7 +27,8 @@ def decoded(cell: str | Column) -> Column:
     """Cell read one character per byte: its bytes as UTF-8 where they are, else as they stand."""
     cell = F.col(cell) if isinstance(cell, str) else cell
     raw = F.encode(cell, "ISO-8859-1").cast("string")
-    return F.when(F.is_valid_utf8(raw), raw).otherwise(cell)
+    ascii_only = F.octet_length(cell) == F.length(cell)
+    return F.when(ascii_only, cell).when(F.is_valid_utf8(raw), raw).otherwise(cell)
 
 
 def read_csv(
@@ -57,7 +59,8 @@ def read_csv(
     groups: dict[tuple[str, bool], list[str]] = {}
     for row in found:
         groups.setdefault((row["header"], row["utf8"]), []).append(row["file"])
-    ranks = spark.createDataFrame([(r["file"], i) for i, r in enumerate(found)], "_file string, _rank int")
+    # Kept on the driver as the scans keep their files, so rows need not be shuffled to meet it.
+    ranks = F.broadcast(spark.createDataFrame(pa.table({"_file": [r["file"] for r in found], "_rank": pa.array(range(len(found)), pa.int32())})))
     parts = []
     for (line, utf8), names in groups.items():
         source = path if len(groups) == 1 else names

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewatch import presets, session
-from casewatch.operators import clean
+from casewatch.operators import align, clean
 from casewatch.operators.dedupe import dedupe_cases
 from casewatch.plans import etl
 from casewatch.sources import catalog, files, heads, release, sinks
@@ -373,3 +373,55 @@ def test_per_disease_files_need_no_shuffle(spark, tmp_path, monkeypatch):
     sinks.write_per_disease(df, str(tmp_path / "d"))
     assert len(plans) == 1 and "rebalance" not in plans[0]
     assert {(r["slug"], r["v"]) for r in spark.read.csv(str(tmp_path / "d"), header=True).collect()} == {("dengue_grave", "1"), ("zika", "2")}
+
+
+def test_csv_rows_are_not_shuffled_to_find_their_place(spark, tmp_path):
+    for name in ("a.csv", "b.csv"):
+        write(tmp_path / name, "id,v\n1,é\n2,plain\n")
+    df = files.read_csv(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert cells(df.orderBy(files.ROW_ORDER)) == [("1", "é"), ("2", "plain")] * 2
+
+
+def test_rows_are_staged_once_and_clean(spark, tmp_path, monkeypatch):
+    """Raw rows, clean rows and the report are two tables, not three."""
+    made, plain = [], session.materialize
+
+    def counted(df, *args):
+        made.append(df.columns)
+        return plain(df, *args)
+
+    monkeypatch.setattr(etl, "materialize", counted)
+    monkeypatch.setattr(align, "materialize", counted)
+    etl.run_etl(spark, etl_sources(tmp_path), str(tmp_path / "out"))
+    assert len(made) == 2 and made[1] == ["metric", "value"]
+    assert not set(presets.DERIVED_COLUMNS) & set(made[0])
+
+
+def test_defaults_of_empty_columns_are_cleaned(spark, tmp_path):
+    """The header has the columns, but no row of the source: the default goes through cleaning as a value would."""
+    raw = "id;cod_eve;nom_eve;year;semana;departamento\n1;;;;1;Chocó\n2;NA;;;1;Chocó\n"
+    sources = [etl.Source("Fiebre  amarilla é", 310, 1899, "ins", write(tmp_path / "a.csv", raw)),
+               etl.Source("Dengue", 210, 2024, "ins", write(tmp_path / "b.csv", raw.replace("1;;;;", "1;7;x;2021;")))]
+    got = {(r["source_file"], r["CONSECUTIVE"]): (r["COD_EVE"], r["Nombre_evento"], r["ANO"]) for r in etl.read_sources(spark, sources).collect()}
+    assert got == {("A.CSV", "1"): (310, "FIEBRE AMARILLA E", None), ("A.CSV", "2"): (310, "FIEBRE AMARILLA E", None),
+                   ("B.CSV", "1"): (7, "X", 2021), ("B.CSV", "2"): (None, None, None)}
+
+
+def test_unique_places_need_no_content(spark):
+    df = spark.range(500).selectExpr(
+        "nullif(cast(id % 90 as string), '7') CONSECUTIVE", "if(id % 3 = 0, 'D', null) enfermedad", "1 COD_EVE",
+        "cast(nullif(id, 13) as decimal(38,0)) place", "cast(id % 4 as string) v")
+    unique = dedupe_cases(df, order_by=["place"], copies="n", unique=True)
+    assert sorted(map(str, unique.collect())) == sorted(map(str, dedupe_cases(df, order_by=["place"], copies="n").collect()))
+    plan = unique._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" not in plan and plan.count("Aggregate") == 2  # the keys; rows without an id
+
+
+def test_wide_job_settings_hold_inside_only(spark):
+    before = {k: spark.conf.get(k, None) for k in session.WIDE_ROWS}
+    with pytest.raises(RuntimeError), session.wide_job(spark):
+        assert all(spark.conf.get(k) == v for k, v in session.WIDE_ROWS.items())
+        raise RuntimeError("stopped")
+    assert {k: spark.conf.get(k, None) for k in session.WIDE_ROWS} == before
