@@ -15,9 +15,9 @@ CASES_CODEC = "gzip"
 
 
 def write_csv(df: DataFrame, path: str, by: str | None = None, compression: str | None = None) -> None:
-    """CSV with header and byte-order mark in every part file; ``compression`` as Spark names it."""
+    """CSV with header and byte-order mark in every part file; ``compression`` as Spark names it, at its fastest."""
     first = next(c for c in df.columns if c != by)
-    writer = df.withColumnRenamed(first, BOM + first).write.mode("overwrite")
+    writer = df.withColumnRenamed(first, BOM + first).write.mode("overwrite").option("zlib.compress.level", "BEST_SPEED")
     if by:
         writer = writer.partitionBy(by)
     writer.csv(path, header=True, encoding="UTF-8", compression=compression)
