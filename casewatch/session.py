@@ -122,7 +122,6 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
 #: shuffled, instead of sorting both.
 WIDE_ROWS = {
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
-    # A task that writes up to so many folders keeps a file open in each; beyond, it sorts the rest.
 }
 
 
